@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from threadlake.plans import warehouse_queries  # noqa: F401
+from threadlake.plans import activity_queries, warehouse_queries  # noqa: F401
 from threadlake.plans.registry import ORACLES, QUERIES  # noqa: F401
