@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadlake.constants import GHOST_DISPLAY_NAME, GHOST_USERNAME
-from threadlake.functions.scalar import is_command
+from threadlake.functions.scalar import is_command, slug_base
 
 
 def enabled_rooms(rooms: DataFrame) -> DataFrame:
@@ -56,3 +56,14 @@ def enrich_room_name(rows: DataFrame, rooms: DataFrame) -> DataFrame:
     names = rooms.select("room_id", F.col("name").alias("room_name"))
     return rows.join(names, "room_id", "left").withColumn(
         "room_name", F.coalesce("room_name", F.lit("unknown")))
+
+
+def assign_slugs(rows: DataFrame, row_id: str, name: str) -> DataFrame:
+    """Slug per row; the first row with a base keeps it, later ones get a six-digit suffix
+    derived from their id."""
+    based = rows.select(row_id, slug_base(F.col(name)).alias("_base"))
+    first = based.groupBy("_base").agg(F.min(row_id).alias("_first"))
+    suffix = F.substring(F.md5(F.col(row_id).cast("string")), 1, 6)
+    return based.join(first, "_base").select(row_id, F.when(
+        F.col(row_id) == F.col("_first"), F.col("_base")).otherwise(
+        F.concat_ws("-", "_base", suffix)).alias("slug"))

@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-from threadlake.plans import activity_queries, warehouse_queries  # noqa: F401
+from threadlake.plans import (  # noqa: F401
+    activity_queries, retrieval_queries, warehouse_queries,
+)
 from threadlake.plans.registry import ORACLES, QUERIES  # noqa: F401

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import re
 
-from threadlake.constants import COMMAND_PREFIX, PRICES
+from threadlake.constants import (
+    BM25_B, BM25_K1, COMMAND_PREFIX, EMBED_DIMS, EMBED_STEP, LEG_LIMIT, NEAR_DUP_CHARS, PRICES,
+    RRF_K, WIDE_SPACE,
+)
 
 _K = "CAST(json_extract_string(props, '$.k') AS INTEGER)"
 _ITEMS = ("'[' || array_to_string(list_transform(range({n}), "
@@ -106,6 +109,128 @@ VIEWS: dict[str, str] = {
         WHERE kind IS DISTINCT FROM 'ai' AND NOT starts_with(body, '{COMMAND_PREFIX}')""",
 }
 
+def tokens_sql(text: str) -> str:
+    return (f"list_filter(regexp_split_to_array(lower({text}), '[^a-z0-9]+'), "
+            "lambda t: length(t) > 1)")
+
+
+def trimmed_sql(text: str) -> str:
+    return f"regexp_replace({text}, '^[{WIDE_SPACE}]+|[{WIDE_SPACE}]+$', '', 'g')"
+
+
+def normalized_sql(text: str) -> str:
+    return (f"substr(trim(regexp_replace(lower({text}), '[{WIDE_SPACE}]+', ' ', 'g')), 1, "
+            f"{NEAR_DUP_CHARS})")
+
+
+def embedding_views(name: str, source: str) -> dict[str, str]:
+    """Views that embed ``source(id, text)`` into ``<name>_vec(id, vec)``."""
+    mask = "CAST(4294967295 AS UBIGINT)"
+    word = "CAST({} AS UBIGINT)"
+    return {
+        f"{name}_parts": f"""
+            SELECT id, unnest(CASE WHEN len(toks) > 0 THEN toks ELSE [text] END) AS tok
+            FROM (SELECT id, text, {tokens_sql('text')} AS toks FROM {source})""",
+        f"{name}_seed": f"""
+            SELECT tok, CAST('0x' || substr(h, 7, 2) || substr(h, 5, 2) || substr(h, 3, 2)
+                             || substr(h, 1, 2) AS UBIGINT) AS seed
+            FROM (SELECT DISTINCT tok, sha256(tok) AS h FROM {name}_parts)""",
+        f"{name}_mix": f"""
+            SELECT tok, i, (xor(a, a >> 15) * (a | {word.format(1)})) & {mask} AS t
+            FROM (SELECT tok, i, (seed + i * {word.format(EMBED_STEP)}) & {mask} AS a
+                  FROM {name}_seed,
+                       (SELECT CAST(unnest(range(1, {EMBED_DIMS + 1})) AS UBIGINT) AS i))""",
+        f"{name}_val": f"""
+            SELECT tok, i, xor(u, u >> 14) / 2147483648.0 - 1.0 AS v
+            FROM (SELECT tok, i, xor(t, (t + ((xor(t, t >> 7) * (t | {word.format(61)}))
+                                         & {mask})) & {mask}) AS u FROM {name}_mix)""",
+        f"{name}_sum": f"""
+            SELECT id, i, sum(v * n) AS v
+            FROM (SELECT id, tok, count(*) AS n FROM {name}_parts GROUP BY id, tok)
+            JOIN {name}_val USING (tok) GROUP BY id, i""",
+        f"{name}_vec": f"""
+            SELECT id, list(v / norm ORDER BY i) AS vec
+            FROM (SELECT id, i, v, sqrt(sum(v * v) OVER (PARTITION BY id)) AS norm
+                  FROM {name}_sum) GROUP BY id""",
+    }
+
+
+VIEWS.update({
+    "r_scope": """
+        SELECT q.query_id, m.room_id FROM b_questions q JOIN b_memberships m USING (user_id)
+        JOIN b_rooms r USING (room_id) WHERE coalesce(r.ai_enabled, true)""",
+    "r_corpus": f"""
+        SELECT 'message:' || message_id AS key, message_id, room_id, sender_id, created_at,
+               body FROM b_texts
+        WHERE kind <> 'ai' AND NOT starts_with(body, '{COMMAND_PREFIX}')
+          AND room_id IN (SELECT room_id FROM b_rooms WHERE coalesce(ai_enabled, true))""",
+    "r_len": f"""
+        SELECT key, room_id, {tokens_sql('body')} AS toks FROM r_corpus""",
+    "r_tf": """
+        SELECT key, room_id, len, tok, count(*) AS tf
+        FROM (SELECT key, room_id, len(toks) AS len, unnest(toks) AS tok FROM r_len)
+        GROUP BY ALL""",
+    "r_weight": f"""
+        SELECT t.key, t.room_id, t.tok,
+               ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * ({BM25_K1} + 1)
+               / (tf + {BM25_K1} * (1 - {BM25_B} + {BM25_B} * len / mean)) AS weight
+        FROM r_tf t JOIN (SELECT tok, count(*) AS df FROM r_tf GROUP BY tok) d USING (tok),
+             (SELECT CAST(count(*) AS DOUBLE) AS n, avg(len(toks)) AS mean FROM r_len)""",
+    "r_qtok": f"""
+        SELECT query_id, unnest(list_distinct({tokens_sql('question')})) AS tok
+        FROM b_questions""",
+    "r_lex": f"""
+        SELECT query_id, key, room_id, score, rank FROM (
+          SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key) AS rank
+          FROM (SELECT q.query_id, w.key, w.room_id, round(sum(weight), 6) AS score
+                FROM r_qtok q JOIN r_weight w USING (tok) SEMI JOIN r_scope s
+                  ON s.query_id = q.query_id AND s.room_id = w.room_id
+                GROUP BY ALL)) WHERE rank <= {LEG_LIMIT}""",
+    "r_ctext": "SELECT key AS id, body AS text FROM r_corpus",
+    "r_qtext": "SELECT query_id AS id, question AS text FROM b_questions",
+    "r_vleg": f"""
+        SELECT query_id, key, room_id, score, rank FROM (
+          SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key) AS rank
+          FROM (SELECT s.query_id, c.key, c.room_id,
+                       round(list_dot_product(qv.vec, cv.vec), 6) AS score
+                FROM r_scope s JOIN r_corpus c USING (room_id)
+                JOIN q_vec qv ON qv.id = s.query_id JOIN c_vec cv ON cv.id = c.key))
+        WHERE rank <= {LEG_LIMIT}""",
+    "r_fused": f"""
+        SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC,
+                    vector_rank NULLS LAST, lexical_rank) AS fused_rank
+        FROM (SELECT query_id, key, min(v) AS vector_rank, min(l) AS lexical_rank,
+                     coalesce(1.0::DOUBLE / ({RRF_K} + min(v)), 0)
+                     + coalesce(1.0::DOUBLE / ({RRF_K} + min(l)), 0) AS score
+              FROM (SELECT query_id, key, rank AS v, NULL AS l FROM r_vleg
+                    UNION ALL SELECT query_id, key, NULL, rank FROM r_lex)
+              GROUP BY query_id, key)""",
+    "r_once": f"""
+        SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fused_rank) AS final_rank
+        FROM (SELECT f.*, c.room_id, c.sender_id, c.created_at, c.body, q.question,
+                     row_number() OVER (PARTITION BY f.query_id, {normalized_sql('c.body')}
+                                        ORDER BY fused_rank) AS copy
+              FROM r_fused f JOIN r_corpus c USING (key) JOIN b_questions q USING (query_id))
+        WHERE copy = 1""",
+    "r_packed": """
+        SELECT query_id, final_rank, source_index FROM (
+          WITH RECURSIVE pick AS (
+            SELECT query_id, CAST(0 AS BIGINT) AS r, CAST(0 AS BIGINT) AS used,
+                   CAST(0 AS BIGINT) AS source_index, false AS kept FROM b_questions
+            UNION ALL
+            SELECT p.query_id, p.r + 1,
+                   CASE WHEN used + cost <= 400 THEN used + cost ELSE used END,
+                   CASE WHEN used + cost <= 400 THEN source_index + 1 ELSE source_index END,
+                   used + cost <= 400
+            FROM pick p JOIN (
+              SELECT query_id, final_rank, CAST(ceil(length(body) / 4.0) AS BIGINT) + 30 AS cost
+              FROM r_once WHERE final_rank <= 12) o
+              ON o.query_id = p.query_id AND o.final_rank = p.r + 1)
+          SELECT query_id, r AS final_rank, source_index FROM pick WHERE kept)""",
+    **embedding_views("c", "r_ctext"),
+    **embedding_views("q", "r_qtext"),
+})
+
 
 def with_views(sql: str) -> str:
     """Put the views ``sql`` names, and the ones those name, in front as a WITH clause."""
