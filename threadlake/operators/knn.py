@@ -102,7 +102,10 @@ def _score_blocks(routes: DataFrame, queries: DataFrame, blocks: DataFrame,
             "room_id": held["room_id"].iloc[0], "score": scores[rows, flat]})
 
     keys = [*on, "chunk"]
-    return chunked.groupBy(*keys).cogroup(replicated.groupBy(*keys)).applyInPandas(
+    # both sides descend from the same table: fresh names keep their columns apart
+    held = replicated.select("point_id", "vector", "room_id",
+                             *[F.col(c).alias(f"_{c}") for c in keys])
+    return chunked.groupBy(*keys).cogroup(held.groupBy(*[f"_{c}" for c in keys])).applyInPandas(
         multiply, schema)
 
 
