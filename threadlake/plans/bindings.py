@@ -42,10 +42,16 @@ def rooms(spark, sf) -> DataFrame:
     )
 
 
-def messages(spark, sf) -> DataFrame:
+def stream_table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """The same Parquet file as a stream."""
+    return (spark.readStream.schema(table(spark, sf, name).schema)
+            .option("pathGlobFilter", f"{name}.parquet").parquet(sf))
+
+
+def messages(spark, sf, events: DataFrame | None = None) -> DataFrame:
     """Chat messages: one per event. Ids grow with time."""
     ai = F.col("event_type") == "signup"
-    return table(spark, sf, "events").select(
+    return (events or table(spark, sf, "events")).select(
         F.col("event_id").alias("message_id"),
         (F.col("event_id") % 5).alias("room_id"),
         F.col("user_id").alias("sender_id"),
@@ -117,14 +123,14 @@ def bronze_users(spark, sf) -> DataFrame:
     )
 
 
-def ai_calls(spark, sf) -> DataFrame:
+def ai_calls(spark, sf, events: DataFrame | None = None) -> DataFrame:
     """Model calls: one per event."""
     k = F.col("k")
     kinds = F.create_map(*[F.lit(x) for pair in (
         ("click", "room-ask"), ("view", "global-ask"), ("purchase", "catchup"),
         ("signup", "decisions"), ("error", "room-ask")) for x in pair])
     models = F.array(*[F.lit(m) for m, _, _ in PRICES], F.lit("unlisted"))
-    return table(spark, sf, "events").withColumn("k", _k()).select(
+    return (events or table(spark, sf, "events")).withColumn("k", _k()).select(
         F.col("event_id").alias("stream_id"), "user_id",
         F.col("ts").cast("timestamp").alias("created_at"),
         kinds[F.col("event_type")].alias("kind"),
@@ -166,10 +172,11 @@ def bronze_ai_calls(spark, sf) -> DataFrame:
     return first.unionByName(rated)
 
 
-def texts(spark, sf) -> DataFrame:
+def texts(spark, sf, turns: DataFrame | None = None) -> DataFrame:
     """Messages with real prose: the user and assistant turns of all conversations."""
     message_id = F.col("conv_id") * 100 + F.col("turn")
-    return table(spark, sf, "conversations").where(F.col("role") != "system").select(
+    turns = turns or table(spark, sf, "conversations")
+    return turns.where(F.col("role") != "system").select(
         message_id.alias("message_id"), (F.col("conv_id") % 5).alias("room_id"),
         F.col("conv_id").alias("sender_id"),
         F.when(F.col("role") == "assistant", F.lit("ai")).otherwise(F.lit("user"))
@@ -179,9 +186,9 @@ def texts(spark, sf) -> DataFrame:
     )
 
 
-def docs(spark, sf) -> DataFrame:
+def docs(spark, sf, documents: DataFrame | None = None) -> DataFrame:
     """Documents with page starts every 3,000 characters."""
-    return table(spark, sf, "documents").select(
+    return (documents or table(spark, sf, "documents")).select(
         "doc_id", (F.col("doc_id") % 5).alias("room_id"), F.col("source").alias("filename"),
         "text",
         F.sequence(F.lit(0), F.greatest(F.length("text") - 1, F.lit(0)), F.lit(3000))

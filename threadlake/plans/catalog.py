@@ -3,6 +3,6 @@
 from __future__ import annotations
 
 from threadlake.plans import (  # noqa: F401
-    activity_queries, retrieval_queries, warehouse_queries,
+    activity_queries, retrieval_queries, stream_queries, warehouse_queries,
 )
 from threadlake.plans.registry import ORACLES, QUERIES  # noqa: F401

@@ -19,6 +19,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+# the same SQL before the views are put in front, for queries that share it
+PLAIN_SQL: dict[str, str] = {}
 
 
 def portable(df: DataFrame) -> DataFrame:
@@ -43,6 +45,7 @@ def query(key: str, oracle: str | None = None) -> Callable[[Query], Query]:
         run.__doc__ = fn.__doc__
         QUERIES[key] = run
         if oracle is not None:
+            PLAIN_SQL[key] = oracle
             ORACLES[key] = with_views(oracle)
         return fn
 

@@ -8,6 +8,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+# The fallback folder of a local session, made on first use.
+_local_scratch: list[str] = []
+
+
 def local_session(app: str = "threadlake", cpus: str = "*", shuffle: int = 8,
                   memory: str = "8g") -> SparkSession:
     """A local session with the settings the library assumes on a cluster."""
@@ -44,9 +48,9 @@ def scratch_dir(spark: SparkSession) -> str:
         return shared.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-    own = tempfile.mkdtemp(prefix="threadlake-")
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
+    if not _local_scratch:
+        _local_scratch.append(tempfile.mkdtemp(prefix="threadlake-"))
+    return _local_scratch[0]
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

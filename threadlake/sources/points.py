@@ -14,14 +14,19 @@ from pyspark.sql import functions as F
 from threadlake.operators.ordered import top_within
 
 
+def newest_version(batch: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per key. Versions differ in their plain columns; the greatest wins."""
+    rest = [F.col(c).desc_nulls_last() for c in sorted(batch.columns)
+            if c not in keys and c != "vector"]
+    return top_within(batch, keys, rest or keys, 1, "_v").drop("_v")
+
+
 def merge_points(stored: DataFrame, batch: DataFrame) -> DataFrame:
     """Stored points with the batch's points in place of those of the same id.
 
     Replays change nothing. Within a batch the newest version of a point wins.
     """
-    rest = [F.col(c).desc_nulls_last() for c in sorted(batch.columns)
-            if c not in ("point_id", "vector")]
-    latest = top_within(batch, ["point_id"], rest or ["point_id"], 1, "_v").drop("_v")
+    latest = newest_version(batch, ["point_id"])
     kept = stored.join(latest.select("point_id"), "point_id", "left_anti")
     return kept.unionByName(latest)
 
@@ -36,10 +41,12 @@ def count_points(points: DataFrame) -> DataFrame:
 
 
 class PointTable:
-    """``schema`` is DDL and includes ``point_id``."""
+    """Rows keyed by ``keys``; ``schema`` is DDL and includes them."""
 
-    def __init__(self, spark: SparkSession, root: str, schema: str):
+    def __init__(self, spark: SparkSession, root: str, schema: str,
+                 keys: tuple[str, ...] = ("point_id",)):
         self.spark, self.root, self.schema = spark, root.rstrip("/"), schema
+        self.keys = list(keys)
 
     def _history(self) -> DataFrame:
         ddl = f"{self.schema}, deleted boolean, seq bigint"
@@ -50,7 +57,7 @@ class PointTable:
 
     def read(self) -> DataFrame:
         """Current points."""
-        latest = top_within(self._history(), ["point_id"], [F.desc("seq")], 1, "_v")
+        latest = top_within(self._history(), self.keys, [F.desc("seq")], 1, "_v")
         return latest.where(~F.coalesce("deleted", F.lit(False))).drop("_v", "seq", "deleted")
 
     def _append(self, rows: DataFrame, seq: int) -> None:
@@ -60,9 +67,7 @@ class PointTable:
         """Add a batch under its sequence number; an empty batch writes nothing."""
         if batch.isEmpty():
             return
-        rest = [F.col(c).desc_nulls_last() for c in sorted(batch.columns)
-                if c not in ("point_id", "vector")]
-        one = top_within(batch, ["point_id"], rest or ["point_id"], 1, "_v").drop("_v")
+        one = newest_version(batch, self.keys)
         self._append(one.withColumn("deleted", F.lit(False)), seq)
 
     def delete_by(self, column: str, gone: DataFrame, seq: int) -> None:
@@ -74,4 +79,4 @@ class PointTable:
         """The current points as the first entry of a new table."""
         self.read().withColumn("deleted", F.lit(False)).write.mode("overwrite").parquet(
             f"{root}/seq=0")
-        return PointTable(self.spark, root, self.schema)
+        return PointTable(self.spark, root, self.schema, tuple(self.keys))
