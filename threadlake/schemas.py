@@ -30,8 +30,29 @@ BRONZE = {
             f"{_STAMPS}",
 }
 
-GOLD_TABLES = ("dim_date", "dim_user", "dim_room", "fact_message", "fact_ai_call",
-               "fact_room_activity_daily")
+# Without the opt-in text columns.
+GOLD = {
+    "dim_date": "date_key int, date date, year int, quarter int, month int, "
+                "month_name string, day int, day_of_week int, day_name string, "
+                "is_weekend boolean",
+    "dim_user": "user_id string, username string, display_name string, "
+                "account_created_at timestamp, last_seen_at timestamp",
+    "dim_room": "room_id string, name string, slug string, is_dm boolean, "
+                "ai_enabled boolean, creator_user_id string, room_created_at timestamp",
+    "fact_message": "message_id string, room_id string, sender_id string, date_key int, "
+                    "created_at timestamp, kind string, is_ai_answer boolean, "
+                    "body_length int, word_count int, has_citations boolean, "
+                    "citation_count int, has_ai_question boolean",
+    "fact_ai_call": "stream_id string, user_id string, date_key int, created_at timestamp, "
+                    "kind string, provider string, model string, tokens_in int, "
+                    "tokens_out int, total_tokens int, latency_ms int, cached boolean, "
+                    "ok boolean, error_code string, verdict string, retrieval_hits int, "
+                    "source_count int, is_thumbs_up boolean, is_thumbs_down boolean",
+    "fact_room_activity_daily": "room_id string, date_key int, message_count bigint, "
+                                "ai_answer_count bigint, distinct_sender_count bigint, "
+                                "total_words bigint",
+}
+GOLD_TABLES = tuple(GOLD)
 
 
 def bronze_schema(name: str) -> StructType:

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.errors import AnalysisException
 
-from threadlake.schemas import GOLD_TABLES
+from threadlake.schemas import GOLD, GOLD_TABLES
 
 _PARTITIONED = {"fact_message": "date_key", "fact_ai_call": "date_key",
                 "fact_room_activity_daily": "date_key"}
@@ -29,6 +30,14 @@ def write_gold(df: DataFrame, root: str, name: str) -> int:
     return seen.get["rows"]
 
 
+def read_gold(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """One gold table. A table without rows has no files to take a schema from."""
+    try:
+        return spark.read.parquet(f"{root}/{name}")
+    except AnalysisException:
+        return spark.read.schema(GOLD[name]).parquet(f"{root}/{name}")
+
+
 def register_gold(spark: SparkSession, root: str) -> list[str]:
     """Temp views for the gold tables that exist, in catalog order; the rest are skipped."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path
@@ -37,7 +46,7 @@ def register_gold(spark: SparkSession, root: str) -> list[str]:
         path = hadoop(f"{root}/{name}")
         fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
         if fs.exists(path):
-            spark.read.parquet(f"{root}/{name}").createOrReplaceTempView(name)
+            read_gold(spark, root, name).createOrReplaceTempView(name)
             found.append(name)
     return found
 

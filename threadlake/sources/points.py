@@ -60,17 +60,28 @@ class PointTable:
         latest = top_within(self._history(), self.keys, [F.desc("seq")], 1, "_v")
         return latest.where(~F.coalesce("deleted", F.lit(False))).drop("_v", "seq", "deleted")
 
-    def _append(self, rows: DataFrame, seq: int) -> None:
+    def next_seq(self) -> int:
+        """One more than the highest sequence number in use."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        names = [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
+        return 1 + max((int(n[4:]) for n in names if n.startswith("seq=")), default=-1)
+
+    def _append(self, rows: DataFrame, seq: int | None) -> None:
+        seq = self.next_seq() if seq is None else seq
         rows.write.mode("overwrite").parquet(f"{self.root}/seq={seq}")
 
-    def upsert(self, batch: DataFrame, seq: int) -> None:
-        """Add a batch under its sequence number; an empty batch writes nothing."""
+    def upsert(self, batch: DataFrame, seq: int | None = None) -> None:
+        """Add a batch, by default as the newest; an empty batch writes nothing.
+
+        A stream passes its own numbers, so that a repeated batch replaces itself.
+        """
         if batch.isEmpty():
             return
         one = newest_version(batch, self.keys)
         self._append(one.withColumn("deleted", F.lit(False)), seq)
 
-    def delete_by(self, column: str, gone: DataFrame, seq: int) -> None:
+    def delete_by(self, column: str, gone: DataFrame, seq: int | None = None) -> None:
         """Tombstones for the points of the listed rooms or documents."""
         doomed = self.read().join(gone.select(column).distinct(), column, "left_semi")
         self._append(doomed.withColumn("deleted", F.lit(True)), seq)

@@ -36,8 +36,9 @@ def stream_ingest(messages: DataFrame, rooms: DataFrame, root: str,
                   checkpoint: str | None = None) -> PointTable:
     """Messages to points. Ids derive from the message, so redelivery changes nothing."""
     table = PointTable(messages.sparkSession, root, MESSAGE_POINTS)
-    run_batches(message_point_rows(messages, rooms), lambda b, n: table.upsert(b, n),
-                "ingest", checkpoint)
+    first = table.next_seq()
+    run_batches(message_point_rows(messages, rooms),
+                lambda batch, n: table.upsert(batch, first + n), "ingest", checkpoint)
     return table
 
 
@@ -51,8 +52,10 @@ def stream_doc_ingest(docs: DataFrame, rooms: DataFrame, root: str, dims: int =
     spark = docs.sparkSession
     points = PointTable(spark, f"{root}/points", DOC_POINTS)
     status = PointTable(spark, f"{root}/status", DOC_STATUS, ("doc_id",))
+    first = max(points.next_seq(), status.next_seq())
 
-    def handle(batch: DataFrame, n: int) -> None:
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        n = first + batch_id
         chunks = chunk_documents(memory_gate(batch, rooms).where(F.col("text").isNotNull()))
         points.upsert(chunks.select(
             point_id(doc_key(F.col("doc_id"), F.col("chunk_index"))).alias("point_id"),

@@ -56,5 +56,6 @@ def keep_latest(stream: DataFrame, keys: tuple[str, ...], label: str,
     spark = stream.sparkSession
     ddl = ", ".join(f"`{n}` {t}" for n, t in stream.dtypes)
     table = PointTable(spark, root or scratch_path(spark, label), ddl, keys)
-    run_batches(stream, lambda batch, n: table.upsert(batch, n), label, mode="update")
+    first = table.next_seq()
+    run_batches(stream, lambda batch, n: table.upsert(batch, first + n), label, mode="update")
     return table
