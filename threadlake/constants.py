@@ -89,3 +89,9 @@ WIDE_SPACE = (
     r"\t\n\x0b\x0c\r \x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}"
     r"\x{205f}\x{3000}\x{feff}"
 )
+
+# The same characters as a plain set, for trimming at both ends.
+WIDE_SPACE_CHARS = (
+    "\t\n\x0b\x0c\r \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009"
+    "\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+)

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from threadlake.constants import (
-    COMMAND_PREFIX, NEAR_DUP_CHARS, SNIPPET_CHARS, WIDE_SPACE,
+    COMMAND_PREFIX, NEAR_DUP_CHARS, SNIPPET_CHARS, WIDE_SPACE, WIDE_SPACE_CHARS,
 )
 
 
@@ -37,7 +37,7 @@ def approx_tokens(text: Column) -> Column:
 
 
 def wide_trim(text: Column) -> Column:
-    return F.regexp_replace(text, f"^[{WIDE_SPACE}]+|[{WIDE_SPACE}]+$", "")
+    return F.btrim(text, F.lit(WIDE_SPACE_CHARS))
 
 
 def normalize_text(text: Column) -> Column:

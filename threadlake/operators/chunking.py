@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from threadlake.constants import CHUNK_CHARS, OVERLAP_CHARS
 from threadlake.functions.scalar import page_for_offset, wide_trim
+from threadlake.session import spread
 
 _PIECES = "array<struct<text:string,start:int>>"
 _STRIDE = CHUNK_CHARS - OVERLAP_CHARS
@@ -50,9 +51,14 @@ def _step(state: Column, item: Column) -> Column:
         .when(overflow, flushed).otherwise(state["out"]).alias("out"))
 
 
-def chunk_array(text: Column) -> Column:
-    """Ordered non-empty chunks as ``array<struct<text, start>>``."""
-    clean = wide_trim(F.replace(text, F.lit("\r\n"), F.lit("\n")))
+def clean_text(text: Column) -> Column:
+    return wide_trim(F.replace(text, F.lit("\r\n"), F.lit("\n")))
+
+
+def chunk_array(clean: Column) -> Column:
+    """Ordered non-empty chunks of a clean text as ``array<struct<text, start>>``."""
+    single = F.when(F.length(clean) > CHUNK_CHARS, _hard_split(clean, F.lit(0))).otherwise(
+        _flush(clean, F.lit(0)))
     gaps = F.concat(F.array(F.lit(0)), F.transform(
         F.regexp_extract_all(clean, F.lit("(\n{2,})"), F.lit(1)), F.length))
     items = F.zip_with(F.split(clean, "\n{2,}"), gaps,
@@ -61,14 +67,17 @@ def chunk_array(text: Column) -> Column:
                     F.lit(0).alias("cursor"), F.array().cast(_PIECES).alias("out"))
     packed = F.aggregate(items, zero, _step, lambda s: F.concat(
         s["out"], _flush(s["buffer"], s["start"])))
-    return F.filter(packed, lambda c: F.length(c["text"]) > 0)
+    # a text of one paragraph needs no fold
+    return F.filter(F.when(clean.contains("\n\n"), packed).otherwise(single),
+                    lambda c: F.length(c["text"]) > 0)
 
 
 def chunk_documents(docs: DataFrame) -> DataFrame:
     """One row per chunk: its index in the document, text and page. Other columns stay."""
     rest = [c for c in docs.columns if c not in ("text", "page_offsets")]
-    exploded = docs.select(*rest, "page_offsets", F.posexplode(chunk_array(F.col("text")))
-                           .alias("chunk_index", "_chunk"))
+    cleaned = spread(docs).withColumn("text", clean_text(F.col("text")))
+    exploded = cleaned.select(*rest, "page_offsets", F.posexplode(chunk_array(F.col("text")))
+                              .alias("chunk_index", "_chunk"))
     return exploded.select(
         *rest, "chunk_index", F.col("_chunk.text").alias("text"),
         page_for_offset(F.col("_chunk.start"), F.col("page_offsets")).alias("page"))

@@ -71,6 +71,14 @@ def _cell(pivots: np.ndarray):
     return run
 
 
+def _cut(placed: DataFrame, block_points: int) -> DataFrame:
+    """Add ``part``: cells above the block size are cut by a hash of the point id."""
+    sizes = placed.groupBy("room_id", "cell").agg(F.count(F.lit(1)).alias("_n"))
+    return placed.join(sizes, ["room_id", "cell"]).withColumn("part", F.pmod(
+        F.xxhash64("point_id"), F.ceil(F.col("_n") / F.lit(block_points))).cast("int")).drop(
+        "_n")
+
+
 def _score_blocks(routes: DataFrame, queries: DataFrame, blocks: DataFrame,
                   k: int) -> DataFrame:
     """Top k of every routed (query, block). Queries of a popular block are cut into chunks."""
@@ -126,14 +134,17 @@ def vector_knn(queries: DataFrame, points: DataFrame, scope: DataFrame, k: int =
                 queries.schema["query_id"].dataType.simpleString(),
                 points.schema["point_id"].dataType.simpleString(),
                 points.schema["room_id"].dataType.simpleString()))
+    order = [F.desc("score"), "point_id"]
+    if total <= block_points * 16:  # a handful of blocks: one pass without bounds
+        blocks = _cut(points.withColumn("cell", F.lit(0)), block_points)
+        rooms = blocks.select("room_id", "cell", "part").distinct()
+        hits = _score_blocks(scope.join(rooms, "room_id"), queries, blocks, k)
+        return top_within(hits, ["query_id"], order, k, "rank")
+
     pivots = _pivots(points, max(1, min(MAX_PIVOTS, total // points_per_pivot)))
     placed = points.withColumn("_cell", _cell(pivots)("vector")).select(
         "point_id", "room_id", "vector", "_cell.cell", "_cell.angle")
-    placed = materialize(placed, "placed")
-    sizes = placed.groupBy("room_id", "cell").agg(F.count(F.lit(1)).alias("_n"))
-    blocks = placed.join(sizes, ["room_id", "cell"]).withColumn("part", F.pmod(
-        F.xxhash64("point_id"), F.ceil(F.col("_n") / F.lit(block_points))).cast("int")).drop(
-        "_n")
+    blocks = _cut(materialize(placed, "placed"), block_points)
     stats = blocks.groupBy("room_id", "cell", "part").agg(F.max("angle").alias("_radius"))
 
     placed_queries = queries.select("query_id", "vector").withColumn(
@@ -143,11 +154,6 @@ def vector_knn(queries: DataFrame, points: DataFrame, scope: DataFrame, k: int =
     bound = F.cos(F.greatest(F.lit(0.0), F.element_at("_angles", F.col("cell") + 1)
                              - F.col("_radius")))
     routes = reach.select("query_id", "room_id", "cell", "part", bound.alias("_bound"))
-    order = [F.desc("score"), "point_id"]
-    if total <= block_points * 16:  # a handful of blocks: one pass beats two
-        hits = _score_blocks(routes, queries, blocks, k)
-        return top_within(hits, ["query_id"], order, k, "rank")
-
     probe_order = [F.desc("_bound"), "room_id", "cell", "part"]
     routes = materialize(routes, "routes")
     probe = top_within(routes, ["query_id"], probe_order, PROBE_BLOCKS, "_p").drop("_p")

@@ -20,7 +20,7 @@ from pyspark.sql.window import Window
 from threadlake.constants import BM25_B, BM25_K1, LEG_LIMIT
 from threadlake.functions.scalar import tokenize
 from threadlake.operators.ordered import top_within
-from threadlake.session import materialize
+from threadlake.session import materialize, spread
 
 # (query, text) postings joined directly before the bounds are worth their extra passes.
 DIRECT_PAIRS = 50_000_000
@@ -38,7 +38,7 @@ def build_postings(corpus: DataFrame, wanted: DataFrame) -> tuple[DataFrame, Dat
 
     ``weight`` is the posting's whole BM25 contribution, so scoring is a sum.
     """
-    docs = corpus.select("doc_id", "room_id", tokenize(F.col("text")).alias("_tokens"))
+    docs = spread(corpus).select("doc_id", "room_id", tokenize(F.col("text")).alias("_tokens"))
     docs = docs.withColumn("_len", F.size("_tokens"))
     n, mean = docs.agg(F.count(F.lit(1)), F.avg("_len")).first()
     counts = (docs.select("doc_id", "room_id", "_len", F.explode("_tokens").alias("token"))

@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 from threadlake.constants import (
     BREAKER_COOLDOWN_SECONDS, BREAKER_THRESHOLD, BREAKER_WINDOW_SECONDS, MESSAGE_RATE,
 )
-from threadlake.operators.ordered import windowed
+from threadlake.session import materialize
+from threadlake.operators.ordered import largest_group, windowed
 
 
 class SlidingWindow:
@@ -46,6 +47,7 @@ class SlidingWindow:
 def _pieces(rows: DataFrame, keys: list[str], order: list[str], pause: int,
             **split) -> DataFrame:
     """Number the stretches of a key's timeline that lie between pauses."""
+    split.setdefault("largest", largest_group(rows, keys))
     marked = rows.withColumn("_at", F.struct("_us"))
     prev = windowed(marked, keys, order, {"_prev": ("lag", "_at")}, **split)
     cut = F.col("_prev").isNull() | (F.col("_us") - F.col("_prev")["_us"] >= pause)
@@ -118,11 +120,13 @@ def breaker_windows(calls: DataFrame, threshold: int = BREAKER_THRESHOLD,
     window, cooldown = window_seconds * 1_000_000, cooldown_seconds * 1_000_000
     rows = calls.select("provider", "stream_id", "ok", F.unix_micros("created_at").alias("_us"),
                         F.col("ok").cast("bigint").alias("_ok"))
+    split.setdefault("largest", largest_group(rows, ["provider"]))
     runs = windowed(rows, ["provider"], ["_us", "stream_id"], {"_run": ("sum", "_ok")}, **split)
     failures = runs.where(~F.col("ok")).drop("ok", "_ok")
     long_runs = failures.groupBy("provider", "_run").agg(
         F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= threshold)
-    risky = failures.join(long_runs, ["provider", "_run"], "left_semi")
+    risky = materialize(failures.join(long_runs, ["provider", "_run"], "left_semi"), "risky")
+    split["largest"] = largest_group(risky, ["provider"])
     pieces = _pieces(risky, ["provider"], ["_us", "stream_id"], max(window, cooldown), **split)
     ordered = pieces.repartition("provider", "_piece").sortWithinPartitions(
         "provider", "_piece", "_us", "stream_id")

@@ -57,18 +57,21 @@ def _local(spec: tuple[str, str | None], window, order_window) -> Column:
 
 def windowed(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
              specs: dict[str, tuple[str, str | None]],
-             max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+             max_group_rows: int = MAX_GROUP_ROWS, largest: int | None = None) -> DataFrame:
     """Add running columns. ``specs`` maps an output name to ``(kind, column)``.
 
     Kinds: ``row_number``; running ``sum``/``min``/``max``; their ``*_before`` forms, which
     leave the current row out; ``lag`` (the previous row's value; give it a struct when the
-    value itself may be null). ``order`` must be a total order.
+    value itself may be null). ``order`` must be a total order. ``largest`` is an upper bound
+    on the group size, where a caller has already measured one.
     """
     unknown = {kind for kind, _ in specs.values()} - set(_KINDS)
     if unknown:
         raise ValueError(f"unknown kinds: {sorted(unknown)}")
     keys = list(keys)
-    if largest_group(df, keys) <= max_group_rows:
+    if largest is None:
+        largest = largest_group(df, keys)
+    if largest <= max_group_rows:
         window = Window.partitionBy(*keys).orderBy(*_columns(order))
         return df.select("*", *[
             _local(spec, window, window).alias(name) for name, spec in specs.items()
@@ -136,9 +139,10 @@ def _split(df, keys, order, specs, max_group_rows):
 
 
 def rank_within(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
-                name: str = "rank", max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+                name: str = "rank", max_group_rows: int = MAX_GROUP_ROWS,
+                largest: int | None = None) -> DataFrame:
     """Exact 1-based position of every row inside its group."""
-    return windowed(df, keys, order, {name: ("row_number", None)}, max_group_rows)
+    return windowed(df, keys, order, {name: ("row_number", None)}, max_group_rows, largest)
 
 
 def top_within(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], k: int,
@@ -159,7 +163,7 @@ def nearest_rank(df: DataFrame, keys: Sequence[str], value: str, percents: dict[
     Works on the value histogram, so only distinct values are ordered.
     """
     keys = list(keys)
-    hist = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+    hist = materialize(df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n")), "hist")
     upto = windowed(hist, keys, [value], {"_upto": ("sum", "_n")}, max_group_rows)
     totals = hist.groupBy(*keys).agg(F.sum("_n").alias("_total"))
     on = reduce(lambda a, b: a & b, [upto[k].eqNullSafe(totals[k]) for k in keys])

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadlake.constants import DECISIONS_WINDOW, HEADER_GAP_SECONDS
-from threadlake.operators.ordered import rank_within, top_within, windowed
+from threadlake.operators.ordered import (
+    largest_group, rank_within, top_within, windowed,
+)
 
 
 def next_cursor_text(created_at, message_id) -> F.Column:
@@ -66,6 +68,7 @@ def message_grouping(messages: DataFrame, gap_seconds: int = HEADER_GAP_SECONDS,
     A header starts a run: the row or the one before is by the assistant, the day or the
     sender changes, or more than the gap has passed (strictly more).
     """
+    split.setdefault("largest", largest_group(messages, ["room_id"]))
     rows = messages.withColumn("_row", F.struct("created_at", "sender_id", "kind"))
     prev = windowed(rows, ["room_id"], ["created_at", "message_id"],
                     {"_prev": ("lag", "_row")}, **split)

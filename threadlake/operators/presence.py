@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadlake.constants import ONLINE_SNAPSHOT_CAP, TYPING_EXPIRY_SECONDS
-from threadlake.operators.ordered import rank_within, windowed
+from threadlake.operators.ordered import largest_group, rank_within, windowed
 
 _TIME = ["ts", "event_id"]
 
@@ -17,6 +17,7 @@ def presence_edges(events: DataFrame, **split) -> DataFrame:
     ``delta`` is +1 for a connect and -1 for a disconnect. The counter never goes below
     zero; with S the plain running sum, the floored counter is S - min(0, lowest S so far).
     """
+    split.setdefault("largest", largest_group(events, ["user_id"]))
     total = windowed(events, ["user_id"], _TIME, {"_s": ("sum", "delta")}, **split)
     low = windowed(total, ["user_id"], _TIME,
                    {"_low": ("min", "_s"), "_low_before": ("min_before", "_s")}, **split)
@@ -32,6 +33,7 @@ def presence_edges(events: DataFrame, **split) -> DataFrame:
 
 def presence_intervals(events: DataFrame, **split) -> DataFrame:
     """Online intervals; ``offline_at`` is null while the user is still online."""
+    split.setdefault("largest", largest_group(events, ["user_id"]))
     edges = presence_edges(events, **split).withColumn("_row", F.struct("ts"))
     paired = windowed(edges, ["user_id"], _TIME, {"_from": ("lag", "_row")}, **split)
     closed = paired.where(~F.col("online")).select(
@@ -70,6 +72,7 @@ def typing_sessions(events: DataFrame, expiry_seconds: float = TYPING_EXPIRY_SEC
     """
     keys = list(keys)
     micros = int(expiry_seconds * 1_000_000)
+    split.setdefault("largest", largest_group(events, keys))
     rows = events.withColumn("_row", F.struct("ts", "is_stop"))
     prev = windowed(rows, keys, _TIME, {"_prev": ("lag", "_row")}, **split)
     before = F.col("_prev")

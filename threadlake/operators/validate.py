@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadlake.functions.scalar import wide_trim
+from threadlake.session import spread
 
 # Fixed formats.
 OBJECT_ID = "^[a-f0-9]{24}$"
@@ -83,6 +84,7 @@ def text_contains(texts: DataFrame, needles: DataFrame, text_id: str, text: str,
     long_needles = keyed.where(F.size("_inner") > 0)
     short_needles = keyed.where(F.size("_inner") == 0)
 
+    texts = spread(texts)
     tokens = texts.select(text_id, F.explode(F.array_distinct(F.split(F.col(text), " ")))
                           .alias("_token"))
     wanted = long_needles.select(needle_id, F.explode("_inner").alias("_token"))

@@ -12,6 +12,7 @@ from threadlake.operators.dedup import near_dup_collapse
 from threadlake.operators.fusion import rrf_fusion
 from threadlake.operators.knn import vector_knn
 from threadlake.operators.lexical import lexical_leg
+from threadlake.session import spread
 from threadlake.operators.scope import knowledge_filter, memory_gate
 
 SOURCE_COLUMNS = ("key", "kind", "room_id", "text", "sender_id", "filename", "page",
@@ -20,12 +21,13 @@ SOURCE_COLUMNS = ("key", "kind", "room_id", "text", "sender_id", "filename", "pa
 
 def message_points(messages: DataFrame, rooms: DataFrame, dims: int = EMBED_DIMS) -> DataFrame:
     """Knowledge messages as sources with vectors."""
-    return message_sources(messages, rooms).withColumn("vector", embed(F.col("text"), dims))
+    return spread(message_sources(messages, rooms)).withColumn(
+        "vector", embed(F.col("text"), dims))
 
 
 def chunk_points(chunks: DataFrame, rooms: DataFrame, dims: int = EMBED_DIMS) -> DataFrame:
     """Document chunks of memory-enabled rooms as sources with vectors."""
-    return memory_gate(chunks, rooms).select(
+    return spread(memory_gate(chunks, rooms)).select(
         doc_key(F.col("doc_id"), F.col("chunk_index")).alias("key"), F.lit("doc").alias("kind"),
         "room_id", "text", F.lit(None).cast("bigint").alias("sender_id"), "filename", "page",
         F.lit(None).cast("timestamp").alias("created_at"),

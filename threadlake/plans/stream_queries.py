@@ -190,7 +190,7 @@ def memory_switch(spark, sf):
 @query("heartbeat_sessions", f"""
     WITH marked AS (
       SELECT user_id, ts, event_id, CASE WHEN lag(ts) OVER w IS NULL
-               OR ts - lag(ts) OVER w >= INTERVAL 2 HOUR THEN 1 ELSE 0 END AS opens
+               OR ts - lag(ts) OVER w > INTERVAL 2 HOUR THEN 1 ELSE 0 END AS opens
       FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
     numbered AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s
                  FROM marked)

@@ -105,7 +105,7 @@ def cursor_maximum(receipts: DataFrame) -> DataFrame:
 
 
 def heartbeat_sessions(beats: DataFrame, ttl: str = "30 seconds") -> DataFrame:
-    """Online spans from heartbeats: a span ends when none came for the time to live."""
+    """Online spans from heartbeats: a span ends when none came within the time to live."""
     return beats.groupBy("user_id", F.session_window("ts", ttl)).agg(
         F.count(F.lit(1)).alias("beats")).select(
         "user_id", F.col("session_window.start").alias("online_at"),
