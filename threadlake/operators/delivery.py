@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadlake.operators.ordered import top_within
+from threadlake.session import materialize
 
 
 def delivery_audit(messages: DataFrame, members: DataFrame,
@@ -18,15 +19,15 @@ def delivery_audit(messages: DataFrame, members: DataFrame,
     members = members.select("room_id", "user_id").distinct()
     sent = messages.select("message_id", "room_id", "sender_id")
     size = members.groupBy("room_id").agg(F.count(F.lit(1)).alias("_members"))
-    self_in = sent.join(members.withColumnRenamed("user_id", "sender_id"),
-                        ["room_id", "sender_id"], "left_semi").select(
-        "message_id", F.lit(1).alias("_self"))
-    # receipts that count: by current members other than the sender
-    held = (receipts.select("message_id", "user_id").distinct()
-            .join(sent, "message_id").where(F.col("user_id") != F.col("sender_id"))
-            .join(members, ["room_id", "user_id"], "left_semi"))
+    own = members.select("room_id", F.col("user_id").alias("sender_id"), F.lit(1).alias("_self"))
+    # receipts that count, by current members other than the sender; read twice below
+    held = materialize(
+        receipts.select("message_id", "user_id").join(sent, "message_id")
+        .where(F.col("user_id") != F.col("sender_id"))
+        .join(members, ["room_id", "user_id"], "left_semi")
+        .select("message_id", "user_id").distinct(), "held")
     got = held.groupBy("message_id").agg(F.count(F.lit(1)).alias("_got"))
-    incomplete = (sent.join(size, "room_id").join(self_in, "message_id", "left")
+    incomplete = (sent.join(size, "room_id").join(own, ["room_id", "sender_id"], "left")
                   .join(got, "message_id", "left")
                   .where(F.coalesce("_got", F.lit(0))
                          < F.col("_members") - F.coalesce("_self", F.lit(0)))
@@ -34,8 +35,7 @@ def delivery_audit(messages: DataFrame, members: DataFrame,
     return (incomplete.join(members, "room_id")
             .where(F.col("user_id") != F.col("sender_id"))
             .select("message_id", "room_id", "user_id")
-            .join(held.select("message_id", "user_id"), ["message_id", "user_id"],
-                  "left_anti"))
+            .join(held, ["message_id", "user_id"], "left_anti"))
 
 
 def delivery_status(messages: DataFrame, receipts: DataFrame,
