@@ -1,10 +1,10 @@
 """Exact top-k by cosine inside permitted rooms, without pairing every query and point.
 
 Points are grouped by room and nearest pivot and cut into blocks of bounded size, so neither
-a hot room nor a hot cell reaches one task whole. A block's widest angle from its pivot gives
+a hot room nor a hot cell reaches one task whole. A cell's widest angle from its pivot gives
 an upper bound on the similarity any of its points can have with a query (triangle
-inequality of angles). Each query first visits its most promising blocks, which yields a
-lower bound on its k-th best score; blocks that cannot beat it are skipped. The result is
+inequality of angles). Each query first visits its most promising cells, which yields a
+lower bound on its k-th best score; cells that cannot beat it are skipped. The result is
 exact. Blocks and query chunks meet as matrix products that emit k rows per query.
 """
 
@@ -21,9 +21,9 @@ from threadlake.session import materialize
 
 BLOCK_POINTS = 4096
 QUERY_CHUNK = 1024
-MAX_PIVOTS = 256
+MAX_PIVOTS = 1024
 POINTS_PER_PIVOT = 16_384
-PROBE_BLOCKS = 2
+PROBE_CELLS = 2
 # Scores are compared after rounding to six decimals; bounds leave room for that.
 _SLACK = 2e-6
 
@@ -145,25 +145,27 @@ def vector_knn(queries: DataFrame, points: DataFrame, scope: DataFrame, k: int =
     placed = points.withColumn("_cell", _cell(pivots)("vector")).select(
         "point_id", "room_id", "vector", "_cell.cell", "_cell.angle")
     blocks = _cut(materialize(placed, "placed"), block_points)
-    stats = blocks.groupBy("room_id", "cell", "part").agg(F.max("angle").alias("_radius"))
+    parts = blocks.select("room_id", "cell", "part").distinct()
+    cells = blocks.groupBy("room_id", "cell").agg(F.max("angle").alias("_radius"))
 
+    # Bounds are per (query, cell); only cells that survive are opened into their parts.
     placed_queries = queries.select("query_id", "vector").withColumn(
         "_angles", _angles(pivots)("vector"))
     reach = scope.join(placed_queries.select("query_id", "_angles"), "query_id").join(
-        stats, "room_id")
+        cells, "room_id")
     bound = F.cos(F.greatest(F.lit(0.0), F.element_at("_angles", F.col("cell") + 1)
                              - F.col("_radius")))
-    routes = reach.select("query_id", "room_id", "cell", "part", bound.alias("_bound"))
-    probe_order = [F.desc("_bound"), "room_id", "cell", "part"]
-    routes = materialize(routes, "routes")
-    probe = top_within(routes, ["query_id"], probe_order, PROBE_BLOCKS, "_p").drop("_p")
-    first = materialize(
-        top_within(_score_blocks(probe, queries, blocks, k), ["query_id"], order, k, "rank"),
-        "probed")
+    bounds = materialize(
+        reach.select("query_id", "room_id", "cell", bound.alias("_bound")), "bounds")
+    on = ["query_id", "room_id", "cell"]
+    probe = top_within(bounds, ["query_id"], [F.desc("_bound"), "room_id", "cell"],
+                       PROBE_CELLS, "_p").select(*on)
+    first = materialize(top_within(
+        _score_blocks(probe.join(parts, ["room_id", "cell"]), queries, blocks, k),
+        ["query_id"], order, k, "rank"), "probed")
     floor = first.where(F.col("rank") == k).select("query_id", F.col("score").alias("_floor"))
-    on = ["query_id", "room_id", "cell", "part"]
-    rest = routes.join(floor, "query_id", "left").where(
+    rest = bounds.join(floor, "query_id", "left").where(
         F.col("_floor").isNull() | (F.col("_bound") >= F.col("_floor") - _SLACK)).join(
-        probe.select(*on), on, "left_anti").select(*on)
+        probe, on, "left_anti").select(*on).join(parts, ["room_id", "cell"])
     hits = first.drop("rank").unionByName(_score_blocks(rest, queries, blocks, k))
     return top_within(hits, ["query_id"], order, k, "rank")

@@ -47,7 +47,7 @@ def stream_table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     """The same Parquet file as a stream."""
     return (spark.readStream.schema(table(spark, sf, name).schema)
             .option("pathGlobFilter", f"{name}.parquet")
-            .option("maxBytesPerTrigger", "64g").parquet(sf))
+            .option("maxBytesPerTrigger", str(64 << 30)).parquet(sf))
 
 
 def messages(spark, sf, events: DataFrame | None = None) -> DataFrame:

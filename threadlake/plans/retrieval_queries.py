@@ -182,7 +182,7 @@ def delete_points(spark, sf):
 
 @query("upsert_points", """
     SELECT vec_id AS point_id, CASE WHEN label >= 5 THEN 'new' ELSE 'old' END AS version,
-           CAST(round(embedding[1] * 1000000) AS BIGINT) AS first_millionths FROM embeddings""")
+           CAST(round(CAST(embedding[1] AS DOUBLE) * 1000000) AS BIGINT) AS first_millionths FROM embeddings""")
 def upsert_points(spark, sf):
     """A point table receives all vectors, then the upper half of the labels twice more."""
     vectors = b.table(spark, sf, "embeddings").select(
