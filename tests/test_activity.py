@@ -282,10 +282,11 @@ def test_invite_ceiling_and_revocation(spark):
                                      ("c", 5, at(50), None)],
                                     "invite_id string, max_redemptions int, "
                                     "expires_at timestamp, revoked_at timestamp")
-    got = presence.invite_redemption(attempts, invites)
-    assert dict(pairs(got, "attempt_id", "outcome")) == {
-        1: "accepted", 2: "member", 3: "accepted", 4: "invalid", 5: "invalid", 6: "accepted",
-        7: "invalid", 8: "invalid"}
+    for limit in (10_000, 1):
+        got = presence.invite_redemption(attempts, invites, max_group_rows=limit)
+        assert dict(pairs(got, "attempt_id", "outcome")) == {
+            1: "accepted", 2: "member", 3: "accepted", 4: "invalid", 5: "invalid",
+            6: "accepted", 7: "invalid", 8: "invalid"}
 
 
 def test_rate_limit_fixture(spark):
@@ -309,8 +310,22 @@ def test_rate_limit_matches_one_machine_per_key(spark):
         m = machines.setdefault(user, limits.SlidingWindow(4, 10_000_000, 15_000_000))
         want.append((i, *m.offer(int(ts.timestamp() * 1e6))))
     df = spark.createDataFrame(rows, "user_id long, event_id long, ts timestamp")
-    for limit in (10_000, 50):
-        got = limits.rate_limit(df, (4, 10, 15), max_group_rows=limit)
+    for limit, walk in ((10_000, 10_000), (50, 10_000), (10_000, 25), (10_000, 3)):
+        got = limits.rate_limit(df, (4, 10, 15), max_walk_rows=walk, max_group_rows=limit)
+        assert pairs(got, "event_id", "allowed", "retry_after") == want
+
+
+def test_rate_limit_of_a_key_that_never_pauses(spark):
+    rng = random.Random(9)
+    for rate in ((3, 10, 4), (2, 5, 9), (1, 3, 3)):
+        now, rows = 0, []
+        for i in range(250):
+            now += rng.choice([0, 0, 1, 1, 2, 4])
+            rows.append((0, i, at(now)))
+        machine = limits.SlidingWindow(rate[0], rate[1] * 10**6, rate[2] * 10**6)
+        want = [(i, *machine.offer(int(ts.timestamp() * 1e6))) for _, i, ts in rows]
+        df = spark.createDataFrame(rows, "user_id long, event_id long, ts timestamp")
+        got = limits.rate_limit(df, rate, max_walk_rows=17)
         assert pairs(got, "event_id", "allowed", "retry_after") == want
 
 

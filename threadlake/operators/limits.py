@@ -3,7 +3,8 @@
 Both are small state machines per key, and a busy key may hold a large share of all rows. The
 timelines are therefore cut at pauses long enough for the state to be empty again; the pieces
 are spread over all tasks and each task walks its sorted pieces row by row with a few
-numbers of state. Nothing collects a group.
+numbers of state. Nothing collects a group. A rate-limited key that never pauses would still
+be one long walk; ``_refusals`` finds its refusals in parallel instead.
 """
 
 from __future__ import annotations
@@ -18,8 +19,12 @@ from pyspark.sql import functions as F
 from threadlake.constants import (
     BREAKER_COOLDOWN_SECONDS, BREAKER_THRESHOLD, BREAKER_WINDOW_SECONDS, MESSAGE_RATE,
 )
+from threadlake.operators.ordered import largest_group, rank_within, windowed
 from threadlake.session import materialize
-from threadlake.operators.ordered import largest_group, windowed
+
+
+# Rows of one stretch that a single task may walk.
+MAX_WALK_ROWS = 20_000_000
 
 
 class SlidingWindow:
@@ -55,16 +60,136 @@ def _pieces(rows: DataFrame, keys: list[str], order: list[str], pause: int,
                     {"_piece": ("sum", "_cut")}, **split).drop("_at", "_prev", "_cut")
 
 
+def _chunks(rows: DataFrame, key: str, descending: bool = False) -> DataFrame:
+    at = F.desc("_j") if descending else F.asc("_j")
+    return rows.repartition(key, "_chunk").sortWithinPartitions(key, "_chunk", at)
+
+
+def _refusals(ranked: DataFrame, key: str, limit: int, window: int, mute: int,
+              chunk_rows: int, **split) -> DataFrame:
+    """(key, _pos): the actions that start a mute, for timelines too long to walk.
+
+    Action j can start a mute when its ``limit`` predecessors lie inside the window and its
+    phase began before all of them. The next phase begins at the first action after the mute,
+    so the following mute starts at the first such action ``limit`` places later: a link
+    j -> successor that depends on j alone. The mutes that really happen are the chain of
+    links from the key's first candidate. It is followed in parallel: every chunk of positions
+    reduces to a few steps (entry range -> exit), one pass over these steps finds each chunk's
+    entry, and the chunks mark their part of the chain.
+    """
+    earlier = ranked.select(key, (F.col("_pos") + limit).alias("_pos"),
+                            F.col("_us").alias("_then"))
+    full = materialize(ranked.join(earlier, [key, "_pos"]).where(
+        F.col("_us") - F.col("_then") < window).select(key, "_pos", "_us"), "full")
+
+    none = F.lit(None).cast("bigint")
+    ends = full.select(key, (F.col("_us") + mute).alias("_at"), F.lit(0).alias("_side"),
+                       F.col("_pos").alias("_tie"), F.lit(0).cast("bigint").alias("_one"))
+    timeline = ends.unionByName(ranked.select(
+        key, F.col("_us").alias("_at"), F.lit(1).alias("_side"), F.col("_pos").alias("_tie"),
+        F.lit(1).cast("bigint").alias("_one")))
+    passed = windowed(timeline, [key], ["_at", "_side", "_tie"], {"_n": ("sum", "_one")},
+                      **split).where("_side = 0")
+    seek = passed.select(key, (F.col("_n") + 1 + limit).alias("_at"), F.lit(1).alias("_side"),
+                         F.col("_tie").alias("_j"), none.alias("_found"))
+    targets = full.select(key, F.col("_pos").alias("_at"), F.lit(0).alias("_side"),
+                          F.col("_pos").alias("_j"), F.col("_pos").alias("_found"))
+    found = windowed(seek.unionByName(targets), [key], [F.desc("_at"), "_side", "_j"],
+                     {"_next": ("min", "_found")}, **split).where("_side = 1")
+    chunk = F.call_function("div", F.col("_j"), F.lit(chunk_rows).cast("bigint"))
+    links = materialize(found.select(
+        key, "_j", F.coalesce("_next", F.lit(-1).cast("bigint")).alias("_next"),
+        chunk.alias("_chunk")), "links")
+    kind = ranked.schema[key].dataType.simpleString()
+
+    def steps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, exits, run = None, {}, None
+        for batch in batches:
+            out = []
+            for who, part, j, nxt in zip(batch[key], batch["_chunk"], batch["_j"],
+                                         batch["_next"]):
+                if (who, part) != current:
+                    if run:
+                        out.append(run)
+                    current, exits, run = (who, part), {}, None
+                exits[j] = exits.get(nxt, nxt)
+                if run and run[4] == exits[j]:
+                    run[2] = j
+                else:
+                    if run:
+                        out.append(run)
+                    run = [who, part, j, j, exits[j]]
+            yield pd.DataFrame(out, columns=[key, "_chunk", "_low", "_high", "_exit"])
+        if run:
+            yield pd.DataFrame([run], columns=[key, "_chunk", "_low", "_high", "_exit"])
+
+    def entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, at = None, -1
+        for batch in batches:
+            out = []
+            for who, part, low, high, leave in zip(*[batch[c] for c in (
+                    key, "_chunk", "_low", "_high", "_exit")]):
+                if who != current:
+                    current, at = who, low
+                if low <= at <= high:
+                    out.append((who, part, at))
+                    at = leave
+            yield pd.DataFrame(out, columns=[key, "_chunk", "_entry"])
+
+    def follow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, at = None, -1
+        for batch in batches:
+            hit = []
+            for who, part, j, nxt, entry in zip(*[batch[c] for c in (
+                    key, "_chunk", "_j", "_next", "_entry")]):
+                if (who, part) != current:
+                    current, at = (who, part), entry
+                hit.append(j == at)
+                if j == at:
+                    at = nxt
+            yield batch.loc[hit, [key, "_j"]].rename(columns={"_j": "_pos"})
+
+    short = _chunks(links, key, descending=True).mapInPandas(
+        steps, f"{key} {kind}, _chunk bigint, _low bigint, _high bigint, _exit bigint")
+    entry = short.repartition(key).sortWithinPartitions(key, "_low").mapInPandas(
+        entries, f"{key} {kind}, _chunk bigint, _entry bigint")
+    return _chunks(links.join(entry, [key, "_chunk"]), key).mapInPandas(
+        follow, f"{key} {kind}, _pos bigint")
+
+
+def _limit_in_parallel(rows: DataFrame, key: str, limit: int, window: int, mute: int,
+                       chunk_rows: int, **split) -> DataFrame:
+    order = ["_us", "event_id"]
+    ranked = materialize(rank_within(rows, [key], order, "_pos", **split), "ranked")
+    mutes = _refusals(ranked, key, limit, window, mute, chunk_rows, **split)
+    marked = ranked.join(mutes.withColumn("_mutes", F.lit(True)), [key, "_pos"], "left")
+    marked = marked.withColumn("_hit", F.when(F.col("_mutes"), F.col("_us")))
+    last = windowed(marked, [key], order, {"_last": ("max", "_hit")}, **split)
+    left = F.col("_last") + mute - F.col("_us")
+    allowed = F.col("_last").isNull() | (left <= 0)
+    return last.select(
+        key, "event_id", allowed.alias("allowed"),
+        F.when(allowed, F.lit(0).cast("bigint")).otherwise(F.call_function(
+            "div", left + 500_000, F.lit(1_000_000).cast("bigint"))).alias("retry_after"))
+
+
 def rate_limit(events: DataFrame, rate: tuple[int, int, int] = MESSAGE_RATE,
-               key: str = "user_id", **split) -> DataFrame:
+               key: str = "user_id", max_walk_rows: int = MAX_WALK_ROWS,
+               **split) -> DataFrame:
     """Allow or refuse every action of a key, in (ts, event_id) order.
 
     ``rate`` is (limit, window seconds, mute seconds). While muted every action is refused
     with the seconds left; an action over the limit starts a mute and clears the window.
+    Stretches without a pause longer than ``max_walk_rows`` are solved in parallel.
     """
     limit, window, mute = rate[0], rate[1] * 1_000_000, rate[2] * 1_000_000
     rows = events.select(key, "event_id", F.unix_micros("ts").alias("_us"))
+    split.setdefault("largest", largest_group(rows, [key]))
     pieces = _pieces(rows, [key], ["_us", "event_id"], max(window, mute), **split)
+    if (split["largest"] > max_walk_rows
+            and largest_group(pieces, [key, "_piece"]) > max_walk_rows):
+        return _limit_in_parallel(rows, key, limit, window, mute, max_walk_rows,
+                                  **{k: v for k, v in split.items() if k != "largest"})
     ordered = pieces.repartition(key, "_piece").sortWithinPartitions(
         key, "_piece", "_us", "event_id")
 

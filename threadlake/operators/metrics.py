@@ -15,10 +15,11 @@ def price_lookup(calls: DataFrame, prices: list[tuple[str, str, str]] = PRICES)
 
     The price list is a fixed literal of a few rows, so broadcasting it is always safe.
     """
-    table = calls.sparkSession.createDataFrame(
-        prices, "model string, price_in string, price_out string").select(
-        "model", F.col("price_in").cast("decimal(12,6)").alias("price_in"),
-        F.col("price_out").cast("decimal(12,6)").alias("price_out"))
+    rows = F.array(*[F.struct(F.lit(m).alias("model"),
+                              F.lit(i).cast("decimal(12,6)").alias("price_in"),
+                              F.lit(o).cast("decimal(12,6)").alias("price_out"))
+                     for m, i, o in prices])
+    table = calls.sparkSession.range(1).select(F.inline(rows))
     return calls.join(F.broadcast(table), "model", "left").withColumn(
         "cost_millionths", cost_usd(F.col("tokens_in"), F.col("tokens_out"),
                                     F.col("price_in"), F.col("price_out"))
@@ -58,7 +59,9 @@ def ai_call_metrics(calls: DataFrame, as_of, hours: int = 168) -> DataFrame:
     )
     latency = nearest_rank(flagged.where("answer"), ["scope"], "latency_ms",
                            {"latency_p50": 50, "latency_p95": 95})
-    return totals.join(latency, "scope", "left").drop("scope").na.fill(
+    # two one-row results side by side, without a join
+    both = totals.unionByName(latency, allowMissingColumns=True).drop("scope")
+    return both.agg(*[F.max(c).alias(c) for c in both.columns]).na.fill(
         0, ["latency_p50", "latency_p95"])
 
 

@@ -37,14 +37,16 @@ def all_pages(rows: DataFrame, keys: list[str], order: list, size: int, cursor,
     last page). Pages are groups of at most ``size`` rows whatever the group's size."""
     ranked = rank_within(rows, keys, order, "_n", **split).withColumn(
         "page", F.call_function("div", F.col("_n") - 1, F.lit(size).cast("bigint")))
-    totals = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_total"))
     pages = ranked.groupBy(*keys, "page").agg(
         F.count(F.lit(1)).alias("rows"),
         F.min_by(row_id, "_n").alias("first_id"), F.max_by(row_id, "_n").alias("last_id"),
-        F.max("_n").alias("_last"), F.max_by(cursor, "_n").alias("_cursor"))
-    return pages.join(totals, keys).select(
+        F.max_by(cursor, "_n").alias("_cursor"))
+    # the page before every page but the first has a next one
+    more = ranked.where((F.col("_n") - 1) % size == 0).where("page > 0").select(
+        *keys, (F.col("page") - 1).alias("page"), F.lit(True).alias("_more"))
+    return pages.join(more, [*keys, "page"], "left").select(
         *keys, "page", "rows", "first_id", "last_id",
-        F.when(F.col("_last") < F.col("_total"), F.col("_cursor")).alias("next_cursor"))
+        F.when(F.col("_more"), F.col("_cursor")).alias("next_cursor"))
 
 
 def id_page(rows: DataFrame, row_id: str, limit: int, cursor=None,

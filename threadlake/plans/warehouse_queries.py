@@ -80,7 +80,7 @@ def flatten_document(spark, sf):
     seen = b.table(spark, sf, "orders").groupBy("o_custkey").agg(
         F.max("o_orderdate").alias("last_order"))
     nested = b.table(spark, sf, "customer").join(
-        seen, F.col("c_custkey") == F.col("o_custkey")).select(
+        seen, F.col("c_custkey") == F.col("o_custkey"), "left").select(
         F.col("c_custkey").alias("_id"), "c_name",
         F.struct(F.col("c_nationkey").alias("nation"),
                  F.col("c_mktsegment").alias("segment")).alias("profile"),
