@@ -8,8 +8,9 @@ every passage by cosine. The few windows above ``COSINE`` are checked word by wo
 common subsequence of the benchmark text and the neighbourhood of the window must cover ``COPIED``
 of the text, or ``PARAPHRASED`` of it with the answer (the last sentence) found word for word.
 
-Windows are compared with blocks of at most ``BLOCK_ITEMS`` benchmark texts; a larger benchmark takes
-one more pass over the corpus for each block, so what is broadcast stays bounded.
+Benchmark texts are indexed in blocks of ``BLOCK_ITEMS``, each with a factor of its own, and a pass
+over the corpus searches at most ``PASS_BLOCKS`` blocks; a larger benchmark takes more passes, so what
+is broadcast stays bounded.
 
 Cases. Null or empty text: not contaminated. Null or empty benchmark text: matches nothing.
 Benchmark texts under ``LEAST_WORDS`` words: matched by their full word sequence only. Repeated rows:
@@ -20,12 +21,12 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
@@ -33,11 +34,13 @@ from pyspark.sql.window import Window
 from threadlake.session import materialize
 
 WINDOW, STRIDE = 40, 20
-RANK, OVERSAMPLE, POWER_STEPS = 128, 16, 1
-COSINE = 0.35
+RANK, OVERSAMPLE, POWER_STEPS = 384, 16, 1
+COSINE = 0.3
 COPIED, PARAPHRASED = 0.7, 0.5
 LEAST_WORDS = 5
-BLOCK_ITEMS = 2048
+BLOCK_ITEMS, PASS_BLOCKS = 256, 8
+# Windows whose sums a task holds at once, in strides.
+_SLAB = 1024
 _SEPARATORS = bytes(c for c in range(128) if not chr(c).isalnum())
 _BLANKED = bytes(32 if c in _SEPARATORS else c for c in range(256))
 
@@ -47,18 +50,25 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").lower().encode().translate(_BLANKED).split()
 
 
-def common_subsequence(a: list, b: list) -> int:
-    """Length of the longest common subsequence, one machine-word row of bits per word of ``b``."""
+def places_of(a: list) -> dict:
+    """For each word the bits of its places in ``a``."""
     places: dict = {}
     for i, word in enumerate(a):
         places[word] = places.get(word, 0) | 1 << i
-    full = row = (1 << len(a)) - 1
+    return places
+
+
+def common_subsequence(places: dict, size: int, b: list) -> int:
+    """Length of the longest common subsequence of ``b`` and the ``size`` words of ``places``.
+
+    The row of the usual table is kept as bits: a word of ``b`` changes it in a few operations.
+    """
+    full = row = (1 << size) - 1
     for word in b:
         hit = row & places.get(word, 0)
         if hit:
-            row = (row + hit) | (row - hit)
-            row &= full
-    return len(a) - row.bit_count()
+            row = (row + hit | row - hit) & full
+    return size - row.bit_count()
 
 
 def has_run(run: list, text: list) -> bool:
@@ -80,47 +90,49 @@ def answer_of(text: str) -> list[bytes]:
 
 @dataclass
 class Index:
-    """What a task needs to search one block of passages."""
-    vocabulary: dict[bytes, int]      # word -> row of the factor; the last row is "other word"
-    factor: np.ndarray                # (words + 1, rank + 1): latent part, squared weight
-    passages: np.ndarray              # (rank, passages), scaled to the norm of the TF-IDF row
+    """What a task needs to search one block of benchmark texts."""
+    vocabulary: dict[bytes, int]      # word -> row of the factor
+    squares: np.ndarray               # squared weight of each word; the last is "other word"
+    factor: np.ndarray                # (words, rank)
+    passages: np.ndarray              # (rank, passages), divided by the norm of the TF-IDF row
     owner: np.ndarray                 # passage -> item
-    items: list[tuple] = field(default_factory=list)  # (id, words, answer)
-
-    def candidates(self, ids: np.ndarray) -> dict[int, list[int]]:
-        """Item -> starts of the windows near it."""
-        blocks = np.arange(0, len(ids), STRIDE)
-        sums = np.add.reduceat(self.factor[ids], blocks, axis=0)
-        if len(blocks) > 1:
-            sums = sums[:-1] + sums[1:]
-        norms = np.sqrt(sums[:, -1:])
-        near = sums[:, :-1] @ self.passages
-        rows, columns = np.nonzero(near >= COSINE * norms)
-        out: dict[int, list[int]] = {}
-        for row, column in zip(rows.tolist(), self.owner[columns].tolist()):
-            out.setdefault(column, []).append(row * STRIDE)
-        return out
-
-    def matches(self, text: str | None) -> list[tuple[object, float]]:
-        """(item id, share of its words found in order) for every item in the text."""
-        found = words(text)
-        if not found:
-            return []
-        other = len(self.factor) - 1
-        get = self.vocabulary.get
+    items: list[tuple]                # (id, number of words, places of words, words, answer)
+
+    def _near(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(window, passage) numbers whose cosine is high enough."""
+        starts = np.arange(0, len(ids), STRIDE)
+        norms = np.add.reduceat(self.squares[ids], starts)
+        sums = np.zeros((len(starts), self.factor.shape[1]), np.float32)
+        known = np.flatnonzero(ids < len(self.factor))
+        if len(known):
+            blocks, first = np.unique(known // STRIDE, return_index=True)
+            sums[blocks] = np.add.reduceat(self.factor[ids[known]], first, axis=0)
+        if len(starts) > 1:
+            sums, norms = sums[:-1] + sums[1:], norms[:-1] + norms[1:]
+        return np.nonzero(sums @ self.passages >= COSINE * np.sqrt(norms)[:, None])
+
+    def matches(self, found: list[bytes]) -> list[tuple[object, float]]:
+        """(item id, share of its words found in order) for every item in the words of a text."""
+        other, get = len(self.factor), self.vocabulary.get
         ids = np.fromiter((get(w, other) for w in found), np.int64, len(found))
+        near: dict[int, set[int]] = {}
+        for at in range(0, len(ids), _SLAB * STRIDE):  # slabs share one window
+            windows, passages = self._near(ids[at:at + (_SLAB + 1) * STRIDE])
+            for window, item in zip(windows.tolist(), self.owner[passages].tolist()):
+                near.setdefault(item, set()).add(at + window * STRIDE)
         out = []
-        for item, starts in self.candidates(ids).items():
-            id_, wanted, answer = self.items[item]
-            best = 0.0
-            # a text longer than a window reaches past it on both sides
-            reach = max(STRIDE, len(wanted))
-            for start in sorted(set(starts)):
-                near = found[max(0, start - reach):start + WINDOW + reach]
-                share = common_subsequence(wanted, near) / len(wanted)
-                if len(wanted) < LEAST_WORDS:
-                    share = float(has_run(wanted, near))
-                elif share < COPIED and not (share >= PARAPHRASED and has_run(answer, near)):
+        for item, starts in near.items():
+            id_, size, places, wanted, answer = self.items[item]
+            best, reach = 0.0, max(STRIDE, size)  # the text may begin before and end after
+            for start in sorted(starts):
+                words_near = found[max(0, start - reach):start + WINDOW + reach]
+                if sum(map(places.__contains__, words_near)) < PARAPHRASED * size:
+                    continue  # the subsequence cannot be longer than that
+                share = common_subsequence(places, size, words_near) / size
+                if size < LEAST_WORDS:
+                    share = float(has_run(wanted, words_near))
+                elif share < COPIED and not (
+                        share >= PARAPHRASED and answer and has_run(answer, words_near)):
                     continue
                 best = max(best, share)
             if best:
@@ -128,6 +140,11 @@ class Index:
         return out
 
 
+def search(pass_: list[Index], text: str | None) -> list[tuple[object, float]]:
+    found = words(text)
+    return [m for index in pass_ for m in index.matches(found)] if found else []
+
+
 def _frequencies(vocabulary: frozenset):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, rows = Counter(), 0
@@ -186,25 +203,25 @@ def randomised_svd(rows: DataFrame, width: int, rank: int) -> np.ndarray:
 
 
 def _blocks(items: DataFrame, block: int) -> Iterator[list]:
-    """Benchmark rows in blocks; each block is what one pass over the corpus searches."""
+    """Benchmark rows in blocks of bounded size."""
     stored = materialize(items.withColumn("nth", F.row_number().over(
         Window.orderBy("text", "item")) - 1), "items")
     for at in range(0, stored.count(), block):
         yield stored.where(F.col("nth").between(at, at + block - 1)).orderBy("nth").collect()
 
 
-def build_index(corpus: DataFrame, items: list, rank: int = RANK) -> Index | None:
-    """Index of one block of benchmark rows (``item, text``); ``corpus`` has one text column."""
-    spark = corpus.sparkSession
-    known = [(r["item"], words(r["text"]), answer_of(r["text"])) for r in items]
-    known = [k for k in known if k[1]]
-    if not known:
-        return None
+def frequencies(corpus: DataFrame, vocabulary: frozenset) -> dict[bytes, int]:
+    """Documents that hold each word, over the whole corpus; the empty word has all of them."""
+    counted = corpus.mapInArrow(_frequencies(vocabulary), "word binary, n bigint").groupBy(
+        "word").agg(F.sum("n").alias("n")).collect()  # at most the vocabulary
+    return {bytes(r["word"]): r["n"] for r in counted}
+
+
+def build_index(spark: SparkSession, known: list[tuple], seen: dict[bytes, int],
+                rank: int = RANK) -> Index:
+    """Index of one block of benchmark texts (id, words, answer)."""
     vocabulary = {w: i for i, w in enumerate(sorted({w for _, ws, _ in known for w in ws}))}
-    counted = corpus.mapInArrow(_frequencies(frozenset(vocabulary)), "word binary, n bigint") \
-        .groupBy("word").agg(F.sum("n").alias("n")).collect()  # at most the vocabulary
-    seen = {bytes(r["word"]): r["n"] for r in counted}
-    total = seen.pop(b"", 0)
+    total = seen.get(b"", 0)
     weight = np.log((1.0 + total) / (1.0 + np.array([seen.get(w, 0) for w in vocabulary]))) + 0.01
     cut, owner = [], []
     for i, (_, found, _) in enumerate(known):
@@ -215,25 +232,28 @@ def build_index(corpus: DataFrame, items: list, rank: int = RANK) -> Index | Non
             owner.append(i)
     rows = spark.createDataFrame(cut, "ids array<int>, weights array<double>").repartition(8)
     vectors = randomised_svd(rows, len(vocabulary), rank)
-    latent = weight[:, None] * vectors
     other = np.log(1.0 + total) + 0.01
-    factor = np.zeros((len(vocabulary) + 1, vectors.shape[1] + 1), np.float32)
-    factor[:-1, :-1] = latent
-    factor[:-1, -1], factor[-1, -1] = weight ** 2, other ** 2
     passages = np.stack([np.asarray(w) @ vectors[ids] for ids, w in cut])
     norms = np.array([np.linalg.norm(w) for _, w in cut])
-    return Index(vocabulary, factor, (passages / norms[:, None]).T.astype(np.float32),
-                 np.array(owner), known)
+    return Index(
+        vocabulary, np.append(weight, other).astype(np.float32) ** 2,
+        (weight[:, None] * vectors).astype(np.float32),
+        (passages / norms[:, None]).T.astype(np.float32), np.array(owner),
+        [(id_, len(found), places_of(found), found, answer) for id_, found, answer in known])
 
 
-def indexes(docs: DataFrame, benchmark: DataFrame, text: str, item_text: str, item_id: str,
-            rank: int = RANK, block: int = BLOCK_ITEMS) -> Iterator[Index]:
+def passes(docs: DataFrame, benchmark: DataFrame, text: str, item_text: str, item_id: str,
+           rank: int = RANK, block: int = BLOCK_ITEMS) -> Iterator[list[Index]]:
+    """Indexes of the benchmark, in the groups that one pass over the corpus searches."""
     items = benchmark.select(F.col(item_id).alias("item"), F.col(item_text).alias("text")).where(
         F.col("text").isNotNull())
-    for rows in _blocks(items, block):
-        index = build_index(docs.select(F.col(text).alias("text")), rows, rank)
-        if index is not None:
-            yield index
+    for rows in _blocks(items, block * PASS_BLOCKS):
+        known = [(r["item"], words(r["text"]), answer_of(r["text"])) for r in rows]
+        known = [k for k in known if k[1]]
+        if known:
+            seen = frequencies(docs.select(text), frozenset(w for _, ws, _ in known for w in ws))
+            yield [build_index(docs.sparkSession, known[at:at + block], seen, rank)
+                   for at in range(0, len(known), block)]
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", id_col: str = "doc_id",
@@ -251,7 +271,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", id_col: s
             index = shared.value
             for batch in batches:
                 rows = [(i.as_py(), item, share) for i, t in zip(*batch.columns)
-                        for item, share in index.matches(t.as_py())]
+                        for item, share in search(index, t.as_py())]
                 if rows:
                     ids, items, shares = zip(*rows)
                     yield pa.RecordBatch.from_pydict({
@@ -261,7 +281,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", id_col: s
 
     out = spark.createDataFrame([], schema)
     pairs = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
-    for index in indexes(docs, benchmark, text, item_text, item_id, rank, block):
+    for index in passes(docs, benchmark, text, item_text, item_id, rank, block):
         shared = spark.sparkContext.broadcast(index)  # bounded by the block of passages
         out = out.unionByName(pairs.mapInArrow(searcher(shared), schema))
     return out.select(F.col("id").alias(id_col), F.col("item").alias(item_id),
@@ -278,11 +298,11 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, text: str = "text",
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index = shared.value
             for batch in batches:
-                clean = [not index.matches(t.as_py()) for t in batch.column(at)]
+                clean = [not search(index, t.as_py()) for t in batch.column(at)]
                 yield batch.filter(pa.array(clean, pa.bool_()))
         return run
 
     out = docs
-    for index in indexes(docs, benchmark, text, item_text, item_id, rank, block):
+    for index in passes(docs, benchmark, text, item_text, item_id, rank, block):
         out = out.mapInArrow(keeper(spark.sparkContext.broadcast(index)), docs.schema)
     return out

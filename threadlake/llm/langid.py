@@ -4,8 +4,10 @@ One model per language over the letters of a text (lower case, any run of other
 one blank). Grams of each order are kept as sorted hash arrays with the finished interpolated
 log-probability in every language, and the backoff weight of the gram as a context; a gram that no
 language has falls back to its shorter suffix. A text goes to the language of the lowest
-cross-entropy per symbol. Each language has a bound, calibrated on labelled texts it was not counted
-on: a text beyond the bound of its best language is not accepted.
+cross-entropy per symbol. Each language has a bound, calibrated on labelled texts that were not
+counted: it lies ``REACH`` of the way from the mean of the language's own texts to the mean of texts
+in the other languages, wider for short texts. A text beyond the bound of its best language, which
+so looks like none of the languages known, is not accepted.
 
 What is fitted on a bounded sample: the counts and the bounds, on the first ``SAMPLE_ROWS`` rows of
 each language in hash order, whole texts, up to ``SAMPLE_CHARS`` characters per language. Every text
@@ -36,8 +38,8 @@ ORDER = 4
 SAMPLE_ROWS, SAMPLE_CHARS = 1000, 3_000_000
 # One sample row in so many calibrates the bounds and is not counted.
 CALIBRATION = 5
-# Standard deviations beyond the mean cross-entropy at which a text is no longer accepted.
-TOLERANCE = 6.0
+# Place of the bound between own and foreign texts, and standard errors added for short texts.
+REACH, ERRORS = 0.7, 3.0
 # Symbols that count as evidence in the score; more would only push it to 1.
 EVIDENCE = 40
 UNKNOWN = "und"
@@ -80,7 +82,7 @@ class Model:
     weights: list[np.ndarray]  # per order: (grams, languages) log backoff weight as a context
     floor: np.ndarray          # log-probability of a symbol that nothing has seen
     letters: np.ndarray        # packed bits: which code points are letters
-    bounds: np.ndarray | None = None  # (languages, 3): mean, variance of texts, of symbols
+    bounds: np.ndarray | None = None  # (languages, 2): cross-entropy bound, variance of symbols
 
     def unpacked(self) -> np.ndarray:
         return np.unpackbits(self.letters).astype(bool)
@@ -126,8 +128,8 @@ class Model:
     def accepts(self, lang: int, loss: float, size: int) -> bool:
         if self.bounds is None:
             return True
-        mean, of_texts, of_symbols = self.bounds[lang]
-        return bool(loss <= mean + TOLERANCE * np.sqrt(of_texts + of_symbols / size))
+        bound, variance = self.bounds[lang]
+        return bool(loss <= bound + ERRORS * np.sqrt(variance / size))
 
 
 def kneser_ney(counts: pd.DataFrame, langs: list[str]) -> Model:
@@ -213,13 +215,13 @@ def _losses(model: Model):
                 codes = symbols(text, letters)
                 if codes is not None:
                     loss, variance, size = model.entropies(codes)
-                    i = model.langs.index(lang)
-                    rows.append((lang, float(loss[i]), float(variance[i]), size))
+                    rows += [(own, own == lang, float(a), float(b), size)
+                             for own, a, b in zip(model.langs, loss, variance)]
             if rows:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, k) for c, k in zip(zip(*rows), (
-                        pa.string(), pa.float64(), pa.float64(), pa.int64()))],
-                    names=["lang", "loss", "variance", "size"])
+                        pa.string(), pa.bool_(), pa.float64(), pa.float64(), pa.int64()))],
+                    names=["lang", "own", "loss", "variance", "size"])
 
     return run
 
@@ -253,17 +255,21 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", id_col: str = "
     if not langs:
         return Model([], [], [], [], np.zeros(0), _LETTER_BITS)
     model = kneser_ney(counts, langs)
-    known = F.col("lang").isin(langs)
-    seen = sample.where(spare & known).select("lang", "text").mapInArrow(
-        _losses(model), "lang string, loss double, variance double, size bigint").groupBy(
-        "lang").agg(F.avg("loss").alias("mean"),
-                    F.coalesce(F.var_samp(F.when(F.col("size") >= 200, F.col("loss"))),
-                               F.lit(0.04)).alias("texts"),
-                    F.avg("variance").alias("symbols")).toPandas()
+    seen = sample.where(spare & F.col("lang").isin(langs)).select("lang", "text").mapInArrow(
+        _losses(model), "lang string, own boolean, loss double, variance double, size bigint"
+    ).groupBy("lang", "own").agg(  # every symbol weighs the same
+        (F.sum(F.col("loss") * F.col("size")) / F.sum("size")).alias("mean"),
+        (F.sum(F.col("variance") * F.col("size")) / F.sum("size")).alias("variance")).toPandas()
     sample.unpersist()
-    bounds = np.tile([np.inf, 0.0, 0.0], (len(langs), 1))  # without calibration all is accepted
-    for row in seen.itertuples():
-        bounds[langs.index(row.lang)] = row.mean, max(row.texts, 0.01), row.symbols
+    mean = {(r.lang, r.own): r.mean for r in seen.itertuples()}
+    variance = {r.lang: r.variance for r in seen.itertuples() if r.own}
+    bounds = np.tile([np.inf, 0.0], (len(langs), 1))  # without calibration all is accepted
+    for i, lang in enumerate(langs):
+        if (lang, True) in mean:
+            # with one language only, foreign is what has no pattern: all letters alike
+            foreign = mean.get((lang, False), np.log(len(model.hashes[0])))
+            low = mean[lang, True]
+            bounds[i] = low + REACH * max(foreign - low, 0.5), variance[lang]
     model.bounds = bounds
     return model
 
