@@ -155,7 +155,7 @@ def test_text_contains_matches_brute_force(spark):
     n = spark.createDataFrame(list(enumerate(needles)), "nid int, needle string")
     got = validate.text_contains(t, n, "tid", "text", "nid", "needle")
     want = sorted((i, j) for i, x in enumerate(texts) for j, y in enumerate(needles)
-                  if y and y in x)
+                  if y in x)
     assert pairs(got, "tid", "nid") == want
     assert pairs(validate.name_contains(t, "text", "CAT"), "tid") == [(0,), (1,), (2,)]
 
@@ -169,6 +169,24 @@ def test_resends(spark):
         (1, 1, False), (2, 1, True), (3, 3, False)]
 
 
+def test_pending_rows_stay_apart(spark):
+    schema = "message_id long, room_id long, sender_id long, client_msg_id string, body string"
+    held = spark.createDataFrame([(None, 0, 7, f"c{i}", f"pending {i}") for i in (1, 2, 3)],
+                                 schema)
+    new = spark.createDataFrame([(9, 0, 7, "c1", "sent")], schema)
+    assert pairs(reconcile_by_either_key(held, new), "body") == [
+        ("pending 2",), ("pending 3",), ("sent",)]
+
+
+def test_needles_stay_in_their_group(spark):
+    t = spark.createDataFrame([(1, 0, "a b c"), (2, 1, "a b c"), (3, 0, "")],
+                              "tid int, room int, text string")
+    n = spark.createDataFrame([(1, 0, "a b c"), (2, 1, "b"), (3, 0, ""), (4, 2, "a")],
+                              "nid int, room int, needle string")
+    got = validate.text_contains(t, n, "tid", "text", "nid", "needle", group="room")
+    assert pairs(got, "tid", "nid") == [(1, 1), (1, 3), (2, 2), (3, 3)]
+
+
 def test_reconcile_by_either_key(spark):
     schema = "message_id long, room_id long, sender_id long, client_msg_id string, body string"
     held = spark.createDataFrame([(None, 0, 7, "c1", "sending"), (5, 0, 8, "c2", "old")], schema)

@@ -14,7 +14,7 @@ from threadlake.operators.chunking import chunk_documents
 from threadlake.operators.dedup import near_dup_collapse
 from threadlake.operators.knn import best_rows, vector_knn
 from threadlake.operators.lexical import lexical_leg
-from threadlake.operators.scope import permission_scope
+from threadlake.operators.scope import permission_scope, source_sender
 from threadlake.plans import search
 
 AT = dt.datetime(2025, 1, 1)
@@ -101,6 +101,23 @@ def test_knn_is_exact(spark, block, per_pivot):
     assert pairs(got, "query_id", "point_id", "rank") == sorted(want)
 
 
+@pytest.mark.parametrize("block,per_pivot", [(4096, 16_384), (8, 40)])
+def test_knn_is_cosine_whatever_the_lengths(spark, block, per_pivot):
+    rng = np.random.default_rng(4)
+    points, asked = vectors(300, 8, 5), vectors(20, 8, 6)
+    p = spark.createDataFrame(
+        [(i, 1, (v * s).tolist()) for (i, v), s in zip(enumerate(points), rng.uniform(.1, 9, 300))],
+        "point_id int, room_id int, vector array<double>")
+    q = spark.createDataFrame([(i, (v * 3).tolist()) for i, v in enumerate(asked)],
+                              "query_id int, vector array<double>")
+    s = spark.createDataFrame([(i, 1) for i in range(20)], "query_id int, room_id int")
+    scores = np.round(asked @ points.T, 6)
+    want = [(i, j, r + 1) for i in range(20)
+            for r, j in enumerate(sorted(range(300), key=lambda j: (-scores[i, j], j))[:5])]
+    assert pairs(vector_knn(q, p, s, 5, block, per_pivot), "query_id", "point_id",
+                 "rank") == sorted(want)
+
+
 def test_knn_without_rooms_or_points(spark):
     p = spark.createDataFrame([(1, 1, [1.0, 0.0])], "point_id int, room_id int, vector array<double>")
     q = spark.createDataFrame([(1, [1.0, 0.0])], "query_id int, vector array<double>")
@@ -205,6 +222,9 @@ def test_context_and_citations(spark):
     assert pairs(got, "index", "key", "sender_name") == [(1, "message:9", "Ann"),
                                                          (2, "doc:3:0", "plan.pdf")]
     assert len(got.where("index = 1").first()["snippet"]) == 180
+    assert [tuple(r) for r in got.orderBy("index").select(
+        "message_id", "doc_id", "chunk_index", "page").collect()] == [
+        (9, None, None, None), (None, 3, 0, 4)]
 
 
 def test_decisions_with_the_real_word_list(spark):
@@ -303,6 +323,19 @@ def test_golden_set_end_to_end(spark):
     assert evaluation.misses(expected, ranked).count() == 0
 
 
+def test_messages_without_vectors_and_documents_are_found(spark):
+    messages, chunks, rooms, questions, _, members = golden(spark)
+    points = search.message_points(messages.where("message_id <> 3"), rooms).unionByName(
+        search.chunk_points(chunks, rooms))
+    scope = permission_scope(questions, members, rooms)
+    found = search.hybrid_retrieve(questions, points, messages, rooms, scope)
+    users = spark.createDataFrame([(10, "Ann", "Ann")],
+                                  "user_id long, username string, display_name string")
+    senders = {r.key: r.sender for r in source_sender(found, users).collect()}
+    assert senders["message:3"] == "Ann" and senders["message:4"] == "Deleted user"
+    assert senders["doc:70:0"] == "fair.md"
+
+
 def test_left_rooms_stay_hidden(spark):
     messages, chunks, rooms, questions, _, members = golden(spark)
     points = search.message_points(messages, rooms)

@@ -56,15 +56,14 @@ def test_replayed_messages_make_one_point(spark, own, folder):
 
 
 def test_document_status(own, folder):
-    rooms = own.createDataFrame([(1, True)], "room_id long, ai_enabled boolean")
     source = Source(own, folder, "doc_id long, room_id long, filename string, text string, "
                                  "page_offsets array<int>")
     source.add([(1, 1, "a", "x" * 2500, [0]), (2, 1, "b", None, [0]), (3, 1, "c", "", [0]),
                 (4, 9, "d", "other room", [0])])
-    points, status = ingest.stream_doc_ingest(source.stream(), rooms, f"{folder}/docs")
+    points, status = ingest.stream_doc_ingest(source.stream(), f"{folder}/docs")
     assert pairs(status.read(), "doc_id", "status", "chunk_count") == [
-        (1, "ready", 2), (2, "failed", 0), (3, "ready", 0)]
-    assert pairs(points.read(), "doc_id", "chunk_index") == [(1, 0), (1, 1)]
+        (1, "ready", 2), (2, "failed", 0), (3, "ready", 0), (4, "ready", 1)]
+    assert pairs(points.read(), "doc_id", "chunk_index") == [(1, 0), (1, 1), (4, 0)]
 
 
 def test_point_table(spark, folder):

@@ -51,19 +51,22 @@ def reconcile_by_either_key(stored: DataFrame, arriving: DataFrame) -> DataFrame
 
     A row equals a stored one when either its client id or its id matches, inside one room.
     The later arrival replaces the earlier row. Two passes suffice because a client id maps to
-    one id once the server has answered: first per client id, then per id.
+    one id once the server has answered: first per client id, then per id. Rows without an id
+    are still pending; they are only ever replaced by their client id.
     """
     both = stored.withColumn("_seq", F.lit(0)).unionByName(
         arriving.withColumn("_seq", F.lit(1)), allowMissingColumns=True)
-    newest = [F.col("_seq").desc(), F.col("message_id").desc_nulls_last()]
+    newest = [F.col("_seq").desc(), F.col("message_id").desc_nulls_last(),
+              *[F.col(c).desc_nulls_last() for c in ("body",) if c in both.columns]]
     keyed = both.where(F.col("client_msg_id").isNotNull())
     unkeyed = both.where(F.col("client_msg_id").isNull())
     by_client = top_within(keyed, ["room_id", "sender_id", "client_msg_id"], newest, 1,
                            "_pick").drop("_pick").unionByName(unkeyed)
-    by_id = top_within(by_client, ["room_id", "message_id"],
+    by_id = top_within(by_client.where(F.col("message_id").isNotNull()),
+                       ["room_id", "message_id"],
                        [F.col("_seq").desc(), F.col("client_msg_id").desc_nulls_last()], 1,
-                       "_pick")
-    return by_id.drop("_pick", "_seq")
+                       "_pick").drop("_pick")
+    return by_id.unionByName(by_client.where(F.col("message_id").isNull())).drop("_seq")
 
 
 def near_dup_collapse(ranked: DataFrame, limit: int, query: str = "query_id",

@@ -19,17 +19,15 @@ def resolve_anchors(anchors: DataFrame, messages: DataFrame, chunks: DataFrame)
         "#", F.col("query_id").cast("string"), F.col("anchor_id").cast("string")))
     said = tagged.where(F.coalesce("kind", F.lit("message")) != "doc")
     written = tagged.where(F.col("kind") == "doc")
-    hits = text_contains(messages, said, "message_id", "body", "_id", "contains").join(
-        messages.select("message_id", F.col("room_id").alias("_room")), "message_id").join(
-        said.select("_id", "query_id", "anchor_id", "room_id"), "_id").where(
-        F.col("_room") == F.col("room_id"))
+    hits = text_contains(messages, said, "message_id", "body", "_id", "contains",
+                         group="room_id").join(
+        said.select("_id", "query_id", "anchor_id"), "_id")
     by_message = hits.groupBy("query_id", "anchor_id").agg(
         message_key(F.min("message_id")).alias("key"))
     cells = chunks.withColumn("_chunk", F.struct("doc_id", "chunk_index"))
-    found = text_contains(cells, written, "_chunk", "text", "_id", "contains").join(
-        cells.select("_chunk", F.col("room_id").alias("_room")), "_chunk").join(
-        written.select("_id", "query_id", "anchor_id", "room_id"), "_id").where(
-        F.col("_room") == F.col("room_id"))
+    found = text_contains(cells, written, "_chunk", "text", "_id", "contains",
+                          group="room_id").join(
+        written.select("_id", "query_id", "anchor_id"), "_id")
     by_doc = found.groupBy("query_id", "anchor_id").agg(F.min("_chunk").alias("_c")).select(
         "query_id", "anchor_id",
         doc_key(F.col("_c.doc_id"), F.col("_c.chunk_index")).alias("key"))

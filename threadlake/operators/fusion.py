@@ -103,8 +103,15 @@ def map_citations(answers: DataFrame, packed: DataFrame) -> DataFrame:
     shown = packed.groupBy("query_id").agg(F.max("source_index").alias("_shown"))
     marks = answers.join(shown, "query_id").select("query_id", F.explode(
         citation_markers(F.col("answer"), F.col("_shown"))).alias("source_index"))
+    part = lambda i: F.get(F.split("key", ":"), F.lit(i))
+    is_doc = F.col("kind") == "doc"
     return marks.join(packed, ["query_id", "source_index"]).select(
         "query_id", F.col("source_index").alias("index"), "kind", "room_id", "key",
+        F.when(~is_doc, part(1).try_cast("bigint")).alias("message_id"),
+        F.when(is_doc, part(1).try_cast("bigint")).alias("doc_id"),
+        F.when(is_doc, part(2).try_cast("int")).alias("chunk_index"),
+        (F.when(is_doc, F.col("page")) if "page" in packed.columns else F.lit(None))
+        .cast("int").alias("page"),
         snippet(F.col("text")).alias("snippet"),
         F.coalesce("sender_name", F.when(F.col("kind") == "doc", F.col("filename")))
         .alias("sender_name"), "created_at")

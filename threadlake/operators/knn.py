@@ -45,6 +45,13 @@ def best_rows(scores: np.ndarray, k: int) -> list[np.ndarray]:
     return out
 
 
+def _unit(vector: str) -> F.Column:
+    """The vector in double precision at length one; zero stays zero."""
+    values = F.col(vector).cast("array<double>")
+    size = F.sqrt(F.aggregate(values, F.lit(0.0), lambda a, v: a + v * v))
+    return F.transform(values, lambda v: F.when(size > 0, v / size).otherwise(v))
+
+
 def _pivots(points: DataFrame, count: int) -> np.ndarray:
     """A spread-out sample of at most MAX_PIVOTS vectors; the only data kept on the driver."""
     rows = points.orderBy(F.xxhash64("point_id"), "point_id").limit(count).collect()
@@ -123,10 +130,11 @@ def vector_knn(queries: DataFrame, points: DataFrame, scope: DataFrame, k: int =
     """(query_id, point_id, room_id, score, rank): exact top k over the rooms in scope.
 
     ``queries(query_id, vector)``, ``points(point_id, room_id, vector)``,
-    ``scope(query_id, room_id)``; unit vectors. Scores have six decimals, ties go to the
-    smaller point id.
+    ``scope(query_id, room_id)``. The score is the cosine with six decimals, whatever the length
+    of the vectors; ties go to the smaller point id.
     """
-    points = points.select("point_id", "room_id", "vector")
+    points = points.select("point_id", "room_id", _unit("vector").alias("vector"))
+    queries = queries.select("query_id", _unit("vector").alias("vector"))
     total = points.count()
     if total == 0:
         return points.sparkSession.createDataFrame(

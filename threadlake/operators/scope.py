@@ -52,6 +52,15 @@ def enrich_sender(messages: DataFrame, users: DataFrame) -> DataFrame:
     })
 
 
+def source_sender(sources: DataFrame, users: DataFrame) -> DataFrame:
+    """``sender`` of retrieved sources: the display name, the placeholder for a sender without an
+    account, and for a source that nobody sent its file name, if it has one."""
+    known = users.select(F.col("user_id").alias("sender_id"), F.col("display_name").alias("_name"))
+    return sources.join(known, "sender_id", "left").withColumn("sender", F.coalesce(
+        "_name", F.when(F.col("sender_id").isNotNull(), F.lit(GHOST_DISPLAY_NAME)),
+        F.col("filename"))).drop("_name")
+
+
 def enrich_room_name(rows: DataFrame, rooms: DataFrame) -> DataFrame:
     names = rooms.select("room_id", F.col("name").alias("room_name"))
     return rows.join(names, "room_id", "left").withColumn(

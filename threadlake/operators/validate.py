@@ -67,16 +67,22 @@ def name_contains(df: DataFrame, column: str, needle: str) -> DataFrame:
     return df.where(F.lower(column).contains(needle.lower()))
 
 
+# Parts among which an empty needle shares out the texts, all of which it is found in.
+_EMPTY_PARTS = 64
+
+
 def text_contains(texts: DataFrame, needles: DataFrame, text_id: str, text: str,
-                  needle_id: str, needle: str) -> DataFrame:
+                  needle_id: str, needle: str, group: str | None = None) -> DataFrame:
     """(text_id, needle_id) wherever the needle occurs literally in the text.
 
     No pairs are tried blindly. A needle of three or more words can only occur where its
     inner words occur whole, so its rarest inner word (by texts holding it) is the join key.
     A shorter needle is keyed by its first characters instead. Every candidate is then
-    checked with ``contains``.
+    checked with ``contains``. The empty needle occurs in every text. With ``group``, a column
+    of both tables, a needle is only looked for in the texts of its own group.
     """
-    keyed = needles.select(needle_id, needle, F.split(F.col(needle), " ").alias("_parts"))
+    also = [group] if group else []
+    keyed = needles.select(needle_id, needle, *also, F.split(F.col(needle), " ").alias("_parts"))
     # inner parts are delimited by single spaces on both sides; empty parts carry no word
     inner = F.filter(F.slice(F.col("_parts"), 2, F.greatest(F.size("_parts") - 2, F.lit(0))),
                      lambda w: w != "")
@@ -85,30 +91,36 @@ def text_contains(texts: DataFrame, needles: DataFrame, text_id: str, text: str,
     short_needles = keyed.where(F.size("_inner") == 0)
 
     texts = spread(texts)
-    tokens = texts.select(text_id, F.explode(F.array_distinct(F.split(F.col(text), " ")))
+    on = ["_token", *also]
+    tokens = texts.select(text_id, *also, F.explode(F.array_distinct(F.split(F.col(text), " ")))
                           .alias("_token"))
-    wanted = long_needles.select(needle_id, F.explode("_inner").alias("_token"))
-    df_count = (tokens.join(wanted.select("_token").distinct(), "_token", "left_semi")
-                .groupBy("_token").agg(F.count(F.lit(1)).alias("_df")))
+    wanted = long_needles.select(needle_id, *also, F.explode("_inner").alias("_token"))
+    df_count = (tokens.join(wanted.select(*on).distinct(), on, "left_semi")
+                .groupBy(*on).agg(F.count(F.lit(1)).alias("_df")))
     # a word no text holds settles its needle: the inner join drops it
-    ranked = wanted.join(df_count, "_token", "left").groupBy(needle_id).agg(
+    ranked = wanted.join(df_count, on, "left").groupBy(needle_id, *also).agg(
         F.min(F.struct(F.coalesce("_df", F.lit(0)).alias("df"), F.col("_token").alias("t")))
         .alias("_best"))
-    anchors = ranked.where("_best.df > 0").select(needle_id, F.col("_best.t").alias("_token"))
-    pairs = tokens.join(anchors, "_token").select(text_id, needle_id)
+    anchors = ranked.where("_best.df > 0").select(needle_id, *also,
+                                                  F.col("_best.t").alias("_token"))
+    pairs = tokens.join(anchors, on).select(text_id, needle_id)
 
-    sizes = [r[0] for r in short_needles.select(
-        F.least(F.length(needle), F.lit(3)).alias("n")).distinct().collect()]
-    for n in sizes:  # at most the sizes 0..3
+    for n in (1, 2, 3):
         some = short_needles.where(F.least(F.length(needle), F.lit(3)) == n)
-        if n == 0:
-            continue  # the empty needle names no place
-        grams = texts.where(F.length(text) >= n).select(text_id, F.explode(F.array_distinct(
-            F.transform(F.sequence(F.lit(1), F.length(text) - n + 1),
-                        lambda i: F.substring(F.col(text), i, F.lit(n))))).alias("_token"))
+        grams = texts.where(F.length(text) >= n).select(
+            text_id, *also, F.explode(F.array_distinct(
+                F.transform(F.sequence(F.lit(1), F.length(text) - n + 1),
+                            lambda i: F.substring(F.col(text), i, F.lit(n))))).alias("_token"))
         pairs = pairs.unionByName(grams.join(some.select(
-            needle_id, F.substring(needle, 1, n).alias("_token")), "_token")
+            needle_id, *also, F.substring(needle, 1, n).alias("_token")), on)
             .select(text_id, needle_id))
+    part = ["_part", *also]
+    every = texts.where(F.col(text).isNotNull()).withColumn(
+        "_part", F.pmod(F.xxhash64(text_id), F.lit(_EMPTY_PARTS)))
+    empty = short_needles.where(F.col(needle) == "").withColumn(
+        "_part", F.explode(F.sequence(F.lit(0), F.lit(_EMPTY_PARTS - 1)).cast("array<bigint>")))
+    pairs = pairs.unionByName(every.select(text_id, *part).join(
+        empty.select(needle_id, *part), part).select(text_id, needle_id))
     return (pairs.join(texts.select(text_id, text), text_id)
             .join(needles.select(needle_id, needle), needle_id)
             .where(F.col(text).contains(F.col(needle))).select(text_id, needle_id))

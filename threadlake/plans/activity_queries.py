@@ -121,6 +121,19 @@ def text_contains(spark, sf):
         "doc_id", "text", "item_id", "passage")
 
 
+@query("text_contains_short", """
+    SELECT doc_id, item_id FROM documents d,
+           (SELECT item_id, substr(text, 2, item_id % 12) AS part FROM benchmark) q
+    WHERE contains(d.text, q.part)""")
+def text_contains_short(spark, sf):
+    """Needles of one word or part of one, keyed by their first characters, and the empty one."""
+    return validate.text_contains(
+        b.table(spark, sf, "documents").select("doc_id", "text"),
+        b.table(spark, sf, "benchmark").select("item_id", F.substr(
+            F.col("text"), F.lit(2), (F.col("item_id") % 12).cast("int")).alias("part")),
+        "doc_id", "text", "item_id", "part")
+
+
 # --- cursors -----------------------------------------------------------------------------
 
 @query("unread_counts", """

@@ -146,19 +146,38 @@ def _vector_setup(spark, sf):
     return points, queries
 
 
-@query("vector_knn", f"""
+# Every vector asks in three of the ten rooms that the labels make, so all take part.
+_KNN_SQL = f"""
     SELECT query_id, point_id, room_id, score, CAST(rank AS INTEGER) AS rank FROM (
       SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, point_id) AS rank
-      FROM (SELECT q.vec_id AS query_id, p.vec_id AS point_id, m.room_id,
-                   round(list_dot_product(CAST(q.embedding AS DOUBLE[]),
-                                          CAST(p.embedding AS DOUBLE[])), 6) AS score
-            FROM embeddings q JOIN b_memberships m ON m.user_id = q.vec_id
-            JOIN embeddings p ON p.label = m.room_id)) WHERE rank <= {LEG_LIMIT}""")
-def vector_knn_query(spark, sf):
-    """Every vector asks for the user of the same number, in the rooms that user is in."""
+      FROM (SELECT q.query_id, p.vec_id AS point_id, q.room_id,
+                   round(list_dot_product(q.vec, CAST(p.embedding AS DOUBLE[]))
+                         / sqrt(list_dot_product(q.vec, q.vec))
+                         / sqrt(list_dot_product(CAST(p.embedding AS DOUBLE[]),
+                                                 CAST(p.embedding AS DOUBLE[]))), 6) AS score
+            FROM (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS vec,
+                         unnest([vec_id % 10, (vec_id + 3) % 10, (vec_id + 7) % 10]) AS room_id
+                  FROM embeddings) q
+            JOIN embeddings p ON p.label = q.room_id)) WHERE rank <= {LEG_LIMIT}"""
+
+
+def _knn(spark, sf, **bounds):
     points, queries = _vector_setup(spark, sf)
-    allowed = b.memberships(spark, sf).select(F.col("user_id").alias("query_id"), "room_id")
-    return vector_knn(queries, points, allowed)
+    allowed = queries.select("query_id", F.explode(F.array(*[
+        (F.col("query_id") + n) % 10 for n in (0, 3, 7)])).alias("room_id"))
+    return vector_knn(queries, points, allowed, **bounds)
+
+
+@query("vector_knn", _KNN_SQL)
+def vector_knn_query(spark, sf):
+    """Every vector asks in three rooms."""
+    return _knn(spark, sf)
+
+
+@query("vector_knn_bounded", _KNN_SQL)
+def vector_knn_bounded(spark, sf):
+    """The same with blocks so small that cells are skipped by their bounds."""
+    return _knn(spark, sf, block_points=16, points_per_pivot=50)
 
 
 @query("count_points", """
@@ -181,22 +200,33 @@ def delete_points(spark, sf):
 
 
 @query("upsert_points", """
-    SELECT vec_id AS point_id, CASE WHEN label >= 5 THEN 'new' ELSE 'old' END AS version,
-           CAST(round(CAST(embedding[1] AS DOUBLE) * 1000000) AS BIGINT) AS first_millionths FROM embeddings""")
+    SELECT vec_id AS point_id, CASE WHEN label >= 5 THEN 'apple, edited' ELSE 'zebra' END
+             AS version,
+           array_to_string(list_transform(embedding, lambda v:
+             CAST(CAST(round(CAST(v AS DOUBLE) * 1000000
+                             * CASE WHEN label >= 5 THEN -1 ELSE 1 END) AS BIGINT) AS VARCHAR)),
+             ',') AS vector
+    FROM embeddings""")
 def upsert_points(spark, sf):
-    """A point table receives all vectors, then the upper half of the labels twice more."""
+    """A point table receives all vectors; then one batch brings the upper half of the labels as
+    it was and as edited later, twice. The later edit wins, not the greater text."""
     vectors = b.table(spark, sf, "embeddings").select(
         F.col("vec_id").alias("point_id"), F.col("label"), F.col("embedding").alias("vector"))
-    store = point_table.PointTable(spark, scratch_path(spark, "points"),
-                                   "point_id bigint, label int, version string, "
-                                   "vector array<float>")
-    store.upsert(vectors.withColumn("version", F.lit("old")), 0)
-    replay = vectors.where("label >= 5").withColumn("version", F.lit("new"))
-    store.upsert(replay, 1)
-    store.upsert(replay, 2)
+    store = point_table.PointTable(
+        spark, scratch_path(spark, "points"),
+        "point_id bigint, label int, version string, edited bigint, vector array<float>",
+        order=("edited",))
+    first = vectors.withColumns({"version": F.lit("zebra"), "edited": F.lit(1).cast("bigint")})
+    store.upsert(first, 0)
+    later = first.where("label >= 5").withColumns({
+        "version": F.lit("apple, edited"), "edited": F.lit(2).cast("bigint"),
+        "vector": F.transform("vector", lambda v: -v)})
+    batch = first.where("label >= 5").unionByName(later)
+    store.upsert(batch, 1)
+    store.upsert(batch, 2)
     return store.read().select(
-        "point_id", "version", F.round(F.element_at("vector", 1).cast("double") * 1_000_000)
-        .cast("bigint").alias("first_millionths"))
+        "point_id", "version", F.array_join(F.transform("vector", lambda v: F.round(
+            v.cast("double") * 1_000_000).cast("bigint").cast("string")), ",").alias("vector"))
 
 
 # --- search ------------------------------------------------------------------------------
@@ -265,9 +295,9 @@ def hybrid_search(spark, sf):
     users = b.table(spark, sf, "supplier").select(
         F.col("s_suppkey").alias("user_id"), F.col("s_name").alias("username"),
         F.col("s_name").alias("display_name"))
-    named = scope.enrich_room_name(scope.enrich_sender(found, users), rooms)
+    named = scope.enrich_room_name(scope.source_sender(found, users), rooms)
     return named.select("query_id", "key", "final_rank", "room_name", "created_at", "text",
-                        F.col("display_name").alias("sender"))
+                        "sender")
 
 
 _OVERLAP = (f"len(list_filter({tokens_sql('body')}, lambda t: "
@@ -318,6 +348,8 @@ def build_context(spark, sf):
 
 @query("map_citations", """
     SELECT query_id, CAST(source_index AS INTEGER) AS index, 'message' AS kind, room_id, key,
+           CAST(split_part(key, ':', 2) AS BIGINT) AS message_id, CAST(NULL AS BIGINT) AS doc_id,
+           CAST(NULL AS INTEGER) AS chunk_index, CAST(NULL AS INTEGER) AS page,
            substr(body, 1, 180) AS snippet, 'user ' || sender_id AS sender_name,
            strftime(created_at, '%Y-%m-%d %H:%M:%S.%f') AS created_at
     FROM r_packed p JOIN r_once o USING (query_id, final_rank)

@@ -61,11 +61,13 @@ def message_sources(messages: DataFrame, rooms: DataFrame) -> DataFrame:
 def hybrid_retrieve_sources(questions: DataFrame, points: DataFrame, sources: DataFrame,
                             messages: DataFrame, rooms: DataFrame, scope: DataFrame,
                             limit: int = FUSED_LIMIT) -> DataFrame:
-    """``hybrid_retrieve`` where some sources have no vectors: they are listed in ``sources``
-    beside those of ``points``."""
+    """``hybrid_retrieve`` where ``sources`` lists further sources, with or without vectors; a
+    source also in ``points`` is taken from there."""
     fused = rrf_fusion(vector_leg(questions, points, scope),
                        message_lexical_leg(questions, messages, rooms, scope))
-    known = points.select(*SOURCE_COLUMNS).unionByName(sources.select(*SOURCE_COLUMNS))
+    held = points.select(*SOURCE_COLUMNS)
+    known = held.unionByName(sources.select(*SOURCE_COLUMNS).join(
+        held.select("key"), "key", "left_anti"))
     ranked = fused.join(known, "key").join(questions.select("query_id", "question"),
                                            "query_id")
     return near_dup_collapse(ranked, limit)
@@ -74,6 +76,9 @@ def hybrid_retrieve_sources(questions: DataFrame, points: DataFrame, sources: Da
 def hybrid_retrieve(questions: DataFrame, points: DataFrame, messages: DataFrame,
                     rooms: DataFrame, scope: DataFrame,
                     limit: int = FUSED_LIMIT) -> DataFrame:
-    """Final sources per question with ``final_rank``; both legs see only the scope."""
-    nothing = points.select(*SOURCE_COLUMNS).where(F.lit(False))
-    return hybrid_retrieve_sources(questions, points, nothing, messages, rooms, scope, limit)
+    """Final sources per question with ``final_rank``; both legs see only the scope.
+
+    A message that has no vector yet is found by its words.
+    """
+    return hybrid_retrieve_sources(questions, points, message_sources(messages, rooms), messages,
+                                   rooms, scope, limit)

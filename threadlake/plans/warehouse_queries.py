@@ -158,26 +158,31 @@ def dedup_send_query(spark, sf):
 
 @query("reconcile_keys", """
     WITH both_sides AS (
-      SELECT message_id, room_id, sender_id, client_msg_id, body, 0 AS seq FROM b_messages
+      SELECT CASE WHEN message_id % 7 > 0 THEN message_id END AS message_id, room_id, sender_id,
+             client_msg_id, body, 0 AS seq FROM b_messages
       WHERE kind IS NOT DISTINCT FROM 'user'
       UNION ALL
       SELECT message_id, room_id, sender_id, client_msg_id, upper(body), 1
       FROM b_messages WHERE body LIKE 'purchase%' OR kind = 'ai'),
     by_client AS (
       SELECT *, row_number() OVER (PARTITION BY room_id, sender_id, client_msg_id
-                                   ORDER BY seq DESC, message_id DESC) AS c FROM both_sides),
+                                   ORDER BY seq DESC, message_id DESC NULLS LAST,
+                                            body DESC) AS c FROM both_sides),
     by_id AS (
       SELECT *, row_number() OVER (PARTITION BY room_id, message_id
                                    ORDER BY seq DESC, client_msg_id DESC) AS i
       FROM by_client WHERE c = 1)
-    SELECT message_id, room_id, sender_id, client_msg_id, body FROM by_id WHERE i = 1""")
+    SELECT message_id, room_id, sender_id, client_msg_id, body FROM by_id
+    WHERE i = 1 OR message_id IS NULL""")
 def reconcile_keys(spark, sf):
-    """The user messages held, merged with arriving purchases and answers."""
+    """The user messages held, merged with arriving purchases and answers. One held message in
+    seven is still pending and has no id."""
     held = b.messages(spark, sf).select("message_id", "room_id", "sender_id", "client_msg_id",
                                         "kind", "body")
     arriving = held.where(F.col("body").startswith("purchase") | (F.col("kind") == "ai"))
     return reconcile_by_either_key(
-        held.where(F.col("kind") == "user").drop("kind"),
+        held.where(F.col("kind") == "user").drop("kind").withColumn(
+            "message_id", F.when(F.col("message_id") % 7 > 0, F.col("message_id"))),
         arriving.withColumn("body", F.upper("body")).drop("kind"))
 
 

@@ -60,8 +60,13 @@ def bronze_schema(name: str) -> StructType:
 
 
 def conform(df: DataFrame, schema: StructType) -> DataFrame:
-    """Add the schema's missing columns as typed nulls; keep what is there, extras included."""
-    present = set(df.columns)
+    """The schema's columns in its types, missing ones as nulls; extras are kept as they are.
+
+    A value that does not fit the type becomes null.
+    """
+    present = {f.name: f.dataType for f in df.schema.fields}
     return df.withColumns({
-        f.name: F.lit(None).cast(f.dataType) for f in schema.fields if f.name not in present
+        f.name: F.col(f.name).try_cast(f.dataType) if f.name in present
+        else F.lit(None).cast(f.dataType)
+        for f in schema.fields if present.get(f.name) != f.dataType
     })

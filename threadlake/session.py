@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -32,8 +35,27 @@ def local_session(app: str = "threadlake", cpus: str = "*", shuffle: int = 8,
 
 
 def use_utc(spark: SparkSession) -> SparkSession:
-    """Calendar columns are defined on UTC days."""
+    """Calendar columns are defined on UTC days; workers get the package."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    return ship_package(spark)
+
+
+def ship_package(spark: SparkSession) -> SparkSession:
+    """Send this package to the Python workers, once per application.
+
+    The archive lies in Spark's own folder for files to distribute.
+    """
+    context, name = spark.sparkContext, f"{__package__}.zip"
+    if name not in context._python_includes:
+        home = os.path.dirname(os.path.abspath(__file__))
+        path = os.path.join(SparkFiles.getRootDirectory(), "packed", name)
+        os.makedirs(os.path.dirname(path), exist_ok=True)
+        with zipfile.ZipFile(path, "w") as packed:
+            for folder, _, files in os.walk(home):
+                for file in sorted(f for f in files if f.endswith(".py")):
+                    full = os.path.join(folder, file)
+                    packed.write(full, os.path.relpath(full, os.path.dirname(home)))
+        context.addPyFile(path)
     return spark
 
 
@@ -44,8 +66,8 @@ def scratch_dir(spark: SparkSession) -> str:
     folder of its own: on a cluster a machine-local folder would be lost with its machine.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return shared.rstrip("/")
+    if shared:  # a folder per application, so that what it leaves can be removed as one
+        return f"{shared.rstrip('/')}/threadlake-{spark.sparkContext.applicationId}"
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
     if not _local_scratch:
@@ -53,6 +75,15 @@ def scratch_dir(spark: SparkSession) -> str:
     return _local_scratch[0]
 
 
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove the tables this application has left in shared storage.
+
+    For the caller, once the results that read them are written.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
 

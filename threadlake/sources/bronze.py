@@ -83,7 +83,8 @@ class ExtractResult:
 class WatermarkTable:
     """Per-collection watermarks as a small append-only Parquet table.
 
-    A missing or unreadable table counts as empty, which means a full extract.
+    A missing table means a full extract; a table that cannot be read is an error. The mark
+    saved last counts, also where it is lower than one before.
     """
 
     SCHEMA = "collection string, watermark timestamp, saved_at timestamp"
@@ -92,12 +93,13 @@ class WatermarkTable:
         self.spark, self.path = spark, path
 
     def load(self) -> dict[str, object]:
-        try:
-            latest = (self.spark.read.schema(self.SCHEMA).parquet(self.path)
-                      .groupBy("collection").agg(F.max("watermark").alias("watermark")))
-            return {r["collection"]: r["watermark"] for r in latest.collect()}
-        except Exception:  # unreadable state falls back to a full extract
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
             return {}
+        latest = self.spark.read.schema(self.SCHEMA).parquet(self.path).groupBy(
+            "collection").agg(F.max_by("watermark", F.struct("saved_at", "watermark"))
+                              .alias("watermark"))
+        return {r["collection"]: r["watermark"] for r in latest.collect()}
 
     def save(self, marks: dict[str, object]) -> None:
         if marks:

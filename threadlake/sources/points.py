@@ -14,19 +14,21 @@ from pyspark.sql import functions as F
 from threadlake.operators.ordered import top_within
 
 
-def newest_version(batch: DataFrame, keys: list[str]) -> DataFrame:
-    """One row per key. Versions differ in their plain columns; the greatest wins."""
-    rest = [F.col(c).desc_nulls_last() for c in sorted(batch.columns)
-            if c not in keys and c != "vector"]
+def newest_version(batch: DataFrame, keys: list[str], order: tuple[str, ...] = ()) -> DataFrame:
+    """One row per key: the greatest in ``order`` (when it was edited). Only versions equal in
+    it, or all of them where no order is named, are told apart by their other columns."""
+    rest = [F.col(c).desc_nulls_last() for c in
+            [*order, *sorted(c for c in batch.columns
+                             if c not in keys and c not in order and c != "vector")]]
     return top_within(batch, keys, rest or keys, 1, "_v").drop("_v")
 
 
-def merge_points(stored: DataFrame, batch: DataFrame) -> DataFrame:
+def merge_points(stored: DataFrame, batch: DataFrame, order: tuple[str, ...] = ()) -> DataFrame:
     """Stored points with the batch's points in place of those of the same id.
 
     Replays change nothing. Within a batch the newest version of a point wins.
     """
-    latest = newest_version(batch, ["point_id"])
+    latest = newest_version(batch, ["point_id"], order)
     kept = stored.join(latest.select("point_id"), "point_id", "left_anti")
     return kept.unionByName(latest)
 
@@ -44,9 +46,9 @@ class PointTable:
     """Rows keyed by ``keys``; ``schema`` is DDL and includes them."""
 
     def __init__(self, spark: SparkSession, root: str, schema: str,
-                 keys: tuple[str, ...] = ("point_id",)):
+                 keys: tuple[str, ...] = ("point_id",), order: tuple[str, ...] = ()):
         self.spark, self.root, self.schema = spark, root.rstrip("/"), schema
-        self.keys = list(keys)
+        self.keys, self.order = list(keys), tuple(order)
 
     def _history(self) -> DataFrame:
         ddl = f"{self.schema}, deleted boolean, seq bigint"
@@ -78,7 +80,7 @@ class PointTable:
         """
         if batch.isEmpty():
             return
-        one = newest_version(batch, self.keys)
+        one = newest_version(batch, self.keys, self.order)
         self._append(one.withColumn("deleted", F.lit(False)), seq)
 
     def delete_by(self, column: str, gone: DataFrame, seq: int | None = None) -> None:
@@ -90,4 +92,4 @@ class PointTable:
         """The current points as the first entry of a new table."""
         self.read().withColumn("deleted", F.lit(False)).write.mode("overwrite").parquet(
             f"{root}/seq=0")
-        return PointTable(self.spark, root, self.schema, tuple(self.keys))
+        return PointTable(self.spark, root, self.schema, tuple(self.keys), self.order)

@@ -42,12 +42,13 @@ def stream_ingest(messages: DataFrame, rooms: DataFrame, root: str,
     return table
 
 
-def stream_doc_ingest(docs: DataFrame, rooms: DataFrame, root: str, dims: int = EMBED_DIMS,
+def stream_doc_ingest(docs: DataFrame, root: str, dims: int = EMBED_DIMS,
                       checkpoint: str | None = None) -> tuple[PointTable, PointTable]:
     """Documents to chunk points and a status per document.
 
     A document without text fails with a reason of at most 500 characters; the rest is ready
-    with its number of chunks. Both tables are keyed, so a repeated batch settles.
+    with its number of chunks. Both tables are keyed, so a repeated batch settles. Documents of
+    rooms with memory off are ingested too: searches leave them out while the switch is off.
     """
     spark = docs.sparkSession
     points = PointTable(spark, f"{root}/points", DOC_POINTS)
@@ -56,7 +57,7 @@ def stream_doc_ingest(docs: DataFrame, rooms: DataFrame, root: str, dims: int =
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         n = first + batch_id
-        chunks = chunk_documents(memory_gate(batch, rooms).where(F.col("text").isNotNull()))
+        chunks = chunk_documents(batch.where(F.col("text").isNotNull()))
         points.upsert(chunks.select(
             point_id(doc_key(F.col("doc_id"), F.col("chunk_index"))).alias("point_id"),
             "room_id", "doc_id", "chunk_index", "page", "filename", "text",
@@ -66,7 +67,7 @@ def stream_doc_ingest(docs: DataFrame, rooms: DataFrame, root: str, dims: int =
             spark, f"{root}/points/seq={n}") else spark.createDataFrame(
             [], "doc_id bigint, _n int")
         failed = F.col("text").isNull()
-        status.upsert(memory_gate(batch, rooms).select("doc_id", "text").join(
+        status.upsert(batch.select("doc_id", "text").join(
             counts, "doc_id", "left").select(
             "doc_id", F.when(failed, "failed").otherwise("ready").alias("status"),
             F.coalesce("_n", F.lit(0)).alias("chunk_count"),
