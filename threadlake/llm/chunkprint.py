@@ -33,8 +33,8 @@ from pyspark.sql.window import Window
 
 from threadlake.session import materialize
 
-LEAST, NORMAL, GREATEST = 32, 96, 512
-HARD_BITS, EASY_BITS = 8, 5
+LEAST, NORMAL, GREATEST = 16, 48, 255
+HARD_BITS, EASY_BITS = 7, 4
 # One pseudo-random word per byte value; the rule is the seeded generator.
 GEAR = np.random.Generator(np.random.PCG64(9)).integers(0, 1 << 32, 256, dtype=np.uint32)
 
@@ -66,24 +66,25 @@ def boundaries(data: bytes) -> list[int]:
 
 
 def chunks(text: str) -> set[int]:
-    """Digest (upper 48 bits) and length (lower 16 bits) of every chunk."""
+    """32 bits of digest and 8 bits of length of every chunk."""
     data, out, at = text.encode(), set(), 0
     for end in boundaries(data):
         part = data[at:end]
-        out.add(xxhash.xxh64_intdigest(part) & ~0xFFFF | len(part))
+        out.add(xxhash.xxh32_intdigest(part) << 8 | len(part))
         at = end
     return out
 
 
 def pack(parts: set[int]) -> bytes:
-    return np.array(sorted(parts), ">u8").tobytes()
+    """The set in order, five bytes a chunk."""
+    return np.array(sorted(parts), ">u8").view(np.uint8).reshape(-1, 8)[:, 3:].tobytes()
 
 
 def containment(a: set[int], b: set[int]) -> float:
     """Share of the length of ``a`` in chunks that ``b`` has."""
     if not a:
         return float(not b)
-    return sum(x & 0xFFFF for x in a & b) / sum(x & 0xFFFF for x in a)
+    return sum(x & 0xFF for x in a & b) / sum(x & 0xFF for x in a)
 
 
 def edited(text: str, following: str) -> str:
