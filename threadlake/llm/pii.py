@@ -136,7 +136,8 @@ def find(docs: DataFrame, text: str = "text", into: str = "spans") -> DataFrame:
         checked = F.transform(
             F.filter(F.transform(hits, one), lambda s: _valid(kind, s["hit"], s["alone"])),
             lambda s: F.struct(*[s[f].alias(f) for f in ("kind", "start", "end", "score", "hit")]))
-        return F.when(F.size(hits) > 0, checked).otherwise(F.array().cast(
+        # (naming the blocks here too keeps them a column of their own, out of the lambda)
+        return F.when((F.size(hits) > 0) & (F.size(col(kind, "blocks")) > 0), checked).otherwise(F.array().cast(
             "array<struct<kind:string,start:bigint,end:bigint,score:double,hit:string>>"))
 
     return out.withColumn(into, F.concat(*[spans(k) for k in KINDS])).select(*docs.columns, into)
