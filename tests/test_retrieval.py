@@ -233,7 +233,10 @@ def test_decisions_with_the_real_word_list(spark):
             (4, 0, 8, None, "All LOCKED.", AT), (5, 0, 8, "user", "@recall what was agreed", AT)]
     df = spark.createDataFrame(rows, "message_id long, room_id long, sender_id long, "
                                      "kind string, body string, created_at timestamp")
-    found = fusion.extract_decisions(df)
+    users = spark.createDataFrame([(7, "ann", "Ann")],
+                                  "user_id long, username string, display_name string")
+    found = fusion.extract_decisions(df, users)
+    assert pairs(found, "position", "decided_by") == [(1, "Ann"), (2, "Deleted user")]
     assert pairs(found, "position", "decision", "source_ids") == [
         (1, "Decision: we are going with plan B for now", [1]), (2, "All LOCKED.", [4])]
     claimed = found.withColumn("source_ids", F.concat(F.array(F.lit(77).cast("long")),

@@ -14,7 +14,7 @@ from threadlake.functions.scalar import (
     approx_tokens, citation_markers, header_time, snippet, tokenize,
 )
 from threadlake.operators.ordered import top_within
-from threadlake.operators.scope import is_knowledge
+from threadlake.operators.scope import enrich_sender, is_knowledge
 
 
 def rrf_fusion(vector_leg: DataFrame, lexical_leg: DataFrame, k: int = RRF_K) -> DataFrame:
@@ -117,17 +117,18 @@ def map_citations(answers: DataFrame, packed: DataFrame) -> DataFrame:
         .alias("sender_name"), "created_at")
 
 
-def extract_decisions(messages: DataFrame, pattern: str = DECISION_PATTERN,
+def extract_decisions(messages: DataFrame, users: DataFrame, pattern: str = DECISION_PATTERN,
                       window: int = DECISIONS_WINDOW, keep: int = DECISIONS_KEEP) -> DataFrame:
     """Decisions among the newest ``window`` knowledge messages of every room, first ``keep``
-    in time order, each with the id of its message."""
+    in time order, each with its author's display name and the id of its message."""
     recent = top_within(messages.where(is_knowledge()), ["room_id"], [F.desc("message_id")],
                         window, "_back").drop("_back")
     line = F.replace(F.col("body"), F.lit("\n"), F.lit(" "))
     hits = recent.where((F.length(line) > 0) & line.rlike(pattern))
-    return top_within(hits, ["room_id"], ["message_id"], keep, "position").select(
+    first = top_within(hits, ["room_id"], ["message_id"], keep, "position")
+    return enrich_sender(first, users).select(
         "room_id", "position", F.substring(line, 1, 160).alias("decision"),
-        F.col("sender_id").alias("decided_by"), F.to_date("created_at").alias("date"),
+        F.col("display_name").alias("decided_by"), F.to_date("created_at").alias("date"),
         F.array("message_id").alias("source_ids"))
 
 

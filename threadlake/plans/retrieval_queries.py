@@ -229,6 +229,13 @@ def upsert_points(spark, sf):
             v.cast("double") * 1_000_000).cast("bigint").cast("string")), ",").alias("vector"))
 
 
+def _suppliers(spark, sf):
+    """Suppliers as the users who speak in the text corpus."""
+    return b.table(spark, sf, "supplier").select(
+        F.col("s_suppkey").alias("user_id"), F.col("s_name").alias("username"),
+        F.col("s_name").alias("display_name"))
+
+
 # --- search ------------------------------------------------------------------------------
 
 def _setting(spark, sf):
@@ -292,10 +299,7 @@ def hybrid_search(spark, sf):
     """Every passage as a search by its user: the eight best sources with their names."""
     questions, allowed, rooms, messages, points = _setting(spark, sf)
     found = search.hybrid_retrieve(questions, points, messages, rooms, allowed, 8)
-    users = b.table(spark, sf, "supplier").select(
-        F.col("s_suppkey").alias("user_id"), F.col("s_name").alias("username"),
-        F.col("s_name").alias("display_name"))
-    named = scope.enrich_room_name(scope.source_sender(found, users), rooms)
+    named = scope.enrich_room_name(scope.source_sender(found, _suppliers(spark, sf)), rooms)
     return named.select("query_id", "key", "final_rank", "room_name", "created_at", "text",
                         "sender")
 
@@ -411,11 +415,12 @@ _DECISIONS = r"""
 @query("extract_decisions", f"""
     WITH {_DECISIONS}
     SELECT room_id, CAST(position AS INTEGER) AS position, substr(line, 1, 160) AS decision,
-           sender_id AS decided_by, strftime(created_at, '%Y-%m-%d') AS date,
+           coalesce(s_name, 'Deleted user') AS decided_by,
+           strftime(created_at, '%Y-%m-%d') AS date,
            CAST(message_id AS VARCHAR) AS source_ids
-    FROM decisions WHERE position <= 10""")
+    FROM decisions LEFT JOIN supplier ON s_suppkey = sender_id WHERE position <= 10""")
 def extract_decisions(spark, sf):
-    found = fusion.extract_decisions(b.texts(spark, sf), _WORDS)
+    found = fusion.extract_decisions(b.texts(spark, sf), _suppliers(spark, sf), _WORDS)
     return found.withColumn("source_ids", F.array_join(F.transform(
         "source_ids", lambda i: i.cast("string")), ","))
 
@@ -429,7 +434,7 @@ def extract_decisions(spark, sf):
 def citation_id_guard(spark, sf):
     """Each decision also claims an invented id; only memory-enabled rooms were shown."""
     texts, rooms = b.texts(spark, sf), b.rooms(spark, sf)
-    claimed = fusion.extract_decisions(texts, _WORDS).withColumn(
+    claimed = fusion.extract_decisions(texts, _suppliers(spark, sf), _WORDS).withColumn(
         "source_ids", F.concat(F.array(F.lit(-1).cast("bigint")), F.col("source_ids")))
     kept = fusion.citation_id_guard(claimed, scope.knowledge_filter(texts, rooms))
     return kept.select("room_id", "position", F.array_join(F.transform(
