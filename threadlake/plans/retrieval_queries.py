@@ -498,6 +498,33 @@ def semantic_cache_lookup_loose(spark, sf):
     return cache.semantic_cache_lookup(_asks(spark, sf), _entries(spark, sf), 0.25)
 
 
+@query("semantic_cache_lookup_at", f"""
+    WITH e AS (
+      SELECT vec_id, label, embedding, vec_id * 5 AS t,
+             lead(vec_id * 5) OVER (PARTITION BY label ORDER BY vec_id) AS next FROM embeddings),
+    seen AS (
+      SELECT a.vec_id AS query_id, e.vec_id AS entry_id,
+             round(list_dot_product(CAST(a.embedding AS DOUBLE[]),
+                                    CAST(e.embedding AS DOUBLE[])), 6) AS similarity,
+             row_number() OVER (PARTITION BY a.vec_id ORDER BY e.vec_id DESC) AS recency
+      FROM e AS a JOIN e ON e.label = a.label AND e.t <= a.t - 1
+      WHERE NOT EXISTS (SELECT 1 FROM e AS x WHERE x.label = a.label AND x.t >= e.t
+                          AND x.t <= a.t - 1
+                          AND least(coalesce(x.next, a.t - 1), a.t - 1) - x.t >= 24)),
+    best AS (
+      SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, recency)
+                  AS n FROM seen WHERE recency <= {CACHE_ENTRIES} AND similarity >= 0.05)
+    SELECT a.vec_id AS query_id, a.label AS fingerprint, best.entry_id, best.similarity
+    FROM embeddings a LEFT JOIN best ON best.query_id = a.vec_id AND best.n = 1""")
+def semantic_cache_lookup_at(spark, sf):
+    """An answer is stored every five hours; each vector asks an hour before its own, and
+    fingerprints pause for longer than the day an entry lives."""
+    hour = lambda n: F.timestamp_seconds(F.lit(1704067200) + n * 3600)
+    entries = _entries(spark, sf).withColumn("stored_at", hour(F.col("entry_id") * 5))
+    asks = _asks(spark, sf).withColumn("asked_at", hour(F.col("query_id") * 5 - 1))
+    return cache.semantic_cache_lookup_at(asks, entries, 0.05)
+
+
 # --- evaluation --------------------------------------------------------------------------
 
 _EVAL = f"""
