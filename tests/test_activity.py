@@ -384,3 +384,21 @@ def test_retries_end_in_the_dead_letter_table(spark):
     df = spark.createDataFrame([(1, 3), (2, 4)], "id int, attempts int")
     again, buried = retry_or_bury(df)
     assert (pairs(again, "id"), pairs(buried, "id", "attempts")) == ([(1,)], [(2, 5)])
+
+
+def test_invites_know_members_full_users_and_earlier_redemptions(spark):
+    tries = [(1, "i", 1), (2, "i", 2), (3, "i", 3), (4, "i", 4), (5, "i", 1), (6, "i", 5),
+             (7, "i", 1), (8, "gone", 9)]
+    attempts = spark.createDataFrame([(n, i, u, at(n)) for n, i, u in tries],
+                                     "attempt_id int, invite_id string, user_id int, "
+                                     "attempted_at timestamp")
+    invites = spark.createDataFrame(
+        [("i", 10, 8, at(99), None), ("gone", 3, 3, at(99), None)],
+        "invite_id string, max_redemptions int, used int, expires_at timestamp, "
+        "revoked_at timestamp")
+    members = spark.createDataFrame([("i", 1)], "invite_id string, user_id int")
+    stuck = spark.createDataFrame([(2,)], "user_id int")
+    got = presence.invite_redemption(attempts, invites, members, stuck)
+    assert pairs(got, "attempt_id", "outcome") == [
+        (1, "member"), (2, "room_limit"), (3, "accepted"), (4, "accepted"), (5, "invalid"),
+        (6, "invalid"), (7, "invalid"), (8, "invalid")]

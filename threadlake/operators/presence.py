@@ -89,31 +89,47 @@ def typing_sessions(events: DataFrame, expiry_seconds: float = TYPING_EXPIRY_SEC
                         F.least(timeout, F.col("_stop")).alias("ended_at"))
 
 
-def invite_redemption(attempts: DataFrame, invites: DataFrame, **split) -> DataFrame:
-    """Outcome of every attempt, in arrival order: accepted, member or invalid.
+def invite_redemption(attempts: DataFrame, invites: DataFrame,
+                      members: DataFrame | None = None, full_users: DataFrame | None = None,
+                      **split) -> DataFrame:
+    """Outcome of every attempt, in arrival order: accepted, member, room_limit or invalid.
 
     An attempt is invalid when the invite is revoked, expired or full at that moment. Among
     the attempts inside the invite's life, a user's first one competes for a place; the first
-    ``max_redemptions`` users win. A member's repeat consumes nothing, and is invalid once
-    the invite is full, which is after the last place went.
+    users win as many places as ``max_redemptions`` leaves beyond ``used`` (a column of
+    ``invites``, none if absent). A member's repeat consumes nothing, and is invalid once the
+    invite is full, which is after the last place went. ``members(invite_id, user_id)`` were in
+    the invite's room before, ``full_users(user_id)`` are in as many rooms as one may join; both
+    consume nothing.
     """
     at = F.col("attempted_at")
     open_ = (at < F.col("expires_at")) & (F.col("revoked_at").isNull()
                                           | (at < F.col("revoked_at")))
-    tried = attempts.join(invites, "invite_id").withColumn("_open", open_)
+    used = F.coalesce(F.col("used"), F.lit(0)) if "used" in invites.columns else F.lit(0)
+    tried = attempts.join(invites, "invite_id").withColumns({
+        "_open": open_, "_left": F.col("max_redemptions") - used})
+    for name, known, on in (("_old", members, ["invite_id", "user_id"]),
+                            ("_stuck", full_users, ["user_id"])):
+        if known is None:
+            tried = tried.withColumn(name, F.lit(False))
+        else:
+            marks = known.select(*on).distinct().withColumn(name, F.lit(True))
+            tried = tried.join(marks, on, "left").withColumn(
+                name, F.coalesce(name, F.lit(False)))
     moment = F.struct(at, F.col("attempt_id"))
-    first = tried.where("_open").groupBy("invite_id", "user_id", "max_redemptions").agg(
-        F.min(moment).alias("_first"))
+    first = tried.where("_open AND NOT _old AND NOT _stuck").groupBy(
+        "invite_id", "user_id", "_left").agg(F.min(moment).alias("_first"))
     ranked = rank_within(first, ["invite_id"], ["_first"], "_place", **split)
-    places = ranked.where(F.col("_place") <= F.col("max_redemptions"))
-    full = ranked.where(F.col("_place") == F.col("max_redemptions")).select(
+    places = ranked.where(F.col("_place") <= F.col("_left"))
+    full = ranked.where(F.col("_place") == F.col("_left")).select(
         "invite_id", F.col("_first").alias("_full_at"))
     judged = (tried.join(places.select("invite_id", "user_id", "_first"),
                          ["invite_id", "user_id"], "left")
               .join(full, "invite_id", "left").withColumn("_at", moment))
-    outcome = (F.when(~F.col("_open"), "invalid")
+    outcome = (F.when(~F.col("_open") | (F.col("_left") <= 0), "invalid")
                .when(F.col("_first") == F.col("_at"), "accepted")
                .when(F.col("_full_at").isNotNull() & (F.col("_at") > F.col("_full_at")),
                      "invalid")
-               .when(F.col("_first").isNotNull(), "member").otherwise("invalid"))
+               .when(F.col("_first").isNotNull() | F.col("_old"), "member")
+               .when(F.col("_stuck"), "room_limit").otherwise("invalid"))
     return judged.select("attempt_id", "invite_id", "user_id", outcome.alias("outcome"))
