@@ -132,18 +132,26 @@ class Model:
         return bool(loss <= bound + ERRORS * np.sqrt(variance / size))
 
 
+def _codes(grams: np.ndarray) -> np.ndarray:
+    """Code points of equally long grams, a row each."""
+    return grams.view(np.uint32).reshape(len(grams), -1)
+
+
+def _texts(codes: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(codes).view(f"U{codes.shape[1]}").ravel()
+
+
 def kneser_ney(counts: pd.DataFrame, langs: list[str]) -> Model:
     """The models from a table of ``lang, gram, n`` with grams of ``ORDER`` characters."""
     width, tables = len(langs), {}
-    grams = np.unique(counts["gram"].to_numpy(str))
+    grams = np.unique(counts["gram"].to_numpy(f"U{ORDER}"))
     table = np.zeros((len(grams), width))
-    np.add.at(table, (np.searchsorted(grams, counts["gram"].to_numpy(str)),
+    np.add.at(table, (np.searchsorted(grams, counts["gram"].to_numpy(f"U{ORDER}")),
                       counts["lang"].map({x: i for i, x in enumerate(langs)}).to_numpy(int)),
               counts["n"].to_numpy(float))
     tables[ORDER] = grams, table
     for n in range(ORDER - 1, 0, -1):  # the lower orders count different left neighbours
-        suffixes = np.array([g[1:] for g in grams.tolist()], f"U{n}")
-        prefixes = np.array([g[:-1] for g in grams.tolist()], f"U{n}")
+        suffixes, prefixes = _texts(_codes(grams)[:, 1:]), _texts(_codes(grams)[:, :-1])
         shorter = np.unique(np.concatenate((suffixes, prefixes)))
         lower = np.zeros((len(shorter), width))
         np.add.at(lower, np.searchsorted(shorter, suffixes), (table > 0).astype(float))
@@ -162,9 +170,8 @@ def kneser_ney(counts: pd.DataFrame, langs: list[str]) -> Model:
             lower = np.full((len(grams), width), 1.0 / alphabet)
         else:
             contexts = tables[n - 1][0]
-            at = np.searchsorted(contexts, np.array([g[:-1] for g in grams.tolist()]))
-            lower = probability[np.searchsorted(
-                contexts, np.array([g[1:] for g in grams.tolist()]))]
+            at = np.searchsorted(contexts, _texts(_codes(grams)[:, :-1]))
+            lower = probability[np.searchsorted(contexts, _texts(_codes(grams)[:, 1:]))]
         total, kinds = np.zeros((len(contexts), width)), np.zeros((len(contexts), width))
         np.add.at(total, at, table)
         np.add.at(kinds, at, (table > 0).astype(float))
@@ -175,7 +182,7 @@ def kneser_ney(counts: pd.DataFrame, langs: list[str]) -> Model:
             model.floor = np.log(weight[0] / alphabet)
         else:
             model.weights.append(np.log(np.maximum(weight, 1e-12))[order])
-        codes = np.array([[ord(c) for c in g] for g in grams.tolist()], np.uint64)
+        codes = _codes(grams).astype(np.uint64)
         hashes = np.zeros(len(grams), np.uint64)
         factor = 1
         for column in range(n - 1, -1, -1):
@@ -239,7 +246,13 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", id_col: str = "
         in_training("id") & F.col("lang").isNotNull() & F.col("text").isNotNull())
     key = F.md5(F.concat(F.lit("language:"), F.col("id").cast("string")))
     first = Window.partitionBy("lang").orderBy("key", "id")
-    chosen = labelled.select("id", "lang", key.alias("key"), F.length("text").alias("chars")) \
+    keyed = labelled.select("id", "lang", key.alias("key"), F.length("text").alias("chars"))
+    sizes = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"))  # one row per language
+    # Keys are uniform: the first rows of a language lie in a small part of their range, so what
+    # is ordered in one task is a few times the sample whatever the language's size.
+    place = F.conv(F.substring("key", 1, 12), 16, 10).cast("double") / F.lit(float(16 ** 12))
+    chosen = keyed.join(sizes, "lang").where(
+        place * F.col("rows") <= 2 * sample_rows + 100) \
         .withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= sample_rows) \
         .withColumn("upto", F.sum("chars").over(first.rowsBetween(Window.unboundedPreceding, 0))) \
         .where((F.col("upto") <= sample_chars) | (F.col("nth") == 1)) \
