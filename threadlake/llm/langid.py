@@ -251,7 +251,8 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", id_col: str = "
     # Keys are uniform: the first rows of a language lie in a small part of their range, so what
     # is ordered in one task is a few times the sample whatever the language's size.
     place = F.conv(F.substring("key", 1, 12), 16, 10).cast("double") / F.lit(float(16 ** 12))
-    chosen = keyed.join(sizes, "lang").where(
+    # (every language has its model in memory, so a row for each is small to broadcast)
+    chosen = keyed.join(F.broadcast(sizes), "lang").where(
         place * F.col("rows") <= 2 * sample_rows + 100) \
         .withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= sample_rows) \
         .withColumn("upto", F.sum("chars").over(first.rowsBetween(Window.unboundedPreceding, 0))) \
