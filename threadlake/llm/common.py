@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from threadlake.session import materialize
+from threadlake.session import materialize  # noqa: F401  (for the operators)
 
 # Words are maximal runs of anything but space and the controls 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -18,12 +18,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def order_key(salt: str, *columns: str) -> Column:
-    """A hash-random text that any engine can recompute: md5 of the salt and the columns."""
-    parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]
-    return F.md5(F.concat_ws(":", F.lit(salt), *parts))
-
-
 def fresh(df: DataFrame, stem: str) -> str:
     """A column name that ``df`` does not have yet (names compare without case)."""
     taken = {c.lower() for c in df.columns}
@@ -61,6 +55,3 @@ def running_before(df: DataFrame, group: Sequence[str], key: str, ties: Sequence
         for n in values])
     return local.join(offsets, here).select(
         *df.columns, *[(F.col(f"_in_{n}") + F.col(f"_off_{n}")).alias(n) for n in values])
-
-
-__all__ = ["WORD", "fresh", "materialize", "order_key", "running_before", "table"]

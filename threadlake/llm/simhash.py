@@ -193,7 +193,3 @@ def keep_one(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> Dat
         F.col("id").alias(f"{name}_id")).distinct()
     kept = docs.join(stay, F.col(id_col).eqNullSafe(F.col(f"{name}_id")), "left_semi")
     return kept.dropDuplicates([id_col])
-
-
-__all__ = ["components", "fingerprint", "fingerprints", "groups", "keep_one", "links",
-           "near_groups"]
