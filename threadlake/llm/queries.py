@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadlake.llm import (
-    chat, chunkprint, decontaminate, langid, mixing, pii, secrets, sharding, simhash,
+    chat, chunkprint, decontaminate, langid, mixing, passages, pii, secrets, sharding, simhash,
 )
 from threadlake.llm.common import table
 from threadlake.session import use_utc
@@ -75,6 +75,12 @@ def op1(spark, sf_dir):
     return mixing.plan(table(spark, sf_dir, "documents"))
 
 
+@query("op2_passages")
+def op2(spark, sf_dir):
+    """Passages that documents share with an earlier document."""
+    return passages.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 @query("op3_sharding")
 def op3(spark, sf_dir):
     """Shard and slot of every document; equal texts stay together, sizes are near equal."""
