@@ -67,6 +67,20 @@ def test_copies_and_paraphrases_are_found_and_clean_texts_are_not(spark, docs, w
     assert set(blocks) - want == set()
 
 
+def test_long_texts_with_more_passages_than_the_rank(spark, docs, world):
+    rng, prose, _ = world
+    items = [(i, " ".join(prose(rng.randint(150, 500)))) for i in range(12)]
+    items.append((12, " ".join(prose(1200))))  # alone more passages than the rank
+    rows = [(i, f"{' '.join(prose(30))} {text} {' '.join(prose(30))}") for i, text in items]
+    rows += [(100 + i, " ".join(prose(300))) for i in range(20)]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    got = d.matches(docs(rows), bench, rank=24).collect()
+    assert sorted((r.doc_id, r.item_id, r.share) for r in got) == [(i, i, 1.0) for i, _ in items]
+    known = [(i, d.words(t), []) for i, t in items]
+    for part in d.index_blocks(known, 256, 24):
+        assert sum(len(starts) for _, starts in part) <= 24
+
+
 def test_partial_copy_needs_the_answer(spark, docs, world):
     rng, prose, _ = world
     question, answer = prose(20), prose(6)

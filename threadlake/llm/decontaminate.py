@@ -8,9 +8,10 @@ every passage by cosine. The few windows above ``COSINE`` are checked word by wo
 common subsequence of the benchmark text and the neighbourhood of the window must cover ``COPIED``
 of the text, or ``PARAPHRASED`` of it with the answer (the last sentence) found word for word.
 
-Benchmark texts are indexed in blocks of ``BLOCK_ITEMS``, each with a factor of its own, and a pass
-over the corpus searches at most ``PASS_BLOCKS`` blocks; a larger benchmark takes more passes, so what
-is broadcast stays bounded.
+Benchmark texts are indexed in blocks of ``BLOCK_ITEMS`` texts and ``RANK`` passages at most, each with a
+factor of its own that holds all its passages whole, and a pass over the corpus searches
+``PASS_BLOCKS`` blocks (more only for the blocks of one very long text); a larger benchmark takes more
+passes, so what is broadcast stays bounded.
 
 Cases. Null or empty text: not contaminated. Null or empty benchmark text: matches nothing.
 Benchmark texts under ``LEAST_WORDS`` words: matched by their full word sequence only. Repeated rows:
@@ -100,6 +101,7 @@ class Index:
     passages: np.ndarray              # (rank, passages), divided by the norm of the TF-IDF row
     owner: np.ndarray                 # passage -> item
     items: list[tuple]                # (id, number of words, places of words, words, answer)
+    rows: list[int]                   # item -> row of the benchmark; a long text has several blocks
 
     def _near(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(window, passage) numbers whose cosine is high enough.
@@ -130,8 +132,8 @@ class Index:
             windows @ self.passages >= COSINE * np.sqrt(norms[live])[:, None])
         return live[rows], passages
 
-    def matches(self, found: list[bytes]) -> list[tuple[object, float]]:
-        """(item id, share of its words found in order) for every item in the words of a text."""
+    def matches(self, found: list[bytes]) -> list[tuple[int, object, float]]:
+        """(row, item id, share of its words found in order) for every item in the words of a text."""
         other, get = len(self.factor), self.vocabulary.get
         ids = np.fromiter((get(w, other) for w in found), np.int64, len(found))
         near: dict[int, set[int]] = {}
@@ -155,13 +157,16 @@ class Index:
                     continue
                 best = max(best, share)
             if best:
-                out.append((id_, best))
+                out.append((self.rows[item], id_, best))
         return out
 
 
 def search(pass_: list[Index], text: str | None) -> list[tuple[object, float]]:
-    found = words(text)
-    return [m for index in pass_ for m in index.matches(found)] if found else []
+    found, best = words(text), {}
+    for index in pass_ if found else []:
+        for row, id_, share in index.matches(found):
+            best[row] = max(best.get(row, (id_, share)), (id_, share), key=lambda m: m[1])
+    return list(best.values())
 
 
 def _frequencies(vocabulary: frozenset):
@@ -236,16 +241,43 @@ def frequencies(corpus: DataFrame, vocabulary: frozenset) -> dict[bytes, int]:
     return {bytes(r["word"]): r["n"] for r in counted}
 
 
+def cut_starts(found: list[bytes]) -> range:
+    """First words of the passages of a benchmark text."""
+    return range(0, max(1, len(found) - STRIDE), STRIDE)
+
+
+def index_blocks(known: list[tuple], block: int, rank: int) -> Iterator[list[tuple[int, range]]]:
+    """(row, starts of passages) in blocks of at most ``block`` texts and ``rank`` passages.
+
+    With no more passages than the factor has columns, the factor holds every passage whole. A text
+    of more passages than that goes on in the next blocks.
+    """
+    here, held = [], 0
+    for row, (_, found, _) in enumerate(known):
+        starts = cut_starts(found)
+        while starts:
+            if here and (len(here) == block or held + min(len(starts), rank) > rank):
+                yield here
+                here, held = [], 0
+            here.append((row, starts[:rank]))
+            held += len(here[-1][1])
+            starts = starts[rank:]
+    if here:
+        yield here
+
+
 def build_index(spark: SparkSession, known: list[tuple], seen: dict[bytes, int],
-                rank: int = RANK) -> Index:
-    """Index of one block of benchmark texts (id, words, answer)."""
+                rank: int = RANK, part: list[tuple[int, range]] | None = None) -> Index:
+    """Index of the passages ``part`` (all, if not given) of benchmark texts (id, words, answer)."""
+    if part is None:
+        part = [(row, cut_starts(found)) for row, (_, found, _) in enumerate(known)]
+    known = [known[row] for row, _ in part]
     vocabulary = {w: i for i, w in enumerate(sorted({w for _, ws, _ in known for w in ws}))}
     total = seen.get(b"", 0)
     weight = np.log((1.0 + total) / (1.0 + np.array([seen.get(w, 0) for w in vocabulary]))) + 0.01
     cut, owner = [], []
     for i, (_, found, _) in enumerate(known):
-        starts = range(0, max(1, len(found) - STRIDE), STRIDE)
-        for start in starts:
+        for start in part[i][1]:
             count = Counter(vocabulary[w] for w in found[start:start + WINDOW])
             cut.append(([*count], [c * float(weight[w]) for w, c in count.items()]))
             owner.append(i)
@@ -264,7 +296,8 @@ def build_index(spark: SparkSession, known: list[tuple], seen: dict[bytes, int],
         vocabulary, np.append(weight, other).astype(np.float32) ** 2, np.append(heavy, False),
         (weight[:, None] * vectors).astype(np.float32),
         (passages / norms[:, None]).T.astype(np.float32), np.array(owner),
-        [(id_, len(found), places_of(found), found, answer) for id_, found, answer in known])
+        [(id_, len(found), places_of(found), found, answer) for id_, found, answer in known],
+        [row for row, _ in part])
 
 
 def passes(docs: DataFrame, benchmark: DataFrame, text: str, item_text: str, item_id: str,
@@ -277,8 +310,15 @@ def passes(docs: DataFrame, benchmark: DataFrame, text: str, item_text: str, ite
         known = [k for k in known if k[1]]
         if known:
             seen = frequencies(docs.select(text), frozenset(w for _, ws, _ in known for w in ws))
-            yield [build_index(docs.sparkSession, known[at:at + block], seen, rank)
-                   for at in range(0, len(known), block)]
+            pass_, last = [], None
+            for part in index_blocks(known, block, rank):
+                # the blocks of one text stay in one pass, which gives a row for it
+                if len(pass_) >= PASS_BLOCKS and part[0][0] != last:
+                    yield pass_
+                    pass_ = []
+                pass_.append(build_index(docs.sparkSession, known, seen, rank, part))
+                last = part[-1][0]
+            yield pass_
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", id_col: str = "doc_id",
