@@ -81,6 +81,22 @@ def test_long_texts_with_more_passages_than_the_rank(spark, docs, world):
         assert sum(len(starts) for _, starts in part) <= 24
 
 
+@pytest.mark.parametrize("total", [10_000, 1_000_000, 20_000_000])
+def test_short_copies_among_rare_words_in_a_large_corpus(spark, world, total):
+    rng = random.Random(9)
+    common = sorted({word(rng) for _ in range(120)})
+    known = [(i, [rng.choice(common) for _ in range(size)], []) for i, size in
+             enumerate([1, 2, 3, 4, 5, 8, 10, 12, 15, 19, 20, 25, 29])]
+    # the share of documents that hold a word stays as the corpus grows
+    seen = {b"": total} | {w.encode(): int(total * rng.uniform(0.005, 0.2)) for w in common}
+    known = [(i, [w.encode() for w in ws], a) for i, ws, a in known]
+    index = d.build_index(spark, known, seen)
+    for i, ws, _ in known:
+        for before in range(0, 45, 4):
+            rare = [f"rare{n}".encode() for n in range(100)]
+            assert i in {m[1] for m in index.matches(rare[:before] + ws + rare[before:])}
+
+
 def test_partial_copy_needs_the_answer(spark, docs, world):
     rng, prose, _ = world
     question, answer = prose(20), prose(6)

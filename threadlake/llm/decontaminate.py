@@ -4,7 +4,8 @@ Benchmark texts are cut into passages of at most ``WINDOW`` words. Their TF-IDF
 frequencies counted over the whole corpus, are factored by a distributed randomised SVD: tasks hold
 rows and return partial sums of A'AQ, the driver holds the small factor only. Every document is read
 as overlapping windows of words; a window is projected through the same factor and compared with
-every passage by cosine. The few windows above ``COSINE`` are checked word by word: the longest
+every passage by cosine, in which no word of the window outweighs the mean word of the passage, so that
+its recall does not fall as rare words gain weight in a larger corpus. The few windows above ``COSINE`` are checked word by word: the longest
 common subsequence of the benchmark text and the neighbourhood of the window must cover ``COPIED``
 of the text, or ``PARAPHRASED`` of it with the answer (the last sentence) found word for word.
 
@@ -37,6 +38,8 @@ from threadlake.session import materialize
 WINDOW, STRIDE = 40, 20
 RANK, OVERSAMPLE, POWER_STEPS = 384, 16, 1
 COSINE = 0.3
+# Mean weights of passages within this factor share a level.
+LEVEL = 1.25
 # TF-IDF weight under which a word (here: in over a third of the documents) is not projected.
 LIGHT = 1.0
 COPIED, PARAPHRASED = 0.7, 0.5
@@ -96,6 +99,9 @@ class Index:
     """What a task needs to search one block of benchmark texts."""
     vocabulary: dict[bytes, int]      # word -> row of the factor
     squares: np.ndarray               # squared weight of each word; the last is "other word"
+    capped: np.ndarray                # the same cut at the weight of each level
+    level: np.ndarray                 # passage -> level
+    least: np.ndarray                 # passage -> least score that is checked
     heavy: np.ndarray                 # words that are projected; the last is False
     factor: np.ndarray                # (words, rank)
     passages: np.ndarray              # (rank, passages), divided by the norm of the TF-IDF row
@@ -104,20 +110,26 @@ class Index:
     rows: list[int]                   # item -> row of the benchmark; a long text has several blocks
 
     def _near(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(window, passage) numbers whose cosine is high enough.
+        """(window, passage) numbers whose score is high enough.
 
-        Words outside the benchmark only add to the norm of a window, so its cosine is at most the
-        root of the share that benchmark words have in its squared weight (words repeated in it
-        aside). Windows whose share is too small are not projected.
+        The score is the cosine, but no word of the window counts in its norm with more than the
+        weight of the passage's level, which is at most the mean weight of the passage's words. So
+        rare words around a short copy, whose weight grows with the corpus, do not hide it: a
+        window that holds ``n`` words of a passage word for word scores ``(n / WINDOW) ** 0.5``.
+
+        Words outside the benchmark only add to the norm of a window, so its score is at most the
+        root of their squared weight over the squared norm (words repeated in it aside). Windows
+        under that for every passage are not projected.
         """
         starts, known = np.arange(0, len(ids), STRIDE), ids < len(self.factor)
-        squares = self.squares[ids]
-        norms = np.add.reduceat(squares, starts)
-        shares = np.add.reduceat(np.where(known, squares, 0), starts)
+        shares = np.add.reduceat(np.where(known, self.squares[ids], 0), starts)
+        norms = np.add.reduceat(self.capped[:, ids], starts, axis=1)
         last = len(starts) > 1
         if last:
-            norms, shares = norms[:-1] + norms[1:], shares[:-1] + shares[1:]
-        live = np.flatnonzero(shares >= COSINE ** 2 * norms)
+            norms, shares = norms[:, :-1] + norms[:, 1:], shares[:-1] + shares[1:]
+        lowest = np.full(len(self.capped), np.inf, np.float32)
+        np.minimum.at(lowest, self.level, self.least)
+        live = np.flatnonzero((shares >= (lowest[:, None] ** 2 * norms).min(axis=0)) & (shares > 0))
         needed = np.zeros(len(starts), bool)
         needed[live] = needed[live + last] = True
         used = np.flatnonzero(self.heavy[ids] & np.repeat(needed, STRIDE)[:len(ids)])
@@ -129,7 +141,7 @@ class Index:
         sums[block[first]] = np.add.reduceat(self.factor[ids[used]], first, axis=0)
         windows = sums[live] + sums[live + 1] if last else sums[live]
         rows, passages = np.nonzero(
-            windows @ self.passages >= COSINE * np.sqrt(norms[live])[:, None])
+            windows @ self.passages >= np.sqrt(norms[:, live]).T[:, self.level] * self.least)
         return live[rows], passages
 
     def matches(self, found: list[bytes]) -> list[tuple[int, object, float]]:
@@ -275,10 +287,13 @@ def build_index(spark: SparkSession, known: list[tuple], seen: dict[bytes, int],
     vocabulary = {w: i for i, w in enumerate(sorted({w for _, ws, _ in known for w in ws}))}
     total = seen.get(b"", 0)
     weight = np.log((1.0 + total) / (1.0 + np.array([seen.get(w, 0) for w in vocabulary]))) + 0.01
-    cut, owner = [], []
+    cut, owner, mean, sizes = [], [], [], []
     for i, (_, found, _) in enumerate(known):
         for start in part[i][1]:
-            count = Counter(vocabulary[w] for w in found[start:start + WINDOW])
+            ids = [vocabulary[w] for w in found[start:start + WINDOW]]
+            count = Counter(ids)
+            mean.append(float(np.sqrt(np.mean(weight[ids] ** 2))))
+            sizes.append(len(ids))
             cut.append(([*count], [c * float(weight[w]) for w, c in count.items()]))
             owner.append(i)
     rows = spark.createDataFrame(cut, "ids array<int>, weights array<double>").repartition(8)
@@ -292,8 +307,13 @@ def build_index(spark: SparkSession, known: list[tuple], seen: dict[bytes, int],
               for ids, w in cut]
     if min(shares) < 0.9:
         heavy[:] = True
+    squares = np.append(weight, other).astype(np.float32) ** 2
+    steps, level = np.unique(np.floor(np.log(mean) / np.log(LEVEL)), return_inverse=True)
+    caps = (LEVEL ** steps[:, None]).astype(np.float32) ** 2
+    # A text of a few words fills little of a window; 0.85 for the words that are not projected.
+    least = np.minimum(COSINE, 0.85 * np.sqrt(np.array(sizes) / WINDOW)).astype(np.float32)
     return Index(
-        vocabulary, np.append(weight, other).astype(np.float32) ** 2, np.append(heavy, False),
+        vocabulary, squares, np.minimum(squares, caps), level, least, np.append(heavy, False),
         (weight[:, None] * vectors).astype(np.float32),
         (passages / norms[:, None]).T.astype(np.float32), np.array(owner),
         [(id_, len(found), places_of(found), found, answer) for id_, found, answer in known],
