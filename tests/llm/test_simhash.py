@@ -96,3 +96,16 @@ def test_near_groups_and_keep_one(docs):
     assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted([3, 1, 4, None], key=str)
     assert simhash.near_groups(docs([])).collect() == []
     assert simhash.keep_one(docs([])).collect() == []
+
+
+def test_keep_one_keeps_a_row_of_each_group_whatever_the_ids(docs):
+    def text(i):
+        return " ".join(f"w{i}x{n}" for n in range(60))
+
+    # without ids: two groups; one id: two texts; a copy of document 3 that has no id
+    rows = [(None, text(0)), (None, text(0)), (None, text(1)), (7, text(2)), (7, text(3)),
+            (3, text(4)), (None, text(4)), (3, text(4)), (7, None), (8, "")]
+    kept = simhash.keep_one(docs(rows, extra=CLASHES)).collect()
+    assert sorted(((r.doc_id, r.text) for r in kept), key=str) == sorted(
+        [(None, text(0)), (None, text(1)), (7, text(2)), (7, text(3)), (3, text(4)), (7, None)],
+        key=str)

@@ -69,14 +69,17 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for batch in batches:
         yield pa.RecordBatch.from_pydict({
             "id": batch.column(0),
-            "fp": _signed([fingerprint(t.as_py()) for t in batch.column(1)])})
+            "fp": _signed([fingerprint(t.as_py()) for t in batch.column(1)]),
+            **{"hash": c for c in batch.columns[2:]}})
 
 
-def fingerprints(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """``id, fp`` (signed bigint) for every row."""
+def fingerprints(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
+                 hashed: bool = False) -> DataFrame:
+    """``id, fp`` (signed bigint) and, if asked for, ``hash`` of the text for every row."""
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).mapInArrow(
-        _fingerprints, f"id {kind}, fp bigint")
+    more = [F.xxhash64(text).alias("hash")] if hashed else []
+    return docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"), *more).mapInArrow(
+        _fingerprints, f"id {kind}, fp bigint" + ", hash bigint" * hashed)
 
 
 _HALVES = """explode(array(
@@ -162,13 +165,16 @@ def links(distinct: DataFrame, bits: int = MAX_BITS, dense: int = DENSE) -> Data
 
 
 def groups(prints: DataFrame, bits: int = MAX_BITS, dense: int = DENSE) -> DataFrame:
-    """``fp, component_id`` for every fingerprint of ``id, fp``: the least id of its component."""
+    """``fp, component_id, root`` for every fingerprint of ``id, fp``.
+
+    The component_id is the least id of the component, the root one fingerprint of it.
+    """
     classes = materialize(prints.groupBy("fp").agg(F.min("id").alias("least")), "classes")
     roots = components(links(classes.select("fp"), bits, dense))
     placed = materialize(classes.join(roots, classes["fp"] == roots["node"], "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root")), "placed")
     least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    return placed.join(least, "root").select("fp", "component_id")
+    return placed.join(least, "root").select("fp", "component_id", "root")
 
 
 def near_groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
@@ -181,15 +187,16 @@ def near_groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
 
 
 def keep_one(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """``docs`` with one row of each component: the one with the least id.
+    """``docs`` with one row of each component: the one with the least id, then text hash.
 
-    Of all rows without an id in components without any id, one stays.
+    A component without any id keeps one row as well. Rows equal in id and text are one document.
     """
-    prints = materialize(fingerprints(docs, text, id_col), "prints")
-    best = groups(prints)
-    # (id, fp) of the rows that stay; repeats of one row are folded after the join
-    name = fresh(docs, "_fp")
-    stay = prints.join(best, "fp").where(F.col("id").eqNullSafe(F.col("component_id"))).select(
-        F.col("id").alias(f"{name}_id")).distinct()
-    kept = docs.join(stay, F.col(id_col).eqNullSafe(F.col(f"{name}_id")), "left_semi")
-    return kept.dropDuplicates([id_col])
+    prints = materialize(fingerprints(docs, text, id_col, hashed=True), "prints")
+    stay = prints.join(groups(prints), "fp").groupBy("root").agg(
+        F.min(F.struct(F.col("id").isNull().alias("none"), "id", "hash")).alias("row"))
+    name = fresh(docs, "_hash")
+    stay = stay.select(F.col("row.id").alias(f"{name}_id"), F.col("row.hash").alias(f"{name}_of"))
+    kept = docs.withColumn(name, F.xxhash64(text)).join(
+        stay, F.col(id_col).eqNullSafe(F.col(f"{name}_id"))
+        & (F.col(name) == F.col(f"{name}_of")), "left_semi")
+    return kept.dropDuplicates([id_col, name]).drop(name)
