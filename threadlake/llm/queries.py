@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from threadlake.llm import (
     chat, chunkprint, decontaminate, langid, mixing, passages, pii, secrets, sharding, simhash,
+    toxicity,
 )
 from threadlake.llm.common import table
 from threadlake.session import use_utc
@@ -224,3 +225,13 @@ def op10(spark, sf_dir):
     """Personal data in every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return pii.digest(pii.find(docs))
+
+
+@query("op13_toxicity")
+def op13(spark, sf_dir):
+    """Toxicity of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model, into="score").select(
+        "doc_id", toxicity.held_out().alias("held_out"), "score",
+        (F.col("score") >= toxicity.TOXIC).cast("int").alias("predicted"))
