@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadlake.llm import (
-    chat, chunkprint, decontaminate, langid, mixing, passages, pii, secrets, sharding, simhash,
-    toxicity,
+    chat, chunkprint, decontaminate, langid, mixing, passages, pii, ranked, repair, secrets,
+    sharding, simhash, toxicity,
 )
 from threadlake.llm.common import table
 from threadlake.session import use_utc
@@ -227,6 +227,140 @@ def op10(spark, sf_dir):
     return pii.digest(pii.find(docs))
 
 
+RANK_SQL = r"""
+WITH docs AS (
+  SELECT rid, doc_id, ws FROM (
+    SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(
+             translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents)
+  WHERE len(ws) > 0),
+wanted AS (
+  SELECT DISTINCT ino, item_id, w FROM (
+    SELECT row_number() OVER () AS ino, item_id, unnest(regexp_extract_all(
+             translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS w FROM benchmark)),
+sums AS (SELECT count(*)::BIGINT AS n_all, sum(len(ws))::BIGINT AS l_all FROM docs),
+held AS (
+  SELECT rid, doc_id, len(ws)::BIGINT AS n, w, count(*)::BIGINT AS tf
+  FROM (SELECT rid, doc_id, ws, unnest(ws) AS w FROM docs)
+  WHERE w IN (SELECT w FROM wanted) GROUP BY rid, doc_id, ws, w),
+worth AS (
+  SELECT w, floor(1000 * ln((2 * n_all + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS weight
+  FROM held, sums GROUP BY w, n_all),
+scores AS (
+  SELECT ino, item_id, rid, doc_id, sum(weight * ((1000000000 * tf)
+           // (1000 * tf + 8 * (100 - 90 + ((90 * n * n_all) // l_all)))))::BIGINT AS score
+  FROM wanted JOIN held USING (w) JOIN worth USING (w), sums
+  GROUP BY ino, item_id, rid, doc_id)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY ino ORDER BY score DESC, doc_id NULLS LAST, rid) AS rank
+  FROM scores WHERE score > 0)
+WHERE rank <= 10
+"""
+
+
+@query("op11_ranked", RANK_SQL)
+def op11(spark, sf_dir):
+    """The ten best documents of every benchmark item."""
+    return ranked.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def _repair_sql() -> str:
+    crc = """(list_reduce(list_prepend(4294967295::BIGINT, list_transform(
+        string_split(said, ''), lambda c: ascii(c)::BIGINT)),
+      lambda a, b: xor(a >> 8, crc_table[1 + (xor(a, b) & 255)])))"""
+    far = 1 << 40
+
+    def state(name):  # states: nothing said, after the system, a user, an assistant row
+        return f"struct_pack(c := {name}.c, a := {name}.a, r := {name}.r)"
+
+    def grown(name, cost, letter, line=None):
+        said = f"{name}.r" if line is None else f"list_append({name}.r, {line})"
+        return f"struct_pack(c := {name}.c + {cost}, a := {name}.a || '{letter}', r := {said})"
+
+    def where(condition, name, cost, letter, line):
+        return f"CASE WHEN {condition} THEN {grown(name, cost, letter, line)} END"
+
+    kept, user, assistant = "role || ':' || text", "'user:' || text", "'assistant:' || text"
+    first, extra = "left(role, 1)", "CASE fault WHEN 3 THEN 3 ELSE 0 END"
+    deleted = {x: grown(x, 4, "D") for x in ("t0", "t1", "t2", "t3")}
+    same = {"s0": "t0", "s1": "t1", "s2": "t2", "s3": "t3"}
+    ways = {
+        "s0": [deleted["t0"]],
+        "s1": [deleted["t1"], where(f"{first} = 's'", "t0", extra, "K", kept)],
+        "s2": [deleted["t2"], *[where(f"{first} = 'u'", x, extra, "K", kept) for x in ("t0", "t1", "t3")],
+               *[where("true", x, f"3 + {extra}", "R", user) for x in ("t0", "t1", "t3")]],
+        "s3": [deleted["t3"], where(f"{first} = 'a'", "t2", extra, "K", kept),
+               where("true", "t2", f"3 + {extra}", "R", assistant)]}
+    step = ", ".join(
+        # rows that must go leave the states as they were before any insertion
+        f"CASE WHEN fault IN (1, 2) THEN {grown(x.replace('s', 'p'), 4, 'D')} "
+        f"ELSE list_min([{', '.join(ways[x])}]) END AS {x}" for x in same)
+    user_in = [grown(x, 3, "I", "'user:'") for x in ("s0", "s1", "s3")]
+    inserted = f"""SELECT conv, i, s0 AS p0, s1 AS p1, s2 AS p2, s3 AS p3, s0 AS t0, s1 AS t1, t2,
+             list_min([s3, {grown('t2', 3, 'I', "'assistant:'")}]) AS t3
+      FROM (SELECT *, list_min([s2, {', '.join(user_in)}]) AS t2 FROM walk)"""
+    never = f"struct_pack(c := {far}::BIGINT, a := '', r := []::VARCHAR[])"
+    return rf"""
+WITH RECURSIVE crcs AS (
+  SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n::BIGINT, range(8)),
+    lambda a, b: CASE WHEN a % 2 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) AS crc_table),
+keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS said
+  FROM conversations),
+marked AS (
+  SELECT conv_id, turn, role, text, xor({crc}, 4294967295) % 20 AS kind FROM keyed, crcs),
+damaged AS (
+  SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role,
+         CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END
+           AS text, unnest(CASE kind WHEN 3 THEN [1, 2] ELSE [1] END) AS copy
+  FROM marked WHERE kind <> 0),
+convs AS (
+  SELECT conv_id, row_number() OVER () AS conv FROM (SELECT DISTINCT conv_id FROM conversations)),
+placed AS (
+  SELECT conv, turn, role, text, row_number() OVER (
+           PARTITION BY conv ORDER BY turn NULLS FIRST, role,
+           md5(length(role) || ':' || role || text)) AS i
+  FROM damaged d JOIN convs c ON d.conv_id IS NOT DISTINCT FROM c.conv_id),
+judged AS (
+  SELECT *, CASE
+      WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 1
+      WHEN row_number() OVER (PARTITION BY conv, role, text ORDER BY i) > 1 THEN 2
+      WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 3 ELSE 0 END AS fault,
+    left(lag(role) OVER (PARTITION BY conv ORDER BY i), 1) || left(role, 1) AS pair
+  FROM placed),
+walk AS (
+  SELECT conv, 0::BIGINT AS i, struct_pack(c := 0::BIGINT, a := '', r := []::VARCHAR[]) AS s0,
+         {never} AS s1, {never} AS s2, {never} AS s3 FROM convs
+  UNION ALL
+  SELECT t.conv, j.i,
+         {step}
+  FROM ({inserted}) t JOIN judged j ON j.conv = t.conv AND j.i = t.i + 1),
+least AS (
+  SELECT conv, list_min([p0, t3]) AS best FROM ({inserted}) t
+  QUALIFY row_number() OVER (PARTITION BY conv ORDER BY i DESC) = 1),
+sums AS (
+  SELECT conv, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps,
+         count(*) FILTER (WHERE fault = 1) AS blank, count(*) FILTER (WHERE fault = 2) AS duplicate,
+         count(*) FILTER (WHERE fault = 3) AS truncated,
+         count(*) FILTER (WHERE pair IS NOT NULL AND pair NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM judged GROUP BY conv)
+SELECT conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank,
+       coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       coalesce(illegal, 0) AS illegal, best.c AS cost, best.a AS audit,
+       sha256(array_to_string(best.r, chr(10))) AS repaired_sha256
+FROM convs JOIN least USING (conv) LEFT JOIN sums USING (conv)
+"""
+
+
+@query("op12_repair", _repair_sql())
+def op12(spark, sf_dir):
+    """Every conversation, damaged and repaired: its faults, least edits and what is left."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return repair.digest(turns, repair.repair(repair.damage(turns)))
+
+
 @query("op13_toxicity")
 def op13(spark, sf_dir):
     """Toxicity of every document."""
