@@ -215,9 +215,9 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _fit(share: float, factors: int):
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("key", "ascending"), ("toxic", "ascending")])
-        texts = [(np.array(t, np.int64), np.array(a, np.int64)) for t, a in zip(
-            table["terms"].to_pylist(), table["at"].to_pylist())]
-        model = train(texts, np.array(table["toxic"].to_pylist(), float), share, factors)
+        texts = [(t.values.to_numpy(), a.values.to_numpy()) for t, a in zip(
+            table["terms"], table["at"])]  # views of the table
+        model = train(texts, table["toxic"].to_numpy().astype(float), share, factors)
         out = io.BytesIO()
         np.savez(out, bias=model.bias, terms=model.terms, weights=model.weights,
                  factors=model.factors)
