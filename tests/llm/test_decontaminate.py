@@ -78,7 +78,7 @@ def test_long_texts_with_more_passages_than_the_rank(spark, docs, world):
     assert sorted((r.doc_id, r.item_id, r.share) for r in got) == [(i, i, 1.0) for i, _ in items]
     known = [(i, d.words(t), []) for i, t in items]
     for part in d.index_blocks(known, 256, 24):
-        assert sum(len(starts) for _, starts in part) <= 24
+        assert sum(len(starts) for _, starts in part) <= 24 * d.SPREAD
 
 
 @pytest.mark.parametrize("total", [10_000, 1_000_000, 20_000_000])
@@ -107,7 +107,8 @@ def test_partial_copy_needs_the_answer(spark, docs, world):
     assert set(found(spark, docs, rows, item)) == {(1, 1)}
 
 
-def test_candidates_reach_nine_tenths_of_brute_force(spark, world):
+@pytest.mark.parametrize("rank", [d.RANK, 64])
+def test_candidates_reach_nine_tenths_of_brute_force(spark, world, rank):
     """Windows that hold most of a text: how many of them the cosine search proposes."""
     rng, prose, items = world
     known = [(i, d.words(t), d.answer_of(t)) for i, t in items]
@@ -116,7 +117,8 @@ def test_candidates_reach_nine_tenths_of_brute_force(spark, world):
     for found_words in texts:
         for w in set(found_words):
             seen[w] = seen.get(w, 0) + 1
-    index, hits, close = d.build_index(spark, known, seen), 0, 0
+    index, hits, close = d.build_index(spark, known, seen, rank), 0, 0
+    assert index.factor.shape[1] == min(rank, index.passages.shape[1])
     for found_words in texts:
         ids = np.array([index.vocabulary.get(w, len(index.factor)) for w in found_words])
         windows, passages = index._near(ids)

@@ -9,8 +9,9 @@ its recall does not fall as rare words gain weight in a larger corpus. The few w
 common subsequence of the benchmark text and the neighbourhood of the window must cover ``COPIED``
 of the text, or ``PARAPHRASED`` of it with the answer (the last sentence) found word for word.
 
-Benchmark texts are indexed in blocks of ``BLOCK_ITEMS`` texts and ``RANK`` passages at most, each with a
-factor of its own that holds all its passages whole, and a pass over the corpus searches
+Benchmark texts are indexed in blocks of ``BLOCK_ITEMS`` texts and ``SPREAD * RANK`` passages at most, each
+with a factor of its own of rank ``RANK``; scores are calibrated by the share of a passage that the
+factor holds, so that whole copies score as without the reduction. A pass over the corpus searches
 ``PASS_BLOCKS`` blocks (more only for the blocks of one very long text); a larger benchmark takes more
 passes, so what is broadcast stays bounded.
 
@@ -36,8 +37,11 @@ from pyspark.sql.window import Window
 from threadlake.session import materialize
 
 WINDOW, STRIDE = 40, 20
-RANK, OVERSAMPLE, POWER_STEPS = 384, 16, 1
-COSINE = 0.3
+RANK, OVERSAMPLE, POWER_STEPS = 192, 16, 1
+# Passages of a block for each column of its factor, and the least share of a passage's energy that
+# the factor is taken to hold.
+SPREAD, HELD = 2, 0.1
+COSINE = 0.15
 # Mean weights of passages within this factor share a level.
 LEVEL = 1.25
 # TF-IDF weight under which a word (here: in over a third of the documents) is not projected.
@@ -104,7 +108,7 @@ class Index:
     least: np.ndarray                 # passage -> least score that is checked
     heavy: np.ndarray                 # words that are projected; the last is False
     factor: np.ndarray                # (words, rank)
-    passages: np.ndarray              # (rank, passages), divided by the norm of the TF-IDF row
+    passages: np.ndarray              # (rank, passages), see build_index
     owner: np.ndarray                 # passage -> item
     items: list[tuple]                # (id, number of words, places of words, words, answer)
     rows: list[int]                   # item -> row of the benchmark; a long text has several blocks
@@ -259,12 +263,12 @@ def cut_starts(found: list[bytes]) -> range:
 
 
 def index_blocks(known: list[tuple], block: int, rank: int) -> Iterator[list[tuple[int, range]]]:
-    """(row, starts of passages) in blocks of at most ``block`` texts and ``rank`` passages.
+    """(row, starts of passages) in blocks of at most ``block`` texts and ``SPREAD * rank`` passages.
 
-    With no more passages than the factor has columns, the factor holds every passage whole. A text
-    of more passages than that goes on in the next blocks.
+    So the factor reduces, but holds a fair share of every passage. A text of more passages than that
+    goes on in the next blocks.
     """
-    here, held = [], 0
+    here, held, rank = [], 0, SPREAD * rank
     for row, (_, found, _) in enumerate(known):
         starts = cut_starts(found)
         while starts:
@@ -299,8 +303,11 @@ def build_index(spark: SparkSession, known: list[tuple], seen: dict[bytes, int],
     rows = spark.createDataFrame(cut, "ids array<int>, weights array<double>").repartition(8)
     vectors = randomised_svd(rows, len(vocabulary), min(rank, len(cut)))
     other = np.log(1.0 + total) + 0.01
+    # The factor has fewer columns than the block has passages and holds a share of each. Divided by
+    # that share, a window with the whole passage in it scores as it would without the reduction.
     passages = np.stack([np.asarray(w) @ vectors[ids] for ids, w in cut])
     norms = np.array([np.linalg.norm(w) for _, w in cut])
+    norms *= np.maximum(HELD, (passages ** 2).sum(axis=1) / norms ** 2)
     # Words of little weight decide nothing where every passage has heavier ones.
     heavy = weight >= LIGHT
     shares = [sum(x * x for i, x in zip(ids, w) if heavy[i]) / sum(x * x for x in w)
