@@ -41,7 +41,7 @@ RANK, OVERSAMPLE, POWER_STEPS = 192, 16, 1
 # Passages of a block for each column of its factor, and the least share of a passage's energy that
 # the factor is taken to hold.
 SPREAD, HELD = 2, 0.1
-COSINE = 0.15
+COSINE = 0.3
 # Mean weights of passages within this factor share a level.
 LEVEL = 1.25
 # TF-IDF weight under which a word (here: in over a third of the documents) is not projected.
@@ -307,7 +307,8 @@ def build_index(spark: SparkSession, known: list[tuple], seen: dict[bytes, int],
     # that share, a window with the whole passage in it scores as it would without the reduction.
     passages = np.stack([np.asarray(w) @ vectors[ids] for ids, w in cut])
     norms = np.array([np.linalg.norm(w) for _, w in cut])
-    norms *= np.maximum(HELD, (passages ** 2).sum(axis=1) / norms ** 2)
+    held = np.maximum(HELD, (passages ** 2).sum(axis=1) / norms ** 2)
+    norms *= held
     # Words of little weight decide nothing where every passage has heavier ones.
     heavy = weight >= LIGHT
     shares = [sum(x * x for i, x in zip(ids, w) if heavy[i]) / sum(x * x for x in w)
@@ -318,7 +319,8 @@ def build_index(spark: SparkSession, known: list[tuple], seen: dict[bytes, int],
     steps, level = np.unique(np.floor(np.log(mean) / np.log(LEVEL)), return_inverse=True)
     caps = (LEVEL ** steps[:, None]).astype(np.float32) ** 2
     # A text of a few words fills little of a window; 0.85 for the words that are not projected.
-    least = np.minimum(COSINE, 0.85 * np.sqrt(np.array(sizes) / WINDOW)).astype(np.float32)
+    # What the factor does not hold of a passage makes its scores less sure.
+    least = np.minimum(COSINE * np.sqrt(held), 0.85 * np.sqrt(np.array(sizes) / WINDOW)).astype(np.float32)
     return Index(
         vocabulary, squares, np.minimum(squares, caps), level, least, np.append(heavy, False),
         (weight[:, None] * vectors).astype(np.float32),
