@@ -1,14 +1,15 @@
-"""Lexical leg: exact BM25 top-k over an inverted index.
+"""Lexical leg: exact BM25 top-k over a stored inverted index.
 
 The scorer is documented here because the one it replaces lives inside a document store:
 k1 = 1.2, b = 0.75, idf = ln(1 + (n - df + 0.5) / (df + 0.5)) over the whole eligible corpus,
 tokens as in ``tokenize``, each query token counted once, scores at six decimals, ties to the
 smaller id.
 
-A very common word joins a third of all texts with every query that uses it. When that volume
-is large, upper bounds replace the full join: the k best postings per (word, room) give every
-query a lower bound on its k-th score, and a posting is touched only if it can lift its text
-over that bound together with the query's weaker words. The result stays exact.
+Only the postings of the queries' tokens are read. A very common word still joins a third of all
+texts with every query that uses it. When that volume is large, the greatest weights of the index's
+blocks replace the full join: the heaviest postings per (word, room) give every query a lower bound
+on its k-th score, and a block is read only if a posting in it can lift its text over that bound
+together with the query's weaker words. The result stays exact.
 """
 
 from __future__ import annotations
@@ -17,14 +18,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from threadlake.constants import BM25_B, BM25_K1, LEG_LIMIT
+from threadlake.constants import LEG_LIMIT
 from threadlake.functions.scalar import tokenize
 from threadlake.operators.ordered import top_within
-from threadlake.session import materialize, spread
+from threadlake.session import materialize, scratch_path
+from threadlake.sources.postings import PostingTable, weight
 
 # (query, text) postings joined directly before the bounds are worth their extra passes.
 DIRECT_PAIRS = 50_000_000
-_STEP = 0.25
 _SLACK = 2e-6
 
 
@@ -33,39 +34,27 @@ def query_tokens(queries: DataFrame) -> DataFrame:
         F.array_distinct(tokenize(F.col("question")))).alias("token"))
 
 
-def build_postings(corpus: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(token, room_id, doc_id, weight) for the wanted tokens, and (token, df).
-
-    ``weight`` is the posting's whole BM25 contribution, so scoring is a sum.
-    """
-    docs = spread(corpus).select("doc_id", "room_id", tokenize(F.col("text")).alias("_tokens"))
-    docs = docs.withColumn("_len", F.size("_tokens"))
-    n, mean = docs.agg(F.count(F.lit(1)), F.avg("_len")).first()
-    counts = (docs.select("doc_id", "room_id", "_len", F.explode("_tokens").alias("token"))
-              .join(wanted.select("token").distinct(), "token", "left_semi")
-              .groupBy("doc_id", "room_id", "_len", "token")
-              .agg(F.count(F.lit(1)).alias("_tf")))
-    counts = materialize(counts, "counts")
-    df = counts.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.log(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    norm = BM25_K1 * (1 - BM25_B + BM25_B * F.col("_len") / F.lit(float(mean or 1.0)))
-    weight = idf * F.col("_tf") * (BM25_K1 + 1) / (F.col("_tf") + norm)
-    postings = counts.join(df, "token").select("token", "room_id", "doc_id",
-                                               weight.alias("weight"))
-    return postings, df
-
-
 def _total(pairs: DataFrame, k: int) -> DataFrame:
     scored = pairs.groupBy("query_id", "doc_id", "room_id").agg(
         F.round(F.sum("weight"), 6).alias("score"))
     return top_within(scored, ["query_id"], [F.desc("score"), "doc_id"], k, "rank")
 
 
-def _bounded(asked: DataFrame, tokens: DataFrame, postings: DataFrame, k: int) -> DataFrame:
-    """``asked(query_id, room_id, token)``: candidates by bounds, then their full scores."""
-    best = materialize(top_within(postings, ["token", "room_id"],
-                                  [F.desc("weight"), "doc_id"], k, "_n"), "best")
-    seeds = asked.join(best, ["token", "room_id"])
+def _bounded(asked: DataFrame, tokens: DataFrame, postings: DataFrame, blocks: DataFrame,
+             k: int) -> DataFrame:
+    """``asked(query_id, room_id, token)``: candidates by bounds, then their full scores.
+
+    ``blocks(token, room_id, level, documents, bound)``: no posting of the block weighs more.
+    """
+    word = ["token", "room_id"]
+    # the fewest blocks per (word, room) with the k heaviest postings in them, roughly
+    heavier = Window.partitionBy(*word).orderBy(F.desc("level")).rowsBetween(
+        Window.unboundedPreceding, -1)
+    first = blocks.withColumn("_before", F.coalesce(F.sum("documents").over(heavier), F.lit(0))).where(
+        F.col("_before") < k).select(*word, "level")
+    best = top_within(postings.join(first, [*word, "level"], "left_semi"), word,
+                      [F.desc("weight"), "doc_id"], k, "_n")
+    seeds = asked.join(best, word)
     partial = top_within(
         seeds.groupBy("query_id", "doc_id").agg(F.sum("weight").alias("_sum")),
         ["query_id"], [F.desc("_sum"), "doc_id"], k, "_n")
@@ -73,37 +62,52 @@ def _bounded(asked: DataFrame, tokens: DataFrame, postings: DataFrame, k: int) -
 
     # A text that reaches the floor does so through its strongest query word t: its weight
     # for t plus the most the weaker words can add.
-    top = best.where("_n = 1").select("token", "room_id", F.col("weight").alias("_max"))
+    top = blocks.groupBy(*word).agg(F.max("bound").alias("_max"))
     weaker = (Window.partitionBy("query_id", "room_id").orderBy("_max", "token")
               .rowsBetween(Window.unboundedPreceding, -1))
-    need = (asked.join(top, ["token", "room_id"])
+    need = (asked.join(top, word)
             .withColumn("_below", F.coalesce(F.sum("_max").over(weaker), F.lit(0.0)))
             .join(floor, "query_id", "left")
             .withColumn("_least", F.greatest(F.lit(0.0), F.coalesce("_floor", F.lit(0.0))
                                              - F.col("_below") - _SLACK))
             .where(F.col("_max") >= F.col("_least")))
-    level = F.floor(F.col("weight") / _STEP).cast("int")
-    wanted = need.select("query_id", "room_id", "token", "_least", F.explode(F.sequence(
-        F.floor(F.col("_least") / _STEP).cast("int"),
-        F.floor(F.col("_max") / _STEP).cast("int"))).alias("_level"))
-    candidates = wanted.join(postings.withColumn("_level", level),
-                             ["token", "room_id", "_level"]).where(
+    read = need.select("query_id", *word, "_least").join(
+        blocks.select(*word, "level", "bound"), word).where(F.col("bound") >= F.col("_least")).drop("bound")
+    candidates = read.join(postings, [*word, "level"]).where(
         F.col("weight") >= F.col("_least")).select("query_id", "doc_id").distinct()
     full = candidates.join(tokens, "query_id").join(postings, ["doc_id", "token"])
     return _total(full, k)
 
 
-def lexical_leg(queries: DataFrame, corpus: DataFrame, scope: DataFrame, k: int = LEG_LIMIT,
+def indexed_leg(queries: DataFrame, index: PostingTable, scope: DataFrame, k: int = LEG_LIMIT,
                 direct_pairs: int = DIRECT_PAIRS) -> DataFrame:
     """(query_id, doc_id, room_id, score, rank): BM25 top k over the rooms in scope.
 
-    ``queries(query_id, question)``, ``corpus(doc_id, room_id, text)``.
+    ``queries(query_id, question)``; the index holds the corpus.
     """
+    n, mean = index.statistics()
     tokens = query_tokens(queries)
-    postings, df = build_postings(corpus, tokens)
     asked = tokens.join(scope, "query_id")
+    df = index.frequencies(tokens)
+    idf = F.log(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    worth = df.select("token", "df", idf.alias("idf"))
+    postings = index.postings(tokens).join(worth, "token").select(
+        "token", "room_id", "level", "doc_id",
+        (F.col("idf") * weight(F.col("tf"), F.col("length"), mean)).alias("weight"))
     volume = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("_q")).join(df, "token").agg(
         F.sum(F.col("_q") * F.col("df"))).first()[0] or 0
     if volume <= direct_pairs:
         return _total(asked.join(postings, ["token", "room_id"]), k)
-    return _bounded(asked, tokens, materialize(postings, "postings"), k)
+    blocks = index.blocks(tokens).join(worth, "token").select(
+        "token", "room_id", "level", "documents",
+        (F.col("idf") * weight(F.col("tf"), F.col("length"), mean)).alias("bound"))
+    return _bounded(asked, tokens, postings, materialize(blocks, "blocks"), k)
+
+
+def lexical_leg(queries: DataFrame, corpus: DataFrame, scope: DataFrame, k: int = LEG_LIMIT,
+                direct_pairs: int = DIRECT_PAIRS) -> DataFrame:
+    """``indexed_leg`` over ``corpus(doc_id, room_id, text)``, indexed for this call."""
+    index = PostingTable(queries.sparkSession, scratch_path(queries.sparkSession, "postings"),
+                         corpus.schema["doc_id"].dataType.simpleString())
+    index.add(corpus, 0)
+    return indexed_leg(queries, index, scope, k, direct_pairs)

@@ -12,12 +12,14 @@ from threadlake.operators import cache, evaluation, fusion, scope
 from threadlake.operators.chunking import chunk_documents
 from threadlake.operators.dedup import near_dup_collapse
 from threadlake.operators.knn import vector_knn
+from threadlake.operators.lexical import indexed_leg
 from threadlake.plans import bindings as b
 from threadlake.plans import search
 from threadlake.plans.oracle_views import (
     embedding_views, normalized_sql, tokens_sql, trimmed_sql,
 )
 from threadlake.plans.registry import query
+from threadlake.plans.stored import corpus
 from threadlake.session import materialize, scratch_path
 from threadlake.sources import points as point_table
 
@@ -239,27 +241,35 @@ def _suppliers(spark, sf):
 # --- search ------------------------------------------------------------------------------
 
 def _setting(spark, sf):
-    """Questions, scope, rooms, messages and embedded points of the text corpus."""
+    """Questions, scope, rooms, messages and the stored corpus."""
     rooms, messages = b.rooms(spark, sf), b.texts(spark, sf)
     questions = b.questions(spark, sf)
     allowed = scope.permission_scope(questions, b.memberships(spark, sf), rooms)
-    points = materialize(search.message_points(messages, rooms), "points")
-    return questions, allowed, rooms, messages, points
+    return questions, allowed, rooms, messages, corpus(spark, sf)
 
 
 @query("vector_leg", "SELECT query_id, key, room_id, score, CAST(rank AS INTEGER) AS rank "
                      "FROM r_vleg")
 def vector_leg(spark, sf):
-    questions, allowed, _, _, points = _setting(spark, sf)
-    return search.vector_leg(questions, points, allowed)
+    questions, allowed, _, _, held = _setting(spark, sf)
+    return search.vector_leg(questions, held.message_points, allowed)
 
 
-@query("lexical_leg", "SELECT query_id, key, room_id, score, CAST(rank AS INTEGER) AS rank "
-                      "FROM r_lex")
+_LEXICAL_SQL = "SELECT query_id, key, room_id, score, CAST(rank AS INTEGER) AS rank FROM r_lex"
+
+
+@query("lexical_leg", _LEXICAL_SQL)
 def lexical_leg(spark, sf):
-    questions, messages, rooms = b.questions(spark, sf), b.texts(spark, sf), b.rooms(spark, sf)
-    allowed = scope.permission_scope(questions, b.memberships(spark, sf), rooms)
-    return search.message_lexical_leg(questions, messages, rooms, allowed)
+    questions, allowed, rooms, messages, held = _setting(spark, sf)
+    return search.message_lexical_leg(questions, messages, rooms, allowed, index=held.index)
+
+
+@query("lexical_leg_bounded", _LEXICAL_SQL)
+def lexical_leg_bounded(spark, sf):
+    """The same by the bounds of the index's blocks, as for a volume beyond the direct join."""
+    questions, allowed, _, _, held = _setting(spark, sf)
+    return indexed_leg(questions, held.index, allowed, direct_pairs=0).withColumnRenamed(
+        "doc_id", "key")
 
 
 @query("rrf_fusion", """
@@ -267,9 +277,10 @@ def lexical_leg(spark, sf):
            CAST(lexical_rank AS INTEGER) AS lexical_rank, round(score, 9) AS score,
            CAST(fused_rank AS INTEGER) AS fused_rank FROM r_fused""")
 def rrf_fusion(spark, sf):
-    questions, allowed, rooms, messages, points = _setting(spark, sf)
-    fused = fusion.rrf_fusion(search.vector_leg(questions, points, allowed),
-                              search.message_lexical_leg(questions, messages, rooms, allowed))
+    questions, allowed, rooms, messages, held = _setting(spark, sf)
+    fused = fusion.rrf_fusion(
+        search.vector_leg(questions, held.message_points, allowed),
+        search.message_lexical_leg(questions, messages, rooms, allowed, index=held.index))
     return fused.withColumn("score", F.round("score", 9))
 
 
@@ -288,6 +299,12 @@ def near_dup_collapse_query(spark, sf):
         "query_id", "turn", "final_rank")
 
 
+def _retrieved(spark, sf, limit: int = FUSED_LIMIT):
+    questions, allowed, rooms, messages, held = _setting(spark, sf)
+    return questions, search.hybrid_retrieve(questions, held.message_points, messages, rooms,
+                                             allowed, limit, held.index)
+
+
 @query("hybrid_search", """
     SELECT o.query_id, o.key, CAST(o.final_rank AS INTEGER) AS final_rank,
            coalesce(r.name, 'unknown') AS room_name,
@@ -297,9 +314,9 @@ def near_dup_collapse_query(spark, sf):
     LEFT JOIN supplier s ON s.s_suppkey = o.sender_id WHERE o.final_rank <= 8""")
 def hybrid_search(spark, sf):
     """Every passage as a search by its user: the eight best sources with their names."""
-    questions, allowed, rooms, messages, points = _setting(spark, sf)
-    found = search.hybrid_retrieve(questions, points, messages, rooms, allowed, 8)
-    named = scope.enrich_room_name(scope.source_sender(found, _suppliers(spark, sf)), rooms)
+    found = _retrieved(spark, sf, 8)[1]
+    named = scope.enrich_room_name(scope.source_sender(found, _suppliers(spark, sf)),
+                                   b.rooms(spark, sf))
     return named.select("query_id", "key", "final_rank", "room_name", "created_at", "text",
                         "sender")
 
@@ -316,14 +333,11 @@ _OVERLAP = (f"len(list_filter({tokens_sql('body')}, lambda t: "
                        count(*) OVER (PARTITION BY query_id) AS n
                 FROM r_once WHERE final_rank <= {RERANK_POOL})) WHERE rerank <= 6""")
 def rerank_overlap(spark, sf):
-    questions, allowed, rooms, messages, points = _setting(spark, sf)
-    pool = search.hybrid_retrieve(questions, points, messages, rooms, allowed, RERANK_POOL)
-    return fusion.rerank_overlap(pool).select("query_id", "key", "overlap", "rerank")
+    return fusion.rerank_overlap(_retrieved(spark, sf, RERANK_POOL)[1]).select("query_id", "key", "overlap", "rerank")
 
 
 def _packed(spark, sf):
-    questions, allowed, rooms, messages, points = _setting(spark, sf)
-    found = search.hybrid_retrieve(questions, points, messages, rooms, allowed)
+    questions, found = _retrieved(spark, sf)
     packed = fusion.pack_to_budget(found, ["query_id"], "final_rank", budget=400)
     return questions, packed.withColumn(
         "sender_name", F.concat(F.lit("user "), F.col("sender_id").cast("string")))
@@ -585,15 +599,11 @@ _RERANKED = f""",
 def _eval_setting(spark, sf, pool: int):
     """Passages as questions over document chunks and messages; expected are the first chunks
     that hold the passage, document by document."""
-    rooms, messages = b.rooms(spark, sf), b.texts(spark, sf)
-    questions = b.questions(spark, sf)
-    allowed = scope.permission_scope(questions, b.memberships(spark, sf), rooms)
-    chunks = materialize(chunk_documents(b.docs(spark, sf)), "chunks")
-    points = materialize(search.chunk_points(chunks, rooms), "points")
+    questions, allowed, rooms, messages, held = _setting(spark, sf)
     found = search.hybrid_retrieve_sources(
-        questions, points, search.message_sources(messages, rooms), messages, rooms, allowed,
-        pool)
-    expected = evaluation.first_chunk_keys(questions, chunks)
+        questions, held.chunk_points, search.message_sources(messages, rooms), messages, rooms,
+        allowed, pool, held.index)
+    expected = evaluation.first_chunk_keys(questions, held.chunks)
     return questions, expected, found
 
 

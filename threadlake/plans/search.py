@@ -11,9 +11,10 @@ from threadlake.functions.scalar import doc_key, message_key
 from threadlake.operators.dedup import near_dup_collapse
 from threadlake.operators.fusion import rrf_fusion
 from threadlake.operators.knn import vector_knn
-from threadlake.operators.lexical import lexical_leg
-from threadlake.session import spread
+from threadlake.operators.lexical import indexed_leg, lexical_leg
 from threadlake.operators.scope import knowledge_filter, memory_gate
+from threadlake.session import spread
+from threadlake.sources.postings import PostingTable
 
 SOURCE_COLUMNS = ("key", "kind", "room_id", "text", "sender_id", "filename", "page",
                   "created_at")
@@ -41,12 +42,20 @@ def vector_leg(questions: DataFrame, points: DataFrame, scope: DataFrame,
     return hits.withColumnRenamed("point_id", "key")
 
 
-def message_lexical_leg(questions: DataFrame, messages: DataFrame, rooms: DataFrame,
-                        scope: DataFrame, k: int = LEG_LIMIT) -> DataFrame:
-    corpus = knowledge_filter(messages, rooms).select(
+def message_corpus(messages: DataFrame, rooms: DataFrame) -> DataFrame:
+    """What the lexical leg searches: ``doc_id, room_id, text`` of the knowledge messages."""
+    return knowledge_filter(messages, rooms).select(
         message_key(F.col("message_id")).alias("doc_id"), "room_id",
         F.col("body").alias("text"))
-    return lexical_leg(questions, corpus, scope, k).withColumnRenamed("doc_id", "key")
+
+
+def message_lexical_leg(questions: DataFrame, messages: DataFrame, rooms: DataFrame,
+                        scope: DataFrame, k: int = LEG_LIMIT,
+                        index: PostingTable | None = None) -> DataFrame:
+    """The messages' lexical hits, from the stored index if there is one."""
+    found = (indexed_leg(questions, index, scope, k) if index else
+             lexical_leg(questions, message_corpus(messages, rooms), scope, k))
+    return found.withColumnRenamed("doc_id", "key")
 
 
 def message_sources(messages: DataFrame, rooms: DataFrame) -> DataFrame:
@@ -60,11 +69,12 @@ def message_sources(messages: DataFrame, rooms: DataFrame) -> DataFrame:
 
 def hybrid_retrieve_sources(questions: DataFrame, points: DataFrame, sources: DataFrame,
                             messages: DataFrame, rooms: DataFrame, scope: DataFrame,
-                            limit: int = FUSED_LIMIT) -> DataFrame:
+                            limit: int = FUSED_LIMIT,
+                            index: PostingTable | None = None) -> DataFrame:
     """``hybrid_retrieve`` where ``sources`` lists further sources, with or without vectors; a
     source also in ``points`` is taken from there."""
     fused = rrf_fusion(vector_leg(questions, points, scope),
-                       message_lexical_leg(questions, messages, rooms, scope))
+                       message_lexical_leg(questions, messages, rooms, scope, index=index))
     held = points.select(*SOURCE_COLUMNS)
     known = held.unionByName(sources.select(*SOURCE_COLUMNS).join(
         held.select("key"), "key", "left_anti"))
@@ -75,10 +85,10 @@ def hybrid_retrieve_sources(questions: DataFrame, points: DataFrame, sources: Da
 
 def hybrid_retrieve(questions: DataFrame, points: DataFrame, messages: DataFrame,
                     rooms: DataFrame, scope: DataFrame,
-                    limit: int = FUSED_LIMIT) -> DataFrame:
+                    limit: int = FUSED_LIMIT, index: PostingTable | None = None) -> DataFrame:
     """Final sources per question with ``final_rank``; both legs see only the scope.
 
     A message that has no vector yet is found by its words.
     """
     return hybrid_retrieve_sources(questions, points, message_sources(messages, rooms), messages,
-                                   rooms, scope, limit)
+                                   rooms, scope, limit, index)

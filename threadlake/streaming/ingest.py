@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from threadlake.constants import DOCUMENT_ATTEMPTS, EMBED_DIMS, MESSAGE_ATTEMPTS
 from threadlake.functions.embedding import embed
-from threadlake.functions.scalar import doc_key, point_id
+from threadlake.functions.scalar import doc_key, message_key, point_id
 from threadlake.operators.chunking import chunk_documents
 from threadlake.operators.scope import knowledge_filter, memory_gate
 from threadlake.operators.validate import row_validation
 from threadlake.operators.ordered import windowed
 from threadlake.sources.points import PointTable
-from threadlake.streaming.runtime import run_batches
+from threadlake.sources.postings import PostingTable
+from threadlake.streaming.runtime import first_number, run_batches
 
 MESSAGE_POINTS = ("point_id string, room_id bigint, message_id bigint, sender_id bigint, "
                   "text string, created_at timestamp, vector array<double>")
@@ -36,12 +37,32 @@ def stream_ingest(messages: DataFrame, rooms: DataFrame, root: str,
                   checkpoint: str | None = None) -> PointTable:
     """Messages to points. Ids derive from the message, so redelivery changes nothing."""
     table = PointTable(messages.sparkSession, root, MESSAGE_POINTS)
-    first = table.next_seq()
+    first = first_number(messages.sparkSession, checkpoint, table.next_seq())
     run_batches(message_point_rows(messages, rooms),
                 lambda batch, n: table.upsert(batch, first + n), "ingest", checkpoint)
     return table
 
 
+def stream_index(messages: DataFrame, rooms: DataFrame, root: str,
+                 checkpoint: str | None = None) -> PostingTable:
+    """Knowledge messages to the inverted index; an edited message takes the place of the old one.
+
+    Of several versions of a message in one batch the last edited (``created_at``) counts.
+    """
+    spark = messages.sparkSession
+    index = PostingTable(spark, root)
+    first = first_number(spark, checkpoint, index.next_batch())
+
+    def handle(batch: DataFrame, n: int) -> None:
+        newest = batch.groupBy("message_id").agg(
+            F.max(F.struct("created_at", "body", "room_id")).alias("m"))
+        index.add(newest.select(message_key(F.col("message_id")).alias("doc_id"), "m.room_id",
+                                F.col("m.body").alias("text")), first + n)
+
+    run_batches(knowledge_filter(messages, rooms), handle, "index", checkpoint)
+    return index
+
+
 def stream_doc_ingest(docs: DataFrame, root: str, dims: int = EMBED_DIMS,
                       checkpoint: str | None = None) -> tuple[PointTable, PointTable]:
     """Documents to chunk points and a status per document.
@@ -53,7 +74,7 @@ def stream_doc_ingest(docs: DataFrame, root: str, dims: int = EMBED_DIMS,
     spark = docs.sparkSession
     points = PointTable(spark, f"{root}/points", DOC_POINTS)
     status = PointTable(spark, f"{root}/status", DOC_STATUS, ("doc_id",))
-    first = max(points.next_seq(), status.next_seq())
+    first = first_number(spark, checkpoint, max(points.next_seq(), status.next_seq()))
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         n = first + batch_id

@@ -50,12 +50,35 @@ def run_batches(stream: DataFrame, handle: Callable[[DataFrame, int], None], lab
     query.awaitTermination()
 
 
+def first_number(spark: SparkSession, checkpoint: str | None, following: int) -> int:
+    """Number of the first batch that a stream writes to a table of numbered batches.
+
+    It is kept beside the checkpoint, so a stream that goes on after a restart, and repeats the batch
+    it was at, gives that batch the number it had. ``following`` is the table's next free number.
+    """
+    if checkpoint is None:
+        return following
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{checkpoint.rstrip('/')}.first")
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        out = fs.create(path, False)
+        out.writeLong(following)
+        out.close()
+        return following
+    data = fs.open(path)
+    try:
+        return data.readLong()
+    finally:
+        data.close()
+
+
 def keep_latest(stream: DataFrame, keys: tuple[str, ...], label: str,
-                root: str | None = None) -> PointTable:
+                root: str | None = None, checkpoint: str | None = None) -> PointTable:
     """Run an updating aggregate; each batch writes only the groups that changed."""
     spark = stream.sparkSession
     ddl = ", ".join(f"`{n}` {t}" for n, t in stream.dtypes)
     table = PointTable(spark, root or scratch_path(spark, label), ddl, keys)
-    first = table.next_seq()
-    run_batches(stream, lambda batch, n: table.upsert(batch, first + n), label, mode="update")
+    first = first_number(spark, checkpoint, table.next_seq())
+    run_batches(stream, lambda batch, n: table.upsert(batch, first + n), label, checkpoint,
+                mode="update")
     return table
