@@ -607,6 +607,61 @@ def _eval_setting(spark, sf, pool: int):
     return questions, expected, found
 
 
+def _everything_sql() -> str:
+    views = ",\n".join(f"{n} AS ({sql})" for n, sql in embedding_views(
+        "d", "(SELECT key AS id, text FROM src)").items())
+    return f"""
+    WITH {_CHUNKS},
+    src AS (SELECT 'doc:' || doc_id || ':' || chunk_index AS key, 'doc' AS kind, room_id, text,
+                   CAST(NULL AS BIGINT) AS sender_id, filename, page,
+                   CAST(NULL AS TIMESTAMP) AS created_at FROM chunks),
+    {views},
+    sources AS (
+      SELECT key, kind, room_id, text, sender_id, filename, page, created_at, vec
+      FROM src JOIN d_vec ON d_vec.id = src.key
+      UNION ALL SELECT key, 'message', room_id, body, sender_id, NULL, NULL, created_at, vec
+      FROM r_corpus JOIN c_vec ON c_vec.id = r_corpus.key),
+    found AS (
+      SELECT s.query_id, c.key, row_number() OVER (PARTITION BY s.query_id
+               ORDER BY round(list_dot_product(qv.vec, c.vec), 6) DESC, c.key) AS v
+      FROM r_scope s JOIN sources c USING (room_id) JOIN q_vec qv ON qv.id = s.query_id),
+    fused AS (
+      SELECT *, row_number() OVER (PARTITION BY query_id
+                 ORDER BY score DESC, v NULLS LAST, l) AS fused_rank
+      FROM (SELECT query_id, key, min(v) AS v, min(l) AS l,
+                   coalesce(1.0::DOUBLE / (60 + min(v)), 0)
+                   + coalesce(1.0::DOUBLE / (60 + min(l)), 0) AS score
+            FROM (SELECT query_id, key, v, NULL AS l FROM found WHERE v <= {LEG_LIMIT}
+                  UNION ALL SELECT query_id, key, NULL, rank FROM r_lex)
+            GROUP BY query_id, key)),
+    once AS (
+      SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fused_rank) AS final_rank
+      FROM (SELECT f.query_id, f.fused_rank, s.*, row_number() OVER (
+                     PARTITION BY f.query_id, {normalized_sql('s.text')} ORDER BY fused_rank) AS copy
+            FROM fused f JOIN sources s USING (key)) WHERE copy = 1)
+    SELECT o.query_id, o.key, o.kind, CAST(o.final_rank AS INTEGER) AS final_rank,
+           coalesce(r.name, 'unknown') AS room_name, o.filename, o.page,
+           CASE WHEN o.kind = 'message' THEN coalesce(s.s_name, 'Deleted user') END AS sender,
+           strftime(o.created_at, '%Y-%m-%d %H:%M:%S.%f') AS created_at, substr(o.text, 1, 180) AS snippet
+    FROM once o LEFT JOIN b_rooms r USING (room_id) LEFT JOIN supplier s ON s.s_suppkey = o.sender_id
+    WHERE o.final_rank <= {FUSED_LIMIT}"""
+
+
+@query("hybrid_search_documents", _everything_sql())
+def hybrid_search_documents(spark, sf):
+    """Every passage as a search of messages and documents together, with what a hit shows of each:
+    the sender and time of a message, the file and page of a document's chunk."""
+    questions, allowed, rooms, messages, held = _setting(spark, sf)
+    points = held.message_points.unionByName(held.chunk_points)
+    found = search.hybrid_retrieve(questions, points, messages, rooms, allowed, FUSED_LIMIT,
+                                   held.index)
+    named = scope.enrich_room_name(scope.source_sender(found, _suppliers(spark, sf)), rooms)
+    return named.select(
+        "query_id", "key", "kind", "final_rank", "room_name", "filename", "page",
+        F.when(F.col("kind") == "message", F.col("sender")).alias("sender"), "created_at",
+        F.substring("text", 1, 180).alias("snippet"))
+
+
 @query("eval_retrieval", _eval_sql(_KEPT + _SCORED + """
     SELECT query_id, expected, found,
            round(coalesce(found / nullif(expected, 0)::DOUBLE, 0), 6) AS recall_at_5,
