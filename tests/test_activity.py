@@ -1,5 +1,6 @@
 import datetime as dt
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -307,6 +308,53 @@ def test_invite_ceiling_and_revocation(spark):
             6: "accepted", 7: "invalid", 8: "invalid"}
 
 
+def one_by_one(tries, invites, members, joined, limit):
+    """Attempts served in order: the source system's walk."""
+    used, rooms, inside, out = Counter(), Counter(joined), set(members), {}
+    for n, invite, user, moment in sorted(tries, key=lambda t: (t[3], t[0])):
+        room, places, closes = invites[invite]
+        if moment >= closes or used[invite] >= places:
+            out[n] = "invalid"
+        elif (user, room) in inside:
+            out[n] = "member"
+        elif rooms[user] >= limit:
+            out[n] = "room_limit"
+        else:
+            out[n] = "accepted"
+            used[invite] += 1
+            rooms[user] += 1
+            inside.add((user, room))
+    return out
+
+
+@pytest.mark.parametrize("seed,bounds", [(0, {}), (1, {}), (2, {"max_group_rows": 5}), (3, {}), (4, {})])
+def test_places_of_invites_and_rooms_of_users_bind_each_other(spark, seed, bounds):
+    rng = random.Random(seed)
+    count = rng.choice([3, 12, 30])
+    invites = {i: (i % rng.choice([2, 5, 9]), rng.randint(0, 6), rng.choice([30, 300, 300]))
+               for i in range(count)}
+    hot = rng.randrange(count)
+    tries = [(n, hot if rng.random() < .3 else rng.randrange(count), rng.randrange(25),
+              rng.randrange(200)) for n in range(300)]
+    members = {(u, rng.randrange(9)) for u in range(6)}
+    joined = {u: rng.randint(0, 3) for u in range(12)}
+    rooms = {}
+    for i, (room, _, _) in invites.items():
+        rooms.setdefault(room, i)
+    got = presence.invite_redemption(
+        spark.createDataFrame([(n, i, u, at(t)) for n, i, u, t in tries],
+                              "attempt_id int, invite_id int, user_id int, attempted_at timestamp"),
+        spark.createDataFrame([(i, room, places, at(closes), None) for i, (room, places, closes)
+                               in invites.items()],
+                              "invite_id int, room_id int, max_redemptions int, "
+                              "expires_at timestamp, revoked_at timestamp"),
+        spark.createDataFrame([(rooms[r], u) for u, r in members if r in rooms] or [(-1, -1)],
+                              "invite_id int, user_id int"),
+        joined=spark.createDataFrame(list(joined.items()), "user_id int, rooms int"),
+        room_limit=3, **bounds)
+    assert dict(pairs(got, "attempt_id", "outcome")) == one_by_one(tries, invites, members, joined, 3)
+
+
 def test_rate_limit_fixture(spark):
     times = [0, .1, .2, .3, .4, .5, .6, 2.8]
     df = spark.createDataFrame([(1, i, at(t)) for i, t in enumerate(times)],

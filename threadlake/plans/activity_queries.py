@@ -477,6 +477,47 @@ def invite_redemption(spark, sf):
     return presence.invite_redemption(attempts, invites)
 
 
+# Sixty invites to twelve rooms; some close early, users may be in three rooms and are in up to one.
+@query("invite_redemption_rooms", """
+    WITH RECURSIVE tries AS (
+      SELECT event_id AS attempt_id, event_id % 60 AS invite_id, event_id % 12 AS room, user_id,
+             row_number() OVER (ORDER BY ts, event_id) AS n,
+             NOT (event_id % 60 = 7 AND ts >= TIMESTAMP '2024-01-10') AS alive,
+             user_id % 12 = event_id % 12 AND user_id % 2 = 0 AS old,
+             6 + event_id % 60 AS places, 3 - user_id % 2 AS free
+      FROM events WHERE event_type IN ('click', 'signup')),
+    walk AS (
+      SELECT CAST(0 AS BIGINT) AS n, CAST([] AS STRUCT(i BIGINT, u BIGINT, r BIGINT)[]) AS won,
+             CAST(NULL AS VARCHAR) AS outcome
+      UNION ALL
+      SELECT n, CASE outcome WHEN 'accepted' THEN list_append(won, struct_pack(
+               i := invite_id, u := user_id, r := room)) ELSE won END, outcome
+      FROM (SELECT t.*, w.won, CASE
+              WHEN NOT alive OR len(list_filter(w.won, lambda x: x.i = t.invite_id)) >= places
+                THEN 'invalid'
+              WHEN old OR len(list_filter(w.won, lambda x: x.u = t.user_id AND x.r = t.room)) > 0
+                THEN 'member'
+              WHEN len(list_filter(w.won, lambda x: x.u = t.user_id)) >= free THEN 'room_limit'
+              ELSE 'accepted' END AS outcome
+            FROM walk w JOIN tries t ON t.n = w.n + 1))
+    SELECT attempt_id, invite_id, user_id, outcome FROM tries JOIN walk USING (n)""")
+def invite_redemption_rooms(spark, sf):
+    """Clicks and signups as attempts: several invites lead to a room and users try several rooms, so
+    the places of an invite and the rooms of a user bind each other."""
+    events = b.table(spark, sf, "events").where(F.col("event_type").isin("click", "signup"))
+    attempts = events.select(
+        F.col("event_id").alias("attempt_id"), (F.col("event_id") % 60).alias("invite_id"), "user_id",
+        F.col("ts").cast("timestamp").alias("attempted_at"))
+    invites = attempts.select("invite_id").distinct().withColumns({
+        "room_id": F.col("invite_id") % 12, "max_redemptions": F.col("invite_id") + 10,
+        "used": F.lit(4), "expires_at": F.to_timestamp(F.lit("2100-01-01")),
+        "revoked_at": F.when(F.col("invite_id") == 7, F.to_timestamp(F.lit("2024-01-10")))})
+    users = events.select("user_id").distinct()
+    members = users.where("user_id % 2 = 0").select("user_id", (F.col("user_id") % 12).alias("invite_id"))
+    joined = users.select("user_id", (F.col("user_id") % 2).alias("rooms"))
+    return presence.invite_redemption(attempts, invites, members, joined=joined, room_limit=3)
+
+
 # --- limits ------------------------------------------------------------------------------
 
 @query("rate_limit", """
