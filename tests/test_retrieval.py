@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -13,6 +14,7 @@ from threadlake.operators import cache, evaluation, fusion
 from threadlake.operators.chunking import chunk_documents
 from threadlake.operators.dedup import near_dup_collapse
 from threadlake.operators.knn import best_rows, vector_knn
+from threadlake.operators import lsh
 from threadlake.operators.lexical import lexical_leg
 from threadlake.operators.scope import permission_scope, source_sender
 from threadlake.plans import search
@@ -126,6 +128,33 @@ def test_knn_without_rooms_or_points(spark):
     assert vector_knn(q, p.limit(0), none).count() == 0
 
 
+def test_hyperplane_search_finds_near_points_and_looks_at_few(spark):
+    rng = np.random.default_rng(4)
+    centres = rng.standard_normal((40, 24))
+    points = [(i, i % 2, (centres[i % 40] + .15 * rng.standard_normal(24)).tolist()) for i in range(1600)]
+    p = spark.createDataFrame(points, "point_id int, room_id int, vector array<double>")
+    asked = [(j, (centres[j] + .15 * rng.standard_normal(24)).tolist()) for j in range(40)]
+    q = spark.createDataFrame(asked, "query_id int, vector array<double>")
+    scope = spark.createDataFrame([(j, r) for j in range(40) for r in range(1 + j % 2)],
+                                  "query_id int, room_id int")
+    exact = vector_knn(q, p, scope, 10)
+    for block in (4096, 7):
+        found = lsh.lsh_knn(q, p, scope, 10, tables=6, bits=8, probe_bits=3, block_points=block)
+        total = lsh.recall(exact, found).first()
+        assert total.questions == 40 and total.found_hits >= 0.95 * total.exact_hits
+        scores = {(r.query_id, r.point_id): r.score for r in exact.collect()}
+        rows = found.collect()
+        assert all(scores.get((r.query_id, r.point_id), r.score) == r.score for r in rows)
+        assert len({(r.query_id, r.point_id) for r in rows}) == len(rows) <= 400
+    # what the tables propose: a small part of the rooms
+    products = lsh._products(pd.Series([v for _, v in asked]), 6, 8)
+    held = lsh.signatures(lsh._products(pd.Series([v for _, _, v in points]), 6, 8))
+    looked = [set(x.tolist()) for x in lsh.probes(products, 3)]
+    share = np.mean([np.mean([bool(cells & set(row)) for row in held.tolist()]) for cells in looked])
+    assert share < 0.25
+    assert all(set(own) <= cells for own, cells in zip(lsh.signatures(products).tolist(), looked))
+
+
 def test_best_rows_keeps_column_order_on_ties():
     assert [list(r) for r in best_rows(np.array([[1., 3., 3., 2., 3.]]), 2)] == [[1, 2]]
     assert [list(r) for r in best_rows(np.array([[1., 3.]]), 5)] == [[1, 0]]

@@ -8,7 +8,7 @@ from threadlake.constants import CACHE_ENTRIES, FUSED_LIMIT, LEG_LIMIT, RERANK_P
 from threadlake.functions import scalar
 from threadlake.functions.embedding import embed
 from threadlake.operators.activity import catchup_window
-from threadlake.operators import cache, evaluation, fusion, scope
+from threadlake.operators import cache, evaluation, fusion, lsh, scope
 from threadlake.operators.chunking import chunk_documents
 from threadlake.operators.dedup import near_dup_collapse
 from threadlake.operators.knn import vector_knn
@@ -182,6 +182,19 @@ def vector_knn_bounded(spark, sf):
     return _knn(spark, sf, block_points=16, points_per_pivot=50)
 
 
+@query("vector_knn_recall", f"""
+    SELECT count(DISTINCT query_id) AS questions, count(*) AS exact_hits, true AS recall_reached
+    FROM ({_KNN_SQL})""")
+def vector_knn_recall(spark, sf):
+    """Whether the hyperplane search finds at least 95 of 100 of the exact search's hits."""
+    points, queries = _vector_setup(spark, sf)
+    allowed = queries.select("query_id", F.explode(F.array(*[
+        (F.col("query_id") + n) % 10 for n in (0, 3, 7)])).alias("room_id"))
+    found = lsh.recall(vector_knn(queries, points, allowed), lsh.lsh_knn(queries, points, allowed))
+    return found.select("questions", "exact_hits", (
+        F.col("found_hits") >= 0.95 * F.col("exact_hits")).alias("recall_reached"))
+
+
 @query("count_points", """
     SELECT CAST(count(*) AS BIGINT) AS points FROM embeddings""")
 def count_points(spark, sf):
