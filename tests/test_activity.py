@@ -154,13 +154,26 @@ def test_text_contains_matches_brute_force(spark):
                "nothing at all here", "one\nline two", "mile a di", "line two ends", " "]
     t = spark.createDataFrame(list(enumerate(texts)), "tid int, text string")
     n = spark.createDataFrame(list(enumerate(needles)), "nid int, needle string")
-    got = validate.text_contains(t, n, "tid", "text", "nid", "needle")
     want = sorted((i, j) for i, x in enumerate(texts) for j, y in enumerate(needles)
                   if y in x)
-    assert pairs(got, "tid", "nid") == want
+    for size in (validate.NEEDLE_BYTES, 12):  # one reading, several
+        got = validate.text_contains(t, n, "tid", "text", "nid", "needle", needle_bytes=size)
+        assert pairs(got, "tid", "nid") == want
     assert pairs(validate.name_contains(t, "text", "CAT"), "tid") == [(0,), (1,), (2,)]
 
 
+def test_text_contains_within_groups_and_with_nulls(spark):
+    t = spark.createDataFrame([((1, 0), "a cat", 1), ((2, 0), "a cat", 2), ((3, 0), None, 1),
+                               ((4, 0), "", 1), ((5, 0), "cat", None)],
+                              "tid struct<a:int,b:int>, text string, room int")
+    n = spark.createDataFrame([("x", "cat", 1), ("y", "cat", 1), ("z", "", 1), ("w", None, 2),
+                               ("v", "a", 2), ("u", "cat", None)], "nid string, needle string, room int")
+    got = validate.text_contains(t, n, "tid", "text", "nid", "needle", group="room")
+    assert sorted((r.tid.a, r.nid) for r in got.collect()) == [
+        (1, "x"), (1, "y"), (1, "z"), (2, "v"), (4, "z")]
+    assert validate.text_contains(t, n.limit(0), "tid", "text", "nid", "needle").collect() == []
+
+
 def test_resends(spark):
     rows = [(1, 0, 7, "user", "a", at(0), "c1"), (2, 0, 7, "user", "a", at(1), "c1"),
             (3, 0, 8, "user", "a", at(2), "c1")]

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from threadlake.functions.scalar import wide_trim
 from threadlake.session import spread
@@ -67,60 +73,84 @@ def name_contains(df: DataFrame, column: str, needle: str) -> DataFrame:
     return df.where(F.lower(column).contains(needle.lower()))
 
 
-# Parts among which an empty needle shares out the texts, all of which it is found in.
-_EMPTY_PARTS = 64
+# Bytes of the needles that one automaton, and so one reading of the texts, looks for.
+NEEDLE_BYTES = 8 << 20
+
+
+class _Needles:
+    """Aho-Corasick automaton of distinct needles, built once in each worker.
+
+    ``rows[i]`` lists the places (and groups) of the needle rows with the text ``needles[i]``.
+    """
+
+    def __init__(self, found: list[tuple[str, int, object]]):
+        places: dict[str, list[tuple[int, object]]] = {}
+        for text, place, group in found:
+            places.setdefault(text, []).append((place, group))
+        self.empty = places.pop("", [])
+        self.needles, self.rows = list(places), list(places.values())
+        self._automaton = None
+
+    def __getstate__(self):
+        return self.__dict__ | {"_automaton": None}
+
+    def within(self, text: str) -> Iterator[tuple[int, object]]:
+        """Needle rows whose text occurs in ``text``."""
+        if self._automaton is None and self.needles:
+            self._automaton = ahocorasick.Automaton()
+            for i, needle in enumerate(self.needles):
+                self._automaton.add_word(needle, i)
+            self._automaton.make_automaton()
+        yield from self.empty
+        if self.needles:
+            for i in {i for _, i in self._automaton.iter(text)}:
+                yield from self.rows[i]
+
+
+def _occurrences(shared, needle_type: pa.DataType, grouped: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton, ids = shared.value
+        ids = pa.array(ids, needle_type)
+        for batch in batches:
+            groups = batch.column(2).to_pylist() if grouped else [None] * batch.num_rows
+            hits = [(row, place) for row, (text, group) in enumerate(zip(
+                batch.column(1).to_pylist(), groups)) if text is not None
+                for place, own in automaton.within(text) if not grouped or own == group]
+            rows, places = (pa.array([h[k] for h in hits], pa.int64()) for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), ids.take(places)],
+                                             names=["text_id", "needle_id"])
+
+    return run
 
 
 def text_contains(texts: DataFrame, needles: DataFrame, text_id: str, text: str,
-                  needle_id: str, needle: str, group: str | None = None) -> DataFrame:
+                  needle_id: str, needle: str, group: str | None = None,
+                  needle_bytes: int = NEEDLE_BYTES) -> DataFrame:
     """(text_id, needle_id) wherever the needle occurs literally in the text.
 
-    No pairs are tried blindly. A needle of three or more words can only occur where its
-    inner words occur whole, so its rarest inner word (by texts holding it) is the join key.
-    A shorter needle is keyed by its first characters instead. Every candidate is then
-    checked with ``contains``. The empty needle occurs in every text. With ``group``, a column
-    of both tables, a needle is only looked for in the texts of its own group.
+    Every text is read once against an automaton of all needles. An automaton holds needles of
+    ``needle_bytes`` at most (or a single longer one); more needles take more readings. The empty
+    needle occurs in every text, a null one in none. With ``group``, a column of both tables, a needle
+    is only looked for in the texts of its own group.
     """
+    spark = texts.sparkSession
     also = [group] if group else []
-    keyed = needles.select(needle_id, needle, *also, F.split(F.col(needle), " ").alias("_parts"))
-    # inner parts are delimited by single spaces on both sides; empty parts carry no word
-    inner = F.filter(F.slice(F.col("_parts"), 2, F.greatest(F.size("_parts") - 2, F.lit(0))),
-                     lambda w: w != "")
-    keyed = keyed.withColumn("_inner", F.array_distinct(inner)).drop("_parts")
-    long_needles = keyed.where(F.size("_inner") > 0)
-    short_needles = keyed.where(F.size("_inner") == 0)
-
-    texts = spread(texts)
-    on = ["_token", *also]
-    tokens = texts.select(text_id, *also, F.explode(F.array_distinct(F.split(F.col(text), " ")))
-                          .alias("_token"))
-    wanted = long_needles.select(needle_id, *also, F.explode("_inner").alias("_token"))
-    df_count = (tokens.join(wanted.select(*on).distinct(), on, "left_semi")
-                .groupBy(*on).agg(F.count(F.lit(1)).alias("_df")))
-    # a word no text holds settles its needle: the inner join drops it
-    ranked = wanted.join(df_count, on, "left").groupBy(needle_id, *also).agg(
-        F.min(F.struct(F.coalesce("_df", F.lit(0)).alias("df"), F.col("_token").alias("t")))
-        .alias("_best"))
-    anchors = ranked.where("_best.df > 0").select(needle_id, *also,
-                                                  F.col("_best.t").alias("_token"))
-    pairs = tokens.join(anchors, on).select(text_id, needle_id)
-
-    for n in (1, 2, 3):
-        some = short_needles.where(F.least(F.length(needle), F.lit(3)) == n)
-        grams = texts.where(F.length(text) >= n).select(
-            text_id, *also, F.explode(F.array_distinct(
-                F.transform(F.sequence(F.lit(1), F.length(text) - n + 1),
-                            lambda i: F.substring(F.col(text), i, F.lit(n))))).alias("_token"))
-        pairs = pairs.unionByName(grams.join(some.select(
-            needle_id, *also, F.substring(needle, 1, n).alias("_token")), on)
-            .select(text_id, needle_id))
-    part = ["_part", *also]
-    every = texts.where(F.col(text).isNotNull()).withColumn(
-        "_part", F.pmod(F.xxhash64(text_id), F.lit(_EMPTY_PARTS)))
-    empty = short_needles.where(F.col(needle) == "").withColumn(
-        "_part", F.explode(F.sequence(F.lit(0), F.lit(_EMPTY_PARTS - 1)).cast("array<bigint>")))
-    pairs = pairs.unionByName(every.select(text_id, *part).join(
-        empty.select(needle_id, *part), part).select(text_id, needle_id))
-    return (pairs.join(texts.select(text_id, text), text_id)
-            .join(needles.select(needle_id, needle), needle_id)
-            .where(F.col(text).contains(F.col(needle))).select(text_id, needle_id))
+    rows = needles.where(F.col(needle).isNotNull()).select(
+        needle_id, needle, *also, F.octet_length(needle).alias("_bytes"))
+    if group:
+        rows = rows.where(F.col(group).isNotNull())
+    readings = -(-(rows.agg(F.sum("_bytes")).first()[0] or 0) // needle_bytes) or 1
+    kinds = {name: df.schema[c].dataType for name, df, c in (
+        ("text_id", texts, text_id), ("needle_id", needles, needle_id))}
+    schema = T.StructType([T.StructField(n, kind) for n, kind in kinds.items()])
+    read = spread(texts).select(text_id, text, *also)
+    found = None
+    for nth in range(readings):
+        part = rows.where(F.pmod(F.xxhash64(needle), F.lit(readings)) == nth).collect()
+        shared = spark.sparkContext.broadcast((  # bounded by needle_bytes
+            _Needles([(r[needle], i, r[group] if group else None) for i, r in enumerate(part)]),
+            [r[needle_id] for r in part]))
+        some = read.mapInArrow(_occurrences(
+            shared, to_arrow_type(kinds["needle_id"]), bool(group)), schema)
+        found = some if found is None else found.unionByName(some)
+    return found.select(F.col("text_id").alias(text_id), F.col("needle_id").alias(needle_id))

@@ -584,6 +584,32 @@ _EVAL = f"""
       WHERE copy = 1)"""
 
 
+# Every message and every document is an anchor by some of its characters.
+@query("anchor_join", f"""
+    WITH {_CHUNKS},
+    said AS (
+      SELECT message_id AS query_id, room_id, substr(body, 3, 24) AS part FROM b_texts),
+    written AS (
+      SELECT doc_id AS query_id, doc_id % 5 AS room_id, substr(text, 3, 40) AS part FROM documents)
+    SELECT s.query_id, 'said' AS anchor_id, 'message:' || min(t.message_id) AS key
+    FROM said s JOIN b_texts t ON t.room_id = s.room_id AND contains(t.body, s.part) GROUP BY 1
+    UNION ALL
+    SELECT query_id, 'written', 'doc:' || c.doc_id || ':' || c.chunk_index
+    FROM (SELECT w.query_id, min(struct_pack(doc_id := c.doc_id, chunk_index := c.chunk_index)) AS c
+          FROM written w JOIN chunks c ON c.room_id = w.room_id AND contains(c.text, w.part)
+          GROUP BY 1)""")
+def anchor_join(spark, sf):
+    """Anchors resolved to the first message, or first chunk, of their room that holds them."""
+    messages, documents = b.texts(spark, sf), b.docs(spark, sf)
+    anchors = messages.select(
+        F.col("message_id").alias("query_id"), F.lit("said").alias("anchor_id"), "room_id",
+        F.substring("body", 3, 24).alias("contains"), F.lit("message").alias("kind")).unionByName(
+        documents.select(F.col("doc_id").alias("query_id"), F.lit("written").alias("anchor_id"),
+                         "room_id", F.substring("text", 3, 40).alias("contains"),
+                         F.lit("doc").alias("kind")))
+    return evaluation.resolve_anchors(anchors, messages, corpus(spark, sf).chunks)
+
+
 def _eval_sql(tail: str) -> str:
     views = ",\n".join(f"{n} AS ({sql})" for n, sql in embedding_views(
         "d", "(SELECT key AS id, text FROM src)").items())
