@@ -228,6 +228,24 @@ def test_delivery(spark):
     assert (row.sent, row.delivered, row.p50_ms, row.max_ms) == (3, 7, 70, 80)
 
 
+def test_one_silent_member_of_a_large_room(spark):
+    """Rooms of one word, several words, several blocks; what lacks is what brute force says."""
+    sizes = {0: 3, 1: 64, 2: 65, 3: 4096, 4: 9000, 5: 1}
+    members = spark.range(9000).selectExpr("id * 7 AS user_id", "explode(sequence(0L, 5L)) AS room_id", "id").where(
+        " OR ".join(f"(room_id = {r} AND id < {n})" for r, n in sizes.items())).select("room_id", "user_id")
+    # message m in room m % 6, sent by a member or (every third) by a stranger
+    sent = spark.range(12).selectExpr("id AS message_id", "id % 6 AS room_id",
+                                      "CASE WHEN id % 3 = 0 THEN 3L ELSE 0L END AS sender_id")
+    silent = "user_id = 14 OR (message_id = 10 AND user_id BETWEEN 20000 AND 50000) OR message_id = 7"
+    receipts = members.join(sent, "room_id").where(f"NOT ({silent})").select("message_id", "user_id")
+    noise = spark.createDataFrame([(4, 99_999_999), (5, 1), (77, 7), (4, 7), (4, 7)],
+                                  "message_id long, user_id long")
+    got = delivery.delivery_audit(sent, members, receipts.unionByName(noise).unionByName(receipts))
+    want = members.join(sent, "room_id").where(f"({silent}) AND user_id <> sender_id").select(
+        "message_id", "room_id", "user_id")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_paging(spark):
     rows = [(i, 0, 1, "user", "b", at(0 if i < 3 else i), "c") for i in range(1, 6)]
     df = spark.createDataFrame(rows, MESSAGE)
