@@ -150,5 +150,11 @@ def test_without_labels_or_rows(spark, docs):
     assert [r.toxicity for r in toxicity.score(df, toxicity.fit(df, none)).collect()] == [0.5, 0.5]
     one = spark.createDataFrame([(i, 0, 0) for i in range(5)], LABELS)
     assert all(r.toxicity < 0.01 for r in toxicity.score(df, toxicity.fit(df, one)).collect())
+    # labels that no term tells apart
+    alike = spark.createDataFrame([(1, 0, 1), (2, 0, 0), (3, 0, 1), (5, 0, 0)], LABELS)
+    model = toxicity.fit(docs([(i, "the same text") for i in range(9)]), alike)
+    assert len(model.terms) == 0
+    assert {r.toxicity for r in toxicity.score(df, model).collect()} == {
+        1 / (1 + np.exp(-model.bias))}
     empty = docs([])
     assert toxicity.score(empty, toxicity.fit(empty, one)).collect() == []

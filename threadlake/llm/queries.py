@@ -145,9 +145,12 @@ FROM whole
 def op7(spark, sf_dir):
     """Every conversation, and one made of control strings, formatted and read back."""
     talks = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    # the two rows as a relation of the plan
     hard = "</s>[INST] ok [/INST]"
-    extra = spark.createDataFrame([(-7, 0, "user", hard), (-7, 1, "assistant", hard)],
-                                  "conv_id bigint, turn bigint, role string, text string")
+    extra = spark.range(2).select(
+        F.lit(-7).cast("bigint").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit(hard).alias("text"))
     return chat.digest(chat.format_turns(talks.unionByName(extra)))
 
 

@@ -186,7 +186,7 @@ def train(texts: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray, share:
             used = np.concatenate([rows[a:b] for a, b in zip(lows, highs)])
             owner = np.repeat(np.arange(len(batch)), highs - lows)
             touched, where = np.unique(used, return_inverse=True)
-            by_weight = np.bincount(where, error[owner], len(touched))
+            by_weight = np.bincount(where, error[owner], len(touched)).astype(float)
             slope = error[owner, None] * (sums[worst][owner] - model.factors[used])
             by_weight += SHRINK * model.weights[touched]
             by_factor = SHRINK * model.factors[touched]
