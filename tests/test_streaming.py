@@ -173,3 +173,98 @@ def test_heartbeats(spark):
     got = ingest.heartbeat_sessions(beats)
     assert pairs(got, "online_at", "offline_at", "beats") == [
         (at(0), at(45), 2), (at(46), at(76), 1)]
+
+
+def state_rows(stream, checkpoint, out):
+    """State rows after each batch; runs until the input is consumed."""
+    query = (stream.writeStream.format("parquet").option("checkpointLocation", checkpoint)
+             .option("path", out).trigger(availableNow=True).start())
+    query.awaitTermination()
+    return [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress
+            if p["stateOperators"]]
+
+
+def random_log(seed, size, step):
+    rng, clock, rows = random.Random(seed), 0.0, []
+    for i in range(size):
+        clock += rng.expovariate(1 / step)
+        rows.append((rng.choice([1, 1, 1, 2, 3]), i, clock, rng))
+    return rows
+
+
+@pytest.mark.parametrize("form", ["limit", "breaker", "quota", "cache", "typing", "presence"])
+def test_state_is_gone_after_the_last_expiry(own, folder, form):
+    day = 86_400
+    schema, make, stream = {
+        "limit": ("user_id long, event_id long, ts timestamp", lambda u, i, t: (u, i, t),
+                  lambda s: state.stream_rate_limit(s, (3, 60, 30), "10 seconds")),
+        "breaker": ("provider string, stream_id long, ok boolean, created_at timestamp",
+                    lambda u, i, t: (str(u), i, i % 3 == 0, t),
+                    lambda s: state.stream_breaker(s, 2, 60, 30, "10 seconds")),
+        "quota": ("stream_id long, user_id long, tokens long, created_at timestamp",
+                  lambda u, i, t: (i, u, 5, t), lambda s: state.stream_quota(s, 20, "10 seconds")),
+        "cache": ("query_id long, fingerprint string, vector array<double>, ts timestamp",
+                  lambda u, i, t: (i, str(u), [1.0, float(i % 4)], t),
+                  lambda s: state.stream_cache(s, .99, 5, 60, "10 seconds")),
+        "typing": ("user_id long, room_id long, event_id long, is_stop boolean, ts timestamp",
+                   lambda u, i, t: (u, i % 2, i, i % 5 == 0, t),
+                   lambda s: state.stream_typing(s, 3, "10 seconds")),
+        "presence": ("user_id long, event_id long, delta int, ts timestamp",
+                     lambda u, i, t: (u, i, 1 if i % 3 else -1, t),
+                     lambda s: state.stream_presence(s, 30, "10 seconds")),
+    }[form]
+    source = Source(own, folder, schema)
+    for n in range(3):  # all rows of three keys in three batches
+        source.add([make(1 + i % 3, 100 * n + i, at(40 * n + i)) for i in range(30)])
+    for n in (2, 4, 6):  # far later, one key only, so that the watermark passes all the others
+        source.add([make(9, 1000 + n, at(n * day))])
+    rows = state_rows(stream(source.stream()), f"{folder}/ckpt", f"{folder}/out")
+    assert max(rows) >= 3
+    # what is left belongs to the last rows of the late key alone: a value or two, and its timer
+    assert rows[-1] <= 4
+
+
+def test_typing_spans_over_batches(own, folder):
+    source = Source(own, folder, "user_id long, room_id long, event_id long, is_stop boolean, ts timestamp")
+    source.add([(1, 5, 0, False, at(0)), (1, 5, 1, False, at(2)), (2, 5, 2, False, at(1)), (1, 6, 3, False, at(1))])
+    source.add([(1, 5, 4, True, at(4)), (2, 5, 5, False, at(4.5)), (1, 6, 6, True, at(2.5))])
+    for n in (100, 200):
+        source.add([(9, 9, 1000 + n, True, at(n))])
+    out = run_to_table(state.stream_typing(source.stream(), 3, "10 seconds"), "typing")
+    assert pairs(own.read.parquet(out), "user_id", "room_id", "started_at", "ended_at") == [
+        (1, 5, at(0), at(4)), (1, 6, at(1), at(2.5)), (2, 5, at(1), at(4)), (2, 5, at(4.5), at(7.5))]
+
+
+def test_presence_gaps_inside_a_batch_count(own, folder):
+    source = Source(own, folder, "user_id long, event_id long, delta int, ts timestamp")
+    source.add([(1, 0, 1, at(0)), (1, 1, 1, at(100)), (1, 2, -1, at(110))])
+    source.add([(2, 3, 1, at(500))])
+    out = run_to_table(state.stream_presence(source.stream(), 30, "1 second"), "presence")
+    got = own.read.parquet(out).where("user_id = 1")
+    assert pairs(got, "ts", "online") == [(at(0), True), (at(30), False), (at(100), True), (at(110), False)]
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_asof_join_of_two_streams_with_late_switches(own, folder, seed):
+    rng = random.Random(seed)
+    said = [(i, 0 if rng.random() < .8 else rng.randrange(3), at(rng.randrange(600))) for i in range(200)]
+    turned = [(rng.choice([0, 0, 1]), at(rng.randrange(600)), i, rng.random() < .5) for i in range(60)]
+    messages = Source(own, f"{folder}/m", "message_id long, room_id long, created_at timestamp")
+    switches = Source(own, f"{folder}/s", "room_id long, switched_at timestamp, switch_id long, "
+                                          "enabled boolean")
+    for low in range(0, 600, 150):  # switches come a batch after the messages they decide
+        messages.add([m for m in said if at(low) <= m[2] < at(low + 150)])
+        switches.add([s for s in turned if at(low - 150) <= s[1] < at(low)])
+    messages.add([(-1, 7, at(90_000))])
+    switches.add([s for s in turned if at(450) <= s[1]])
+    for n in (100_000, 200_000):
+        messages.add([(-1, 7, at(n))])
+        switches.add([(7, at(n), -1, True)])
+    out = run_to_table(state.stream_memory_switch(messages.stream(), switches.stream(), "20 seconds"),
+                       "asof")
+    got = {r.message_id: r.ingested for r in own.read.parquet(out).where("message_id >= 0").collect()}
+    want = {}
+    for id_, room, moment in said:
+        known = [(s[1], s[2], s[3]) for s in turned if s[0] == room and s[1] <= moment]
+        want[id_] = max(known)[2] if known else True
+    assert got == want

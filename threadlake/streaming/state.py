@@ -4,6 +4,11 @@ Each processor sees the rows of one key of one micro-batch; the source's rate li
 (``maxFilesPerTrigger``, ``maxBytesPerTrigger``) bound how many that are. Rows are put in time
 order inside the batch; across batches the source's order counts, as it does for any live
 service.
+
+State expires by event time: a key has a timer at the moment from which it behaves like a key never
+seen, and when the watermark passes that moment its state is removed. Rows later than the watermark's
+delay are dropped, as for any stateful operator with a watermark; with ``watermark=None`` nothing is
+dropped and state stays.
 """
 
 from __future__ import annotations
@@ -19,131 +24,194 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from threadlake.constants import (
     BREAKER_COOLDOWN_SECONDS, BREAKER_THRESHOLD, BREAKER_WINDOW_SECONDS, CACHE_ENTRIES,
-    CACHE_SIMILARITY, CACHE_TTL_SECONDS, DAILY_TOKEN_QUOTA, MESSAGE_RATE,
+    CACHE_SIMILARITY, CACHE_TTL_SECONDS, DAILY_TOKEN_QUOTA, MESSAGE_RATE, TYPING_EXPIRY_SECONDS,
 )
 from threadlake.operators.limits import Breaker, SlidingWindow
 
+WATERMARK = "1 hour"
+_DAY_US = 86_400_000_000
+
 
 def _in_order(rows: Iterator[pd.DataFrame], order: list[str]) -> pd.DataFrame:
     return pd.concat(list(rows)).sort_values(order, ignore_index=True)
 
 
-class RateLimitProcessor(StatefulProcessor):
+class Expiring(StatefulProcessor):
+    """A processor whose key has at most one timer. ``expires``: whether there are timers at all."""
+
+    expires = True
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.declare(handle)
+
+    def declare(self, handle: StatefulProcessorHandle) -> None:
+        raise NotImplementedError
+
+    def clear(self) -> None:
+        raise NotImplementedError
+
+    def expire_at(self, us: int | None) -> None:
+        """Put the key's timer at the first millisecond not before ``us``; None takes it away."""
+        if self.expires:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            if us is not None:
+                self.handle.registerTimer(max(1, -(-int(us) // 1000)))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.clear()
+        return iter([])
+
+    def close(self) -> None:
+        pass
+
+
+def _run(rows: DataFrame, keys: list[str], processor: Expiring, schema: str, time: str,
+         watermark: str | None) -> DataFrame:
+    """The processor over ``rows`` by key; ``time`` is the column of event time."""
+    processor.expires = watermark is not None
+    if watermark is not None:
+        rows = rows.withWatermark(time, watermark)
+    return rows.groupBy(*keys).transformWithStateInPandas(
+        processor, schema, "Append", "None" if watermark is None else "EventTime")
+
+
+class RateLimitProcessor(Expiring):
     def __init__(self, limit: int, window: int, mute: int):
         self.args = (limit, window, mute)
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("window", "times array<bigint>, muted bigint")
+    def declare(self, handle: StatefulProcessorHandle) -> None:
+        self.times = handle.getListState("times", "us bigint")
+        self.muted = handle.getValueState("muted", "until bigint")
+
+    def clear(self) -> None:
+        self.times.clear()
+        self.muted.clear()
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         batch = _in_order(rows, ["us", "event_id"])
         machine = SlidingWindow(*self.args)
-        if self.state.exists():
-            times, machine.muted_until = self.state.get()
-            machine.times = deque(times)
+        machine.times = deque(t[0] for t in self.times.get()) if self.times.exists() else deque()
+        machine.muted_until = self.muted.get()[0] if self.muted.exists() else 0
         answers = [machine.offer(int(now)) for now in batch["us"]]
-        self.state.update((list(machine.times), machine.muted_until))
+        if machine.times:
+            self.times.put([(t,) for t in machine.times])
+        else:
+            self.times.clear()
+        self.muted.update((machine.muted_until,))
+        last = machine.times[-1] + machine.window if machine.times else 0
+        self.expire_at(max(last, machine.muted_until))
         yield pd.DataFrame({
             "user_id": batch["user_id"], "event_id": batch["event_id"],
             "allowed": [a for a, _ in answers], "retry_after": [s for _, s in answers]})
 
-    def close(self) -> None:
-        pass
 
+def stream_rate_limit(events: DataFrame, rate: tuple[int, int, int] = MESSAGE_RATE,
+                      watermark: str | None = WATERMARK) -> DataFrame:
+    """Streaming form of ``rate_limit``: ``events(user_id, event_id, ts)``.
 
-def stream_rate_limit(events: DataFrame, rate: tuple[int, int, int] = MESSAGE_RATE) -> DataFrame:
-    """Streaming form of ``rate_limit``: ``events(user_id, event_id, ts)``."""
-    rows = events.select("user_id", "event_id", F.unix_micros("ts").alias("us"))
+    A user's state goes when the window is empty and the mute is over.
+    """
+    rows = events.select("user_id", "event_id", "ts", F.unix_micros("ts").alias("us"))
     limit, window, mute = rate
-    return rows.groupBy("user_id").transformWithStateInPandas(
-        RateLimitProcessor(limit, window * 1_000_000, mute * 1_000_000),
-        "user_id bigint, event_id bigint, allowed boolean, retry_after bigint",
-        "Append", "None")
+    return _run(rows, ["user_id"],
+                RateLimitProcessor(limit, window * 1_000_000, mute * 1_000_000),
+                "user_id bigint, event_id bigint, allowed boolean, retry_after bigint", "ts", watermark)
 
 
-class BreakerProcessor(StatefulProcessor):
+class BreakerProcessor(Expiring):
     def __init__(self, threshold: int, window: int, cooldown: int):
         self.args = (threshold, window, cooldown)
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("breaker", "failures array<bigint>, until bigint")
+    def declare(self, handle: StatefulProcessorHandle) -> None:
+        self.failures = handle.getListState("failures", "us bigint")
+        self.until = handle.getValueState("until", "us bigint")
+
+    def clear(self) -> None:
+        self.failures.clear()
+        self.until.clear()
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         batch = _in_order(rows, ["us", "stream_id"])
         machine = Breaker(*self.args)
-        if self.state.exists():
-            failures, machine.open_until = self.state.get()
-            machine.failures = list(failures)
+        machine.failures = [t[0] for t in self.failures.get()] if self.failures.exists() else []
+        machine.open_until = self.until.get()[0] if self.until.exists() else 0
         opened = []
         for now, ok in zip(batch["us"], batch["ok"]):
             if ok:
                 machine.success()
             opened.append(not ok and machine.failure(int(now)))
-        self.state.update((machine.failures, machine.open_until))
+        if machine.failures:
+            self.failures.put([(int(t),) for t in machine.failures])
+        else:
+            self.failures.clear()
+        self.until.update((int(machine.open_until),))
+        last = machine.failures[-1] + self.args[1] if machine.failures else 0
+        self.expire_at(max(last, machine.open_until))
         yield batch.loc[opened, ["provider", "stream_id", "us"]]
 
-    def close(self) -> None:
-        pass
-
 
 def stream_breaker(calls: DataFrame, threshold: int = BREAKER_THRESHOLD,
                    window_seconds: int = BREAKER_WINDOW_SECONDS,
-                   cooldown_seconds: int = BREAKER_COOLDOWN_SECONDS) -> DataFrame:
-    """Streaming form of ``breaker_windows``: ``calls(provider, stream_id, created_at, ok)``."""
-    rows = calls.select("provider", "stream_id", "ok", F.unix_micros("created_at").alias("us"))
-    opened = rows.groupBy("provider").transformWithStateInPandas(
-        BreakerProcessor(threshold, window_seconds * 1_000_000, cooldown_seconds * 1_000_000),
-        "provider string, stream_id bigint, us bigint", "Append", "None")
+                   cooldown_seconds: int = BREAKER_COOLDOWN_SECONDS,
+                   watermark: str | None = WATERMARK) -> DataFrame:
+    """Streaming form of ``breaker_windows``: ``calls(provider, stream_id, created_at, ok)``.
+
+    A provider's state goes when no failure counts any more and the breaker is closed.
+    """
+    rows = calls.select("provider", "stream_id", "ok", "created_at",
+                        F.unix_micros("created_at").alias("us"))
+    opened = _run(rows, ["provider"], BreakerProcessor(
+        threshold, window_seconds * 1_000_000, cooldown_seconds * 1_000_000),
+        "provider string, stream_id bigint, us bigint", "created_at", watermark)
     return opened.select("provider", "stream_id", F.timestamp_micros("us").alias("opened_at"),
                          F.timestamp_micros(F.col("us") + cooldown_seconds * 1_000_000)
                          .alias("open_until"))
 
 
-class PresenceProcessor(StatefulProcessor):
+class PresenceProcessor(Expiring):
     """Connection counter per user; with a time to live, silence counts as leaving."""
 
-    def __init__(self, ttl_ms: int | None):
-        self.ttl_ms = ttl_ms
+    def __init__(self, ttl: int | None):
+        self.ttl = ttl
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.count = handle.getValueState("connections", "n bigint")
-        self.timer = handle.getValueState("timer", "at bigint")
+    def declare(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("connections", "n bigint, last bigint")
+
+    def clear(self) -> None:
+        self.state.clear()
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         batch = _in_order(rows, ["us", "event_id"])
-        n = self.count.get()[0] if self.count.exists() else 0
+        n, last = self.state.get() if self.state.exists() else (0, 0)
         edges = []
-        for now, delta in zip(batch["us"], batch["delta"]):
-            before, n = n, max(0, n + int(delta))
-            edges.append(True if (before, n) == (0, 1) else
-                         False if (before, n) == (1, 0) else None)
-        self.count.update((n,))
-        if self.ttl_ms is not None:
-            self._renew(int(batch["us"].iloc[-1]) // 1000, n)
-        seen = [e is not None for e in edges]
-        yield pd.DataFrame({
-            "user_id": batch["user_id"][seen], "us": batch["us"][seen],
-            "event_id": batch["event_id"][seen],
-            "online": [e for e in edges if e is not None]})
-
-    def _renew(self, now_ms: int, n: int) -> None:
-        if self.timer.exists():
-            self.handle.deleteTimer(self.timer.get()[0])
-            self.timer.clear()
-        if n > 0:
-            self.handle.registerTimer(now_ms + self.ttl_ms)
-            self.timer.update((now_ms + self.ttl_ms,))
+        for now, event, delta in zip(batch["us"].tolist(), batch["event_id"].tolist(),
+                                     batch["delta"].tolist()):
+            if self.ttl is not None and n > 0 and now - last >= self.ttl:
+                edges.append((last + self.ttl, None, False))
+                n = 0
+            before, n, last = n, max(0, n + int(delta)), now
+            if (before, n) in ((0, 1), (1, 0)):
+                edges.append((now, event, n == 1))
+        if n or not self.expires:
+            self.state.update((n, last))
+        else:
+            self.state.clear()
+        self.expire_at(last + self.ttl if n and self.ttl is not None else None)
+        yield self.edges(batch["user_id"].iloc[0], edges)
+
+    @staticmethod
+    def edges(user, found: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame({
+            "user_id": [user] * len(found), "us": [e[0] for e in found],
+            "event_id": pd.array([e[1] for e in found], dtype="Int64"),
+            "online": [e[2] for e in found]})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        at = expiredTimerInfo.getExpiryTimeInMs() * 1000
-        self.count.clear()
-        self.timer.clear()
-        yield pd.DataFrame({"user_id": [key[0]], "us": [at], "event_id": [None],
-                            "online": [False]}).astype({"event_id": "Int64"})
-
-    def close(self) -> None:
-        pass
+        _, last = self.state.get()
+        self.clear()
+        yield self.edges(key[0], [(last + self.ttl, None, False)])
 
 
 def stream_presence(events: DataFrame, ttl_seconds: int | None = None,
@@ -153,68 +221,203 @@ def stream_presence(events: DataFrame, ttl_seconds: int | None = None,
     With ``ttl_seconds`` a user without rows for that long goes offline once the watermark
     has passed; rows later than ``watermark`` behind are dropped.
     """
-    mode = "None" if ttl_seconds is None else "EventTime"
-    if ttl_seconds is not None:
-        events = events.withWatermark("ts", watermark)
-    keep = ["ts"] if ttl_seconds is not None else []
-    rows = events.select("user_id", "event_id", "delta", F.unix_micros("ts").alias("us"), *keep)
-    edges = rows.groupBy("user_id").transformWithStateInPandas(
-        PresenceProcessor(None if ttl_seconds is None else ttl_seconds * 1000),
-        "user_id bigint, us bigint, event_id bigint, online boolean", "Append", mode)
+    rows = events.select("user_id", "event_id", "delta", "ts", F.unix_micros("ts").alias("us"))
+    edges = _run(rows, ["user_id"],
+                 PresenceProcessor(None if ttl_seconds is None else ttl_seconds * 1_000_000),
+                 "user_id bigint, us bigint, event_id bigint, online boolean", "ts",
+                 None if ttl_seconds is None else watermark)
     return edges.select("user_id", F.timestamp_micros("us").alias("ts"), "event_id", "online")
 
 
-class QuotaProcessor(StatefulProcessor):
+class TypingProcessor(Expiring):
+    """A span opens with a start and ends with a stop, or some time after its last start."""
+
+    def __init__(self, expiry: int):
+        self.expiry = expiry
+
+    def declare(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("typing", "first bigint, last bigint")
+
+    def clear(self) -> None:
+        self.state.clear()
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        batch = _in_order(rows, ["us", "event_id"])
+        first, last = self.state.get() if self.state.exists() else (None, None)
+        spans = []
+        for now, stop in zip(batch["us"].tolist(), batch["is_stop"].tolist()):
+            if first is not None and now - last >= self.expiry:
+                spans.append((first, last + self.expiry))
+                first = None
+            if stop:
+                if first is not None:
+                    spans.append((first, now))
+                first = None
+            else:
+                first, last = now if first is None else first, now
+        if first is None:
+            self.state.clear()
+        else:
+            self.state.update((first, last))
+        self.expire_at(None if first is None else last + self.expiry)
+        yield self.spans(key, spans)
+
+    @staticmethod
+    def spans(key, found: list[tuple[int, int]]) -> pd.DataFrame:
+        return pd.DataFrame({
+            "user_id": [key[0]] * len(found), "room_id": [key[1]] * len(found),
+            "started": [s for s, _ in found], "ended": [e for _, e in found]})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        first, last = self.state.get()
+        self.clear()
+        yield self.spans(key, [(first, last + self.expiry)])
+
+
+def stream_typing(events: DataFrame, expiry_seconds: float = TYPING_EXPIRY_SECONDS,
+                  watermark: str = "1 second") -> DataFrame:
+    """Streaming form of ``typing_sessions``: ``events(user_id, room_id, event_id, ts, is_stop)``.
+
+    Spans by user and room, told when they end; one that runs out ends when the watermark passes,
+    and nothing is kept of it.
+    """
+    rows = events.select("user_id", "room_id", "event_id", "is_stop", "ts",
+                         F.unix_micros("ts").alias("us"))
+    spans = _run(rows, ["user_id", "room_id"], TypingProcessor(int(expiry_seconds * 1_000_000)),
+                 "user_id bigint, room_id bigint, started bigint, ended bigint", "ts", watermark)
+    return spans.select("user_id", "room_id", F.timestamp_micros("started").alias("started_at"),
+                        F.timestamp_micros("ended").alias("ended_at"))
+
+
+class AsofProcessor(Expiring):
+    """Messages wait until the watermark has passed them, as a switch before them may still come.
+
+    Switches are map state, by time and id; of those behind the watermark only the newest is kept.
+    """
+
+    def declare(self, handle: StatefulProcessorHandle) -> None:
+        self.waiting = handle.getMapState("waiting", "us bigint, id bigint", "one boolean")
+        self.switches = handle.getMapState("switches", "us bigint, id bigint", "enabled boolean")
+
+    def clear(self) -> None:
+        self.waiting.clear()
+        self.switches.clear()
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        for part in rows:
+            for us, id_, enabled in zip(part["us"].tolist(), part["id"].tolist(),
+                                        part["enabled"].tolist()):
+                if enabled is None or enabled != enabled:
+                    self.waiting.updateValue((us, id_), (True,))
+                else:
+                    self.switches.updateValue((us, id_), (bool(enabled),))
+        yield self.told(key, timerValues.getCurrentWatermarkInMs() * 1000)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield self.told(key, timerValues.getCurrentWatermarkInMs() * 1000)
+
+    def told(self, key, passed: int) -> pd.DataFrame:
+        """Messages before the watermark with the switch they met; a timer for the next ones."""
+        switches = sorted((k[0], k[1], v[0]) for k, v in self.switches.iterator())
+        times = [us for us, _, _ in switches]
+        waiting = sorted((k[0], k[1]) for k in self.waiting.keys())
+        out = []
+        for us, id_ in waiting:
+            if us >= passed:
+                break
+            at = int(np.searchsorted(times, us, "right"))
+            out.append((id_, switches[at - 1][2] if at else True))
+            self.waiting.removeKey((us, id_))
+        for us, id_, _ in switches[:max(0, int(np.searchsorted(times, passed, "left")) - 1)]:
+            self.switches.removeKey((us, id_))
+        rest = waiting[len(out):]
+        self.expire_at(rest[0][0] + 1000 if rest else None)
+        return pd.DataFrame({"message_id": [i for i, _ in out], "room_id": [key[0]] * len(out),
+                             "ingested": [e for _, e in out]})
+
+
+# A room's messages are dealt over so many keys; its switches go to each of them.
+_PARTS = 8
+
+
+def stream_memory_switch(messages: DataFrame, switches: DataFrame,
+                         watermark: str = WATERMARK) -> DataFrame:
+    """As-of join of two streams: (message_id, room_id, ingested), whether memory was on.
+
+    ``messages(message_id, room_id, created_at)``, ``switches(room_id, switched_at, switch_id,
+    enabled)``. A switch counts from its moment on, of equal moments the greatest id; a room
+    without a switch is on. Both may come late by the watermark; a message is told when the watermark
+    of both streams has passed it.
+    """
+    said = messages.select(
+        "room_id", F.pmod(F.xxhash64("message_id"), F.lit(_PARTS)).cast("int").alias("part"),
+        F.col("created_at").alias("at"), F.col("message_id").alias("id"),
+        F.lit(None).cast("boolean").alias("enabled")).withWatermark("at", watermark)
+    turned = switches.withWatermark("switched_at", watermark).select(
+        "room_id", F.explode(F.sequence(F.lit(0), F.lit(_PARTS - 1))).alias("part"),
+        F.col("switched_at").alias("at"), F.col("switch_id").alias("id"), "enabled")
+    rows = said.unionByName(turned).withColumn("us", F.unix_micros("at"))
+    return rows.groupBy("room_id", "part").transformWithStateInPandas(
+        AsofProcessor(), "message_id bigint, room_id bigint, ingested boolean", "Append", "EventTime")
+
+
+class QuotaProcessor(Expiring):
     def __init__(self, quota: int):
         self.quota = quota
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
+    def declare(self, handle: StatefulProcessorHandle) -> None:
         self.used = handle.getValueState("used", "tokens bigint")
 
+    def clear(self) -> None:
+        self.used.clear()
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         batch = _in_order(rows, ["us", "stream_id"])
         used = self.used.get()[0] if self.used.exists() else 0
         before = used + np.concatenate([[0], np.cumsum(batch["tokens"].to_numpy())])
         self.used.update((int(before[-1]),))
+        self.expire_at((int(batch["us"].iloc[0]) // _DAY_US + 1) * _DAY_US)  # the day's end
         yield pd.DataFrame({
             "stream_id": batch["stream_id"], "user_id": batch["user_id"],
             "day": batch["day"], "used_before": before[:-1],
             "allowed": before[:-1] < self.quota})
 
-    def close(self) -> None:
-        pass
 
+def stream_quota(calls: DataFrame, quota: int = DAILY_TOKEN_QUOTA,
+                 watermark: str | None = WATERMARK) -> DataFrame:
+    """Streaming form of ``quota_decisions``: ``calls(stream_id, user_id, created_at, tokens)``.
 
-def stream_quota(calls: DataFrame, quota: int = DAILY_TOKEN_QUOTA) -> DataFrame:
-    """Streaming form of ``quota_decisions``: ``calls(stream_id, user_id, created_at, tokens)``."""
+    A user's sum of a day goes when the watermark has passed the day.
+    """
     rows = calls.select(
         "stream_id", "user_id", F.date_format("created_at", "yyyy-MM-dd").alias("day"),
-        F.unix_micros("created_at").alias("us"),
+        "created_at", F.unix_micros("created_at").alias("us"),
         F.greatest(F.lit(0), F.col("tokens")).cast("bigint").alias("tokens"))
-    return rows.groupBy("user_id", "day").transformWithStateInPandas(
-        QuotaProcessor(quota), "stream_id bigint, user_id bigint, day string, "
-        "used_before bigint, allowed boolean", "Append", "None")
+    return _run(rows, ["user_id", "day"], QuotaProcessor(quota),
+                "stream_id bigint, user_id bigint, day string, used_before bigint, allowed boolean",
+                "created_at", watermark)
 
 
-class CacheProcessor(StatefulProcessor):
+class CacheProcessor(Expiring):
     """Newest answers of one permission fingerprint. A miss stores the answer, and every
     insert renews the list's time to live."""
 
     def __init__(self, threshold: float, keep: int, ttl: int):
         self.threshold, self.keep, self.ttl = threshold, keep, ttl
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState(
-            "entries", "ids array<bigint>, vectors array<array<double>>, renewed bigint")
+    def declare(self, handle: StatefulProcessorHandle) -> None:
+        self.entries = handle.getListState("entries", "id bigint, vector array<double>")
+        self.renewed = handle.getValueState("renewed", "us bigint")
+
+    def clear(self) -> None:
+        self.entries.clear()
+        self.renewed.clear()
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         batch = _in_order(rows, ["us", "query_id"])
-        ids: list[int] = []
-        vectors: list[np.ndarray] = []
-        renewed = 0
-        if self.state.exists():
-            held, stored, renewed = self.state.get()
-            ids, vectors = list(held), [np.asarray(v) for v in stored]
+        held = list(self.entries.get()) if self.entries.exists() else []
+        ids, vectors = [e[0] for e in held], [np.asarray(e[1]) for e in held]
+        renewed = self.renewed.get()[0] if self.renewed.exists() else 0
         hits: list[int | None] = []
         for now, query, vector in zip(batch["us"], batch["query_id"], batch["vector"]):
             vector = np.asarray(vector, dtype=np.float64)
@@ -230,20 +433,23 @@ class CacheProcessor(StatefulProcessor):
             if found is None:  # newest first
                 ids, vectors = [int(query), *ids][:self.keep], [vector, *vectors][:self.keep]
                 renewed = int(now)
-        self.state.update((ids, [v.tolist() for v in vectors], renewed))
+        if len(held) != len(ids) or [e[0] for e in held] != ids:
+            self.entries.put([(i, v.tolist()) for i, v in zip(ids, vectors)])
+        self.renewed.update((renewed,))
+        self.expire_at(renewed + self.ttl)
         yield pd.DataFrame({
             "query_id": batch["query_id"], "fingerprint": batch["fingerprint"],
             "entry_id": pd.array(hits, dtype="Int64")})
 
-    def close(self) -> None:
-        pass
-
 
 def stream_cache(asks: DataFrame, threshold: float = CACHE_SIMILARITY,
-                 keep: int = CACHE_ENTRIES, ttl_seconds: int = CACHE_TTL_SECONDS) -> DataFrame:
-    """Lookup, then store on a miss: ``asks(query_id, fingerprint, ts, vector)``."""
-    rows = asks.select("query_id", "fingerprint", F.unix_micros("ts").alias("us"),
+                 keep: int = CACHE_ENTRIES, ttl_seconds: int = CACHE_TTL_SECONDS,
+                 watermark: str | None = WATERMARK) -> DataFrame:
+    """Lookup, then store on a miss: ``asks(query_id, fingerprint, ts, vector)``.
+
+    A fingerprint's entries go when the watermark has passed their time to live.
+    """
+    rows = asks.select("query_id", "fingerprint", "ts", F.unix_micros("ts").alias("us"),
                        F.col("vector").cast("array<double>").alias("vector"))
-    return rows.groupBy("fingerprint").transformWithStateInPandas(
-        CacheProcessor(threshold, keep, ttl_seconds * 1_000_000),
-        "query_id bigint, fingerprint string, entry_id bigint", "Append", "None")
+    return _run(rows, ["fingerprint"], CacheProcessor(threshold, keep, ttl_seconds * 1_000_000),
+                "query_id bigint, fingerprint string, entry_id bigint", "ts", watermark)
