@@ -81,3 +81,19 @@ def test_digest_mask_and_edges(docs):
     assert {r.text for r in masked.where(F.col("doc_id") == 1).collect()} == {
         "mail é [email] or [phone]"}
     assert pii.find(docs([])).collect() == []
+
+
+def test_mask_cuts_spans_and_nothing_else(docs):
+    rows = [(1, "1.2.3.4 and 21.2.3.45.9.9 here 11.2.3.4x"), (2, "x@y.zz"), (3, "a 1.2.3.4"),
+            (4, "not 1.2.3.400 é 1.2.3.4 é"), (5, None), (6, ""), (7, "1.2.3.4 " * 400),
+            (8, "+1 555 123 4567 8901 2345 x"), (9, "4111 1111 1111 1111@b.cc")]
+    df = docs(rows, extra=CLASHES)
+    spans = {r.doc_id: [(s.start, s.end, s.kind) for s in r.spans2] for r in pii.find(df, into="spans2").collect()}
+    for r in pii.mask(df).collect():
+        text, out, at = dict(rows)[r.doc_id], "", 0
+        for start, end, kind in sorted(spans[r.doc_id]):
+            if start >= at:
+                out += text[at:start] + f"[{kind}]"
+            at = max(at, end)
+        assert r.text == (None if text is None else out + text[at:])
+    assert spans[1]  # the planted values are found

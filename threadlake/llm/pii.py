@@ -144,11 +144,32 @@ def find(docs: DataFrame, text: str = "text", into: str = "spans") -> DataFrame:
 
 
 def mask(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with every confirmed value in ``text`` replaced by its kind in brackets."""
-    spans = fresh(docs, "_pii_spans")
-    hidden = F.aggregate(spans, F.col(text), lambda t, s: F.replace(
-        t, s["hit"], F.concat(F.lit("["), s["kind"], F.lit("]"))))
-    return find(docs, text, spans).withColumn(text, hidden).select(*docs.columns)
+    """``docs`` with every confirmed span of ``text`` replaced by its kind in brackets.
+
+    Cut by start and end, so equal text elsewhere stays. Where spans overlap, what they cover together
+    is replaced once, by the kind of the first.
+    """
+    spans, cuts = fresh(docs, "_pii_spans"), fresh(docs, "_pii_cuts")
+    sorted_ = F.array_sort(F.transform(spans, lambda s: F.struct(
+        s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    empty = F.array().cast("array<struct<start:bigint,end:bigint,kind:string>>")
+
+    def merge(done, s):
+        last = F.element_at(done, -1)
+        longer = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"),
+                          last["kind"].alias("kind"))
+        return F.when((F.size(done) > 0) & (s["start"] < last["end"]), F.concat(
+            F.slice(done, 1, F.size(done) - 1), F.array(longer))).otherwise(F.concat(done, F.array(s)))
+
+    whole = F.col(text)
+    after = lambda i: F.coalesce(F.get(F.col(cuts), i - 1)["end"], F.lit(0))
+    parts = F.transform(cuts, lambda c, i: F.concat(
+        F.substr(whole, (after(i) + 1).cast("int"), (c["start"] - after(i)).cast("int")),
+        F.lit("["), c["kind"], F.lit("]")))
+    rest = F.substr(whole, (F.element_at(F.col(cuts), -1)["end"] + 1).cast("int"))
+    hidden = F.when(F.size(cuts) > 0, F.concat(F.array_join(parts, ""), rest)).otherwise(whole)
+    return find(docs, text, spans).withColumn(cuts, F.aggregate(sorted_, empty, merge)).withColumn(
+        text, hidden).select(*docs.columns)
 
 
 def digest(found: DataFrame, id_col: str = "doc_id", spans: str = "spans") -> DataFrame:
