@@ -6,9 +6,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import pairs
-from threadlake.operators import metrics, star
+from threadlake.operators import metrics, sketches, star
 from threadlake.operators.dedup import dedup_any, dedup_latest
-from threadlake.plans.warehouse import REPORTS, run_all_reports, run_warehouse
+from threadlake.operators.ordered import nearest_rank
+from threadlake.plans.warehouse import (
+    REPORTS, refresh_messages, run_all_reports, run_warehouse,
+)
 from threadlake.schemas import GOLD_TABLES, bronze_schema, conform
 from threadlake.sources import bronze, feedback, gold
 from threadlake.sources.golden import read_golden
@@ -238,3 +241,62 @@ def test_golden_reader(spark, folder):
     rows = read_golden(spark, f"{folder}/g.json")
     assert pairs(rows, "query_id", "anchor_id", "contains") == [(0, 0, "c"), (0, 1, "d")]
     assert [r.kind for r in rows.orderBy("anchor_id").collect()] == [None, "doc"]
+
+
+def message_rows(spark, rows):
+    """Bronze versions from (id, day, sender, updated)."""
+    return spark.createDataFrame(
+        [(str(i), "r", str(sender), f"body {i}", f"2025-06-{day:02d}T10:00:00+00:00",
+          f"2025-06-{upd:02d}T11:00:00+00:00") for i, day, sender, upd in rows],
+        "id string, roomId string, senderId string, body string, createdAt string, updatedAt string")
+
+
+def test_only_touched_days_are_rewritten(spark, folder):
+    bronze_root, gold_root = f"{folder}/bronze", f"{folder}/gold"
+    for name in ("users", "rooms", "aicalls"):
+        spark.createDataFrame([], bronze_schema(name)).write.parquet(f"{bronze_root}/{name}")
+    first = [(1, 1, 7, 1), (2, 1, 8, 1), (3, 2, 7, 2), (4, 3, 7, 3), (5, 4, 9, 4)]
+    message_rows(spark, first).write.parquet(f"{bronze_root}/messages")
+    run_warehouse(spark, bronze_root, gold_root)
+
+    def files(table):
+        return {d: sorted(os.listdir(f"{gold_root}/{table}/{d}"))
+                for d in os.listdir(f"{gold_root}/{table}") if d.startswith("date_key")}
+
+    before = {t: files(t) for t in ("fact_message", "fact_room_activity_daily")}
+    # edited in place, moved to another day, the only one of its day moved away, a new one
+    later = [(1, 1, 8, 20), (2, 2, 8, 20), (4, 9, 7, 20), (6, 2, 5, 20)]
+    message_rows(spark, later).write.mode("append").parquet(f"{bronze_root}/messages")
+    days = refresh_messages(spark, bronze_root, gold_root,
+                            message_rows(spark, later).select("id"))
+    assert days == [20250601, 20250602, 20250603, 20250609]
+    after = {t: files(t) for t in before}
+    for table in before:
+        assert set(after[table]) == {f"date_key={d}" for d in (20250601, 20250602, 20250604, 20250609)}
+        assert after[table]["date_key=20250604"] == before[table]["date_key=20250604"]
+    run_warehouse(spark, bronze_root, f"{folder}/again")
+    for table in ("fact_message", "fact_room_activity_daily", "dim_date"):
+        columns = sorted(gold.read_gold(spark, gold_root, table).columns)
+        one, two = (pairs(gold.read_gold(spark, root, table).select(*columns).na.fill(0).na.fill("-"), *columns)
+                    for root in (gold_root, f"{folder}/again"))
+        assert one == two
+    assert refresh_messages(spark, bronze_root, gold_root, message_rows(spark, later).select("id").limit(0)) == []
+
+
+def test_merged_sketches_keep_their_rank_error(spark):
+    rows = spark.range(40_000).selectExpr(
+        "id % 3 AS kind", "id % 11 AS day", "CASE WHEN id % 50 = 0 THEN NULL ELSE "
+        "CAST(pow(xxhash64(id) % 1000, 2) AS INT) END AS ms")
+    percents = {"p1": 1, "p50": 50, "p95": 95, "p100": 100}
+    days = sketches.daily_sketches(rows, ["kind"], "day", "ms")
+    assert days.count() == 33
+    found = sketches.merged_percentiles(days, ["kind"], percents)
+    assert found.agg(F.sum("n")).first()[0] == rows.where("ms IS NOT NULL").count()
+    off = sketches.rank_error(rows, ["kind"], "ms", found, percents).collect()
+    assert len(off) == 3 and all(r[p] <= 2 * sketches.RANK_ERROR for r in off for p in percents)
+    exact = nearest_rank(rows.where("ms IS NOT NULL"), ["kind"], "ms", percents)
+    off = sketches.rank_error(rows, ["kind"], "ms", exact, percents).collect()
+    assert all(r[p] < 1e-3 for r in off for p in percents)
+    part = sketches.merged_percentiles(days.where("day < 3"), ["kind"], percents)  # without the facts
+    off = sketches.rank_error(rows.where("day < 3"), ["kind"], "ms", part, percents).collect()
+    assert all(r[p] <= 2 * sketches.RANK_ERROR for r in off for p in percents)

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from threadlake.operators import star
+from threadlake.session import materialize
 from threadlake.sources.bronze import read_bronze
-from threadlake.sources.gold import register_gold, write_gold
+from threadlake.sources.gold import read_gold, register_gold, replace_days, write_gold
 
 # The reports as SQL over the gold views. ``:as_of`` takes the place of today's date.
 REPORTS = {
@@ -86,6 +88,33 @@ def run_warehouse(spark: SparkSession, bronze_root: str, gold_root: str,
     return counts
 
 
+def refresh_messages(spark: SparkSession, bronze_root: str, gold_root: str,
+                     changed: DataFrame) -> list[int]:
+    """Bring the message facts and their rollup up to date after an extract; returns the days written.
+
+    ``changed(id)`` are the messages of which bronze has new versions. The days they were on and the
+    days they are on now are written anew, from the old facts of other messages and the newest
+    versions of these; other day folders keep their files.
+    """
+    ids = materialize(changed.select(F.col("id").cast("string").alias("message_id")).distinct(), "changed")
+    versions = read_bronze(spark, bronze_root, "messages").join(
+        ids.withColumnRenamed("message_id", "id"), "id", "left_semi")
+    fresh = materialize(star.fact_message(versions), "fresh")
+    old = spark.read.schema(fresh.schema).parquet(f"{gold_root}/fact_message")
+    touched = old.join(ids, "message_id", "left_semi").select("date_key").union(
+        fresh.select("date_key")).distinct()
+    days = sorted(r[0] for r in touched.where("date_key IS NOT NULL").collect())  # days, not rows
+    if days:
+        kept = old.where(F.col("date_key").isin(days)).join(ids, "message_id", "left_anti")
+        replace_days(kept.unionByName(fresh), gold_root, "fact_message", days)
+        now = spark.read.schema(fresh.schema).parquet(f"{gold_root}/fact_message")
+        replace_days(star.room_activity_daily(now.where(F.col("date_key").isin(days))), gold_root,
+                     "fact_room_activity_daily", days)
+        calls = read_gold(spark, gold_root, "fact_ai_call")
+        write_gold(materialize(star.dim_date(now, calls), "dates"), gold_root, "dim_date")
+    return days
+
+
 def run_report(spark: SparkSession, name: str, as_of: str | None = None) -> DataFrame:
     """One named report over the registered gold views."""
     text = REPORTS[name]

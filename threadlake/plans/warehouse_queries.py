@@ -7,15 +7,17 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from threadlake.constants import PRICES
-from threadlake.operators import metrics, star
+from threadlake.operators import metrics, sketches, star
 from threadlake.operators.dedup import (
     dedup_any, dedup_latest, reconcile_by_either_key, resolve_retries,
 )
 from threadlake.plans import bindings as b
+from threadlake.plans import warehouse
 from threadlake.plans.registry import query
 from threadlake.plans.warehouse import REPORTS, run_report
 from threadlake.session import scratch_path
 from threadlake.sources import bronze, feedback, gold
+from threadlake.sources.golden import read_golden
 
 AS_OF = "2024-02-10"
 
@@ -46,6 +48,162 @@ def read_bronze(spark, sf):
     return spark.read.schema(schema).parquet(f"{sf}/events.parquet")
 
 
+_BRONZE_MESSAGES = """
+    SELECT CAST(message_id AS VARCHAR) AS id, CAST(room_id AS VARCHAR) AS "roomId",
+           CAST(sender_id AS VARCHAR) AS "senderId", body, kind, citations,
+           strftime(created_at, '%Y-%m-%dT%H:%M:%S.%f+00:00') AS "createdAt",
+           strftime(created_at + INTERVAL 1 HOUR, '%Y-%m-%dT%H:%M:%S.%f+00:00') AS "updatedAt"
+    FROM b_messages"""
+
+
+@query("read_bronze_versions", f"""
+    SELECT id, "roomId", "senderId", 'draft' AS body, 'ai' AS kind, CAST(NULL AS VARCHAR) AS citations,
+           "createdAt", "createdAt" AS "updatedAt"
+    FROM ({_BRONZE_MESSAGES}) WHERE body LIKE 'purchase%'
+    UNION ALL SELECT * FROM ({_BRONZE_MESSAGES})""")
+def read_bronze_versions(spark, sf):
+    """A bronze folder of two snapshots, the older without some columns, read by the explicit schema."""
+    root, versions = scratch_path(spark, "bronze"), b.bronze_messages(spark, sf)
+    draft = F.col("body") == "draft"
+    versions.where(draft).drop("citations", "aiQuestion").write.parquet(f"{root}/messages")
+    versions.where(~draft).write.mode("append").parquet(f"{root}/messages")
+    return bronze.read_bronze(spark, root, "messages").select(
+        "id", "roomId", "senderId", "body", "kind", "citations", "createdAt", "updatedAt")
+
+
+def _sources(spark, sf, until=None):
+    """Messages as the source system holds them at a moment: those created before it, with the edits
+    made before it. Every message is edited a week later, and moved by three days if its id divides
+    by seven."""
+    created = F.col("created_at")
+    edited = created + F.expr("INTERVAL 7 DAYS")
+    now = F.lit(until or dt.datetime(2100, 1, 1)).cast("timestamp")
+    moved = F.when((edited < now) & (F.col("message_id") % 7 == 0), created - F.expr("INTERVAL 3 DAYS"))
+    return b.messages(spark, sf).where(created < now).select(
+        F.col("message_id").cast("string").alias("_id"), F.col("room_id").cast("string").alias("roomId"),
+        F.col("sender_id").cast("string").alias("senderId"), F.lit("secret").alias("passwordHash"),
+        F.when(edited < now, F.concat("body", F.lit(" edited"))).otherwise(F.col("body")).alias("body"),
+        F.col("client_msg_id").alias("clientMsgId"), "kind", "citations",
+        F.col("ai_question").alias("aiQuestion"), F.coalesce(moved, created).alias("createdAt"),
+        F.when(edited < now, edited).otherwise(created).alias("updatedAt"))
+
+
+_CUT = dt.datetime(2024, 1, 20)
+_SOURCE_NOW = """
+    SELECT message_id, room_id, sender_id, kind, citations, ai_question, body || ' edited' AS body,
+           created_at - CASE WHEN message_id % 7 = 0 THEN INTERVAL 3 DAY ELSE INTERVAL 0 DAY END
+             AS created_at FROM b_messages"""
+
+
+def _extract_twice(spark, sf):
+    """Bronze after a full extract in the middle of the month and an incremental one at the end."""
+    root = scratch_path(spark, "extract")
+    marks = bronze.WatermarkTable(spark, f"{root}/marks")
+    results = []
+    for until in (_CUT, None):
+        known = marks.load()
+        results.append(bronze.extract_collection(
+            _sources(spark, sf, until), "messages", f"{root}/bronze", known))
+        marks.save(known)
+    return f"{root}/bronze", results, marks.load()["messages"]
+
+
+@query("extract_twice", f"""
+    SELECT count(*) FILTER (WHERE created_at < TIMESTAMP '2024-01-20') AS first_rows,
+           count(*) FILTER (WHERE created_at + INTERVAL 7 DAY > (
+             SELECT max(CASE WHEN created_at + INTERVAL 7 DAY < TIMESTAMP '2024-01-20'
+                        THEN created_at + INTERVAL 7 DAY ELSE created_at END)
+             FROM b_messages WHERE created_at < TIMESTAMP '2024-01-20')) AS second_rows,
+           {_time('max(created_at) + INTERVAL 7 DAY')} AS watermark,
+           (SELECT count(*) FROM b_messages WHERE created_at < TIMESTAMP '2024-01-20')
+             + second_rows AS stored, count(*) AS messages
+    FROM b_messages""")
+def extract_twice(spark, sf):
+    """Rows extracted by a full and an incremental run, the watermark kept, the versions in bronze."""
+    root, (first, second), mark = _extract_twice(spark, sf)
+    return bronze.read_bronze(spark, root, "messages").agg(
+        F.lit(first.rows).cast("bigint").alias("first_rows"),
+        F.lit(second.rows).cast("bigint").alias("second_rows"),
+        F.date_format(F.lit(mark), "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("watermark"),
+        F.count(F.lit(1)).alias("stored"), F.countDistinct("id").alias("messages"))
+
+
+@query("gold_upkeep", f"""
+    WITH now AS ({_SOURCE_NOW})
+    SELECT room_id::VARCHAR AS room_id, CAST(strftime(created_at, '%Y%m%d') AS INTEGER) AS date_key,
+           count(*) AS message_count,
+           count(*) FILTER (WHERE kind = 'ai') AS ai_answer_count,
+           count(DISTINCT sender_id) AS distinct_sender_count,
+           CAST(sum(len(regexp_split_to_array(trim(body), '\\s+'))) AS BIGINT) AS total_words
+    FROM now GROUP BY 1, 2""")
+def gold_upkeep(spark, sf):
+    """Gold of the first extract, brought up to date by the days that the second one touches."""
+    root = scratch_path(spark, "upkeep")
+    bronze_root, gold_root = f"{root}/bronze", f"{root}/gold"
+    marks: dict = {}
+    bronze.extract_collection(_sources(spark, sf, _CUT), "messages", bronze_root, marks)
+    b.bronze_ai_calls(spark, sf).write.parquet(f"{bronze_root}/aicalls")
+    b.bronze_users(spark, sf).write.parquet(f"{bronze_root}/users")
+    b.bronze_rooms(spark, sf).write.parquet(f"{bronze_root}/rooms")
+    warehouse.run_warehouse(spark, bronze_root, gold_root)
+    known = marks["messages"]
+    later = _sources(spark, sf)
+    bronze.extract_collection(later, "messages", bronze_root, marks)
+    changed = bronze.changed_since(later, "updatedAt", known).select(F.col("_id").alias("id"))
+    warehouse.refresh_messages(spark, bronze_root, gold_root, changed)
+    return gold.read_gold(spark, gold_root, "fact_room_activity_daily").select(
+        "room_id", "date_key", "message_count", "ai_answer_count", "distinct_sender_count", "total_words")
+
+
+@query("gold_catalog", """
+    SELECT 'dim_date' AS table_name, (SELECT count(*) FROM g_date) AS row_count
+    UNION ALL SELECT 'dim_user', (SELECT count(*) FROM customer)
+    UNION ALL SELECT 'dim_room', (SELECT count(*) FROM region)
+    UNION ALL SELECT 'fact_message', (SELECT count(*) FROM events)
+    UNION ALL SELECT 'fact_ai_call', (SELECT count(*) FROM events)
+    UNION ALL SELECT 'fact_room_activity_daily', (SELECT count(*) FROM g_daily)""")
+def gold_catalog(spark, sf):
+    """The whole warehouse written, its tables found in the catalog and counted."""
+    root = scratch_path(spark, "catalog")
+    for name, rows in (("messages", b.bronze_messages(spark, sf)), ("users", b.bronze_users(spark, sf)),
+                       ("rooms", b.bronze_rooms(spark, sf)), ("aicalls", b.bronze_ai_calls(spark, sf))):
+        rows.write.parquet(f"{root}/bronze/{name}")
+    warehouse.run_warehouse(spark, f"{root}/bronze", f"{root}/gold")
+    found = gold.register_gold(spark, f"{root}/gold")
+    return gold.table_row_counts({name: spark.table(name) for name in found})
+
+
+@query("golden_set", """
+    SELECT item_id AS query_id, text AS question, CAST(n AS INTEGER) AS anchor_id,
+           'room-' || (item_id % 5) AS room, substr(text, 1 + 20 * n, 20) AS contains,
+           CASE n WHEN 1 THEN 'doc' END AS kind
+    FROM benchmark, (SELECT unnest([0, 1]) AS n)""")
+def golden_set(spark, sf):
+    """Every benchmark passage as a golden question with two anchors, written as the set's JSON."""
+    path = scratch_path(spark, "golden")
+    room = F.concat(F.lit("room-"), (F.col("item_id") % 5).cast("string"))
+    anchors = F.array(*[F.struct(
+        room.alias("room"), F.substring("text", 1 + 20 * n, 20).alias("contains"),
+        F.lit(kind).cast("string").alias("kind")) for n, kind in ((0, None), (1, "doc"))])
+    items = b.table(spark, sf, "benchmark").agg(F.array_sort(F.collect_list(F.struct(
+        "item_id", F.col("text").alias("question"), anchors.alias("expect")))).alias("items"))
+    items.coalesce(1).write.json(path)
+    return read_golden(spark, path).withColumn("query_id", F.col("query_id").cast("bigint"))
+
+
+@query("latency_sketches", """
+    SELECT kind, count(*) AS calls, true AS p50_close, true AS p95_close FROM b_ai_calls GROUP BY kind""")
+def latency_sketches(spark, sf):
+    """Latency percentiles by kind from daily sketches: whether their ranks are as near as promised."""
+    calls = b.ai_calls(spark, sf).withColumn("day", F.to_date("created_at"))
+    percents = {"p50": 50, "p95": 95}
+    found = sketches.merged_percentiles(sketches.daily_sketches(calls, ["kind"], "day", "latency_ms"),
+                                        ["kind"], percents)
+    off = sketches.rank_error(calls, ["kind"], "latency_ms", found, percents)
+    return found.select("kind", F.col("n").alias("calls")).join(off, "kind").select(
+        "kind", "calls", *[(F.col(p) <= 2 * sketches.RANK_ERROR).alias(f"{p}_close") for p in percents])
+
+
 @query("incremental_extract", f"""
     SELECT count(*) AS extracted, {_time('max(l_shipdate)')} AS watermark
     FROM lineitem WHERE l_shipdate > TIMESTAMP '2000-01-01'""")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.errors import AnalysisException
 
 from threadlake.schemas import GOLD, GOLD_TABLES
+from threadlake.session import materialize
 
 _PARTITIONED = {"fact_message": "date_key", "fact_ai_call": "date_key",
                 "fact_room_activity_daily": "date_key"}
@@ -30,6 +31,21 @@ def write_gold(df: DataFrame, root: str, name: str) -> int:
     return seen.get["rows"]
 
 
+def replace_days(df: DataFrame, root: str, name: str, days: list[int]) -> None:
+    """Replace some days of a fact; the folders of other days are not touched.
+
+    ``df`` holds all that these days shall have. A day that has nothing any more loses its folder.
+    """
+    spark, day = df.sparkSession, _PARTITIONED[name]
+    staged = materialize(df.where(F.col(day).isin(days)), f"days_{name}")  # it may read the table itself
+    staged.hint("rebalance", day).write.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic").partitionBy(day).parquet(f"{root}/{name}")
+    left = {r[0] for r in staged.select(day).distinct().collect()}  # at most the days given
+    for gone in set(days) - left:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}/{day}={gone}")
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def read_gold(spark: SparkSession, root: str, name: str) -> DataFrame:
     """One gold table. A table without rows has no files to take a schema from."""
     try:
