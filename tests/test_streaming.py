@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from conftest import pairs
 from threadlake.sources.points import PointTable, merge_points
@@ -268,3 +269,33 @@ def test_asof_join_of_two_streams_with_late_switches(own, folder, seed):
         known = [(s[1], s[2], s[3]) for s in turned if s[0] == room and s[1] <= moment]
         want[id_] = max(known)[2] if known else True
     assert got == want
+
+
+def test_failing_rows_are_dead_once_after_their_last_attempt(own, folder):
+    source = Source(own, folder, "id long, good_at int")
+    source.add([(1, 1), (2, 9), (3, 4)])
+    source.add([(4, 2)])
+    calls = []
+
+    def attempt(df):
+        calls.append(sorted((r.id, r.attempts) for r in df.collect()))
+        return df.withColumn("error", F.when(F.col("attempts") + 1 < F.col("good_at"), "no"))
+
+    def run():
+        return ingest.stream_with_retries(source.stream(), attempt, f"{folder}/retries", "message",
+                                          f"{folder}/ckpt")
+
+    table = run()
+    assert calls == [[(1, 0), (2, 0), (3, 0)], [(2, 1), (3, 1), (4, 0)], [(2, 2), (3, 2), (4, 1)],
+                     [(2, 3), (3, 3)], [(2, 4)]]
+    assert pairs(table.read("dead"), "id", "attempts") == [(2, 5)]
+    assert pairs(table.read("done"), "id", "attempts") == [(1, 1), (3, 4), (4, 2)]
+    source.add([(5, 1), (6, 99)])
+    table = run()  # goes on with the checkpoint
+    assert pairs(table.read("dead"), "id", "attempts") == [(2, 5), (6, 5)]
+    assert pairs(table.read("done"), "id") == [(1,), (3,), (4,), (5,)]
+    # a repeated round replaces itself
+    table.run(None, attempt, 5, 2, 4)
+    assert pairs(table.read("dead"), "id", "attempts") == [(2, 5), (6, 5)]
+    documents = ingest.stream_with_retries(source.stream(), attempt, f"{folder}/docs", "document")
+    assert pairs(documents.read("dead"), "id", "attempts") == [(2, 3), (3, 3), (6, 3)]

@@ -277,6 +277,27 @@ def dead_letter(spark, sf):
     return spark.read.parquet(f"{root}/bad").select("conv_id", "turn", "reason")
 
 
+# A fourth of the texts never succeed, a fourth succeed at the third attempt.
+@query("dead_letter_retries", """
+    SELECT conv_id, turn, CASE WHEN length(text) % 4 = 0 THEN 'dead' ELSE 'done' END AS outcome,
+           CAST(CASE length(text) % 4 WHEN 0 THEN 5 WHEN 1 THEN 3 ELSE 1 END AS INTEGER) AS attempts
+    FROM conversations""")
+def dead_letter_retries(spark, sf):
+    """Conversation turns sent over several batches; failed ones are tried again by later batches."""
+    own = stream_session(spark)
+    turns = b.table(own, sf, "conversations").select(
+        "conv_id", "turn", "text", F.timestamp_seconds(
+            F.lit(1704067200) + (F.col("conv_id") * 100 + F.col("turn")) * 60).alias("at"))
+    rows, _ = _files(own, turns, "at", "sends")
+    kind = F.length("text") % 4
+    table = ingest.stream_with_retries(rows, lambda df: df.withColumn("error", F.when(
+        (kind == 0) | ((kind == 1) & (F.col("attempts") < 2)), F.lit("refused"))),
+        scratch_path(spark, "retries"))
+    out = [table.read(name).select("conv_id", "turn", F.lit(name).alias("outcome"), "attempts")
+           for name in ("done", "dead")]
+    return out[0].unionByName(out[1])
+
+
 @query("memory_switch", """
     WITH switches AS (SELECT event_id % 5 AS room_id, ts, event_id,
                              event_type = 'signup' AS enabled

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from threadlake.constants import DOCUMENT_ATTEMPTS, EMBED_DIMS, MESSAGE_ATTEMPTS
 from threadlake.functions.embedding import embed
@@ -12,6 +15,7 @@ from threadlake.operators.chunking import chunk_documents
 from threadlake.operators.scope import knowledge_filter, memory_gate
 from threadlake.operators.validate import row_validation
 from threadlake.operators.ordered import windowed
+from threadlake.session import materialize
 from threadlake.sources.points import PointTable
 from threadlake.sources.postings import PostingTable
 from threadlake.streaming.runtime import first_number, run_batches
@@ -141,6 +145,77 @@ def retry_or_bury(failures: DataFrame, kind: str = "message") -> tuple[DataFrame
     return tried.where(F.col("attempts") < limit), tried.where(F.col("attempts") >= limit)
 
 
+class RetryTable:
+    """Rows that wait for another attempt, those done and those given up, by round.
+
+    A round is a micro-batch or, when no new rows come, a drain after one. Its folders are named by
+    both numbers; it reads what the round before left waiting and replaces its own folders, so a
+    repeated round changes nothing.
+    """
+
+    def __init__(self, spark, root: str, schema: T.StructType):
+        self.spark, self.root, self.schema = spark, root.rstrip("/"), schema
+
+    def _rounds(self, name: str) -> list[str]:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        return sorted(s.getPath().getName() for s in fs.listStatus(path)) if fs.exists(path) else []
+
+    def read(self, name: str, round_: str | None = None) -> DataFrame:
+        """Rows ``done``, ``dead`` or ``waiting``, of one round or all, with their ``attempts``."""
+        found = [round_] if round_ else self._rounds(name)
+        columns = T.StructType([*self.schema.fields, T.StructField("attempts", T.IntegerType()),
+                                T.StructField("error", T.StringType())])
+        if not found:
+            return self.spark.createDataFrame([], columns)
+        return self.spark.read.schema(columns).parquet(*[f"{self.root}/{name}/{r}" for r in found])
+
+    def waiting(self, before: str = "~") -> DataFrame:
+        """What the last round before this one left waiting."""
+        earlier = [r for r in self._rounds("waiting") if r < before]
+        return self.read("waiting", earlier[-1]) if earlier else self.read("waiting").limit(0)
+
+    def run(self, new: DataFrame | None, attempt: Callable[[DataFrame], DataFrame], limit: int,
+            batch: int, drain: int = 0) -> None:
+        """One round: try the waiting and the new rows; sort what came out."""
+        round_ = f"{batch:012d}-{drain:04d}"
+        rows = self.waiting(round_).drop("error")
+        if new is not None:
+            rows = rows.unionByName(new.withColumn("attempts", F.lit(0)))
+        tried = materialize(attempt(rows).withColumn("attempts", F.col("attempts") + 1), "tried")
+        failed = F.col("error").isNotNull()
+        columns = [*self.schema.names, "attempts", "error"]
+        for name, some in (("done", ~failed), ("dead", failed & (F.col("attempts") >= limit)),
+                           ("waiting", failed & (F.col("attempts") < limit))):
+            tried.where(some).select(*columns).write.mode("overwrite").parquet(
+                f"{self.root}/{name}/{round_}")
+
+
+def stream_with_retries(rows: DataFrame, attempt: Callable[[DataFrame], DataFrame], root: str,
+                        kind: str = "message", checkpoint: str | None = None) -> RetryTable:
+    """Process a stream with ``attempt``, which adds ``error`` (null where it worked) to its rows.
+
+    A failed row waits in a table that the next micro-batch reads back, and is tried up to 5 times
+    (messages) or 3 times (documents), counted over batches; after the last attempt it is in the
+    dead-letter table, once. When the input is consumed the waiting rows are tried to the end.
+    """
+    limit = MESSAGE_ATTEMPTS if kind == "message" else DOCUMENT_ATTEMPTS
+    table, last = RetryTable(rows.sparkSession, root, rows.schema), [-1]
+
+    def handle(batch: DataFrame, n: int) -> None:
+        table.run(batch, attempt, limit, n)
+        last[0] = n
+
+    run_batches(rows, handle, "retries", checkpoint)
+    rounds = table._rounds("waiting")
+    batch = int(rounds[-1].split("-")[0]) if rounds else last[0]
+    drain = int(rounds[-1].split("-")[1]) if rounds else 0
+    while not table.waiting().isEmpty():
+        drain += 1
+        table.run(None, attempt, limit, batch, drain)
+    return table
+
+
 def split_stream(rows: DataFrame, rules: list[tuple[str, Column]], good_root: str,
                  bad_root: str, checkpoint: str | None = None) -> None:
     """Valid rows to one table, the rest with the failed rule to the dead-letter table."""
