@@ -2,6 +2,16 @@
 
 Every stage takes the documents its predecessor kept and returns a DataFrame with the columns of
 ``documents``; the last adds the shard. A stage's result is stored before the next one reads it.
+
+The near-duplicate stage links as the SimHash operator's contract does: three-word shingles, at most
+three differing bits, no other likeness asked for.
+
+Cases, for every stage. Null text or text without a letter: goes at the first stage, as no language is
+recognised. Null ids: kept and judged by their text. Repeated rows and rows of one id with different
+texts: one row of each group of near-duplicates stays, the one with the least id, then text hash.
+Null source: a source of its own, after the named ones. Equal texts: one shard. Very long texts: read
+whole. Empty documents or benchmark: no rows, or nothing removed. Extra columns, whatever their names:
+kept by every stage; only ``shard`` is the pipeline's own.
 """
 
 from __future__ import annotations

@@ -69,3 +69,12 @@ def test_broken_grammar_gives_nulls(spark):
 def test_escape_is_reversible(spark, text):
     r = spark.range(1).select(chat.unescape(chat.escape(F.lit(text))).alias("x")).first()
     assert r.x == text
+
+
+def test_extra_columns_with_clashing_names(spark):
+    rows = [(1, 0, "user", "hi"), (1, 1, "assistant", "yo <|end|>"), (None, None, None, None)]
+    plain, more = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(rows, SCHEMA)
+    for name in ("line", "level", "formatted", "turns", "loss", "n_turns", "parsed", "said", "t", "id", "key"):
+        more = more.withColumn(name, F.lit("x"))
+    out = [sorted(map(str, chat.digest(chat.format_turns(df)).collect())) for df in (plain, more)]
+    assert out[0] == out[1]

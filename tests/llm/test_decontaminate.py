@@ -159,3 +159,61 @@ def test_edges(spark, docs, world):
     none = bench.limit(0)
     assert d.matches(df, none).collect() == [] and d.keep_clean(df, none).count() == 6
     assert d.matches(docs([]), bench).collect() == []
+
+
+def brute_matches(rows, items):
+    """Every neighbourhood of every document against every item, without any candidate search."""
+    out = {}
+    for doc, text in rows:
+        found = d.words(text)
+        for item, wanted_text in items:
+            wanted, answer = d.words(wanted_text), d.answer_of(wanted_text)
+            reach = max(d.STRIDE, len(wanted))
+            best = 0.0
+            for start in range(0, max(1, len(found) - d.STRIDE), d.STRIDE):
+                near = found[max(0, start - reach):start + d.WINDOW + reach]
+                share = lcs(wanted, near) / len(wanted)
+                if share >= d.COPIED or share >= d.PARAPHRASED and answer and d.has_run(answer, near):
+                    best = max(best, share)
+            if best:
+                out[doc, item] = round(best, 4)
+    return out
+
+
+def reworded(rng, word_, words):
+    """Words replaced, dropped, put in or swapped with the next."""
+    out = list(words)
+    for i in range(len(out)):
+        change = rng.random()
+        if change < .05:
+            out[i] = word_(rng)
+        elif change < .08:
+            out[i] = ""
+        elif change < .11:
+            out[i] += " " + word_(rng)
+        elif change < .15 and i + 1 < len(out):
+            out[i], out[i + 1] = out[i + 1], out[i]
+    return " ".join(out)
+
+
+@pytest.mark.parametrize("rank", [d.RANK, 64])
+def test_matches_as_a_whole_against_brute_force(spark, docs, world, rank):
+    """Copies, reworded copies, halves with the answer and clean texts, items of 14 to 500 words."""
+    rng, prose, _ = world
+    items = [(i, " ".join(prose(size)) + ". " + " ".join(prose(6)) + ".") for i, size in
+             enumerate([14, 16, 20, 25, 30, 34, 40, 50, 60, 80, 100, 130, 200, 300, 490])]
+    rows = []
+    for i, text in items:
+        words = text.replace(".", "").split()
+        half = " ".join(words[:len(words) * 3 // 5] + text.split(". ")[-1].replace(".", "").split())
+        for kind, inside in enumerate((text, reworded(rng, word, words), half,
+                                       " ".join(words[:len(words) // 3]))):
+            rows.append((10 * i + kind, f"{' '.join(prose(rng.randint(0, 90)))} {inside} "
+                                        f"{' '.join(prose(rng.randint(0, 90)))}"))
+    rows += [(1000 + i, " ".join(prose(rng.randint(5, 300)))) for i in range(30)]
+    got, want = found(spark, docs, rows, items, rank=rank), brute_matches(rows, items)
+    assert set(got) <= set(want)  # nothing that the checks would not confirm
+    assert {k for k in want if k[0] % 10 == 0} <= set(got)  # copies: all
+    assert len(got) >= 0.9 * len(want) and len(want) >= 2.5 * len(items)
+    for key, share in got.items():
+        assert share <= want[key] + 1e-4

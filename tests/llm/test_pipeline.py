@@ -4,13 +4,15 @@ import random
 from fractions import Fraction
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from __spark_entry__ import queries
-from tests.llm.conftest import DOCS
+from tests.llm.conftest import CLASHES, DOCS
 from tests.llm.test_langid import WORDS, text_of
 from tests.llm.test_mixing import brute_targets
 from tests.llm.test_simhash import plain_fingerprint, plain_groups
+from threadlake.session import materialize
 
 
 @pytest.fixture(scope="module")
@@ -84,3 +86,29 @@ def test_an_empty_corpus(spark, folder, tmp_path):
         spark.read.parquet(f"{folder}/{name}.parquet").limit(0).write.parquet(
             f"{root}/{name}.parquet")
     assert corpus_pipeline.run(spark, root).collect() == []
+
+
+def test_hard_rows_through_all_stages(spark, folder):
+    """Null ids and columns, repeated rows, ties, a very long text, extra columns with clashing names."""
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    rng = random.Random(5)
+    hard = [(None, text_of(rng, "en", 80), "en", "a"), (None, text_of(rng, "en", 80), None, None),
+            (7, text_of(rng, "en", 90), "en", "b"), (2000, text_of(rng, "en", 40_000), "en", "b"),
+            (2001, "the of and", "en", None)]
+    hard += [hard[3], hard[0]]
+    more = spark.createDataFrame([(*r, len(r[1])) for r in hard], DOCS)
+    docs = docs.unionByName(more).unionByName(docs.where("doc_id < 3"))
+    for name in CLASHES:
+        if name not in ("shard", *docs.columns):
+            docs = docs.withColumn(name, F.lit("x"))
+    columns = docs.columns
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, folder)
+        assert out.columns[:len(columns)] == columns
+        docs = materialize(out, name)
+        kept[name] = docs.collect()
+    texts = {name: [r.text for r in rows] for name, rows in kept.items()}
+    for row in hard:  # whatever its id, a clean text stays, once, and gets a shard
+        assert texts["near_dedup"].count(row[1]) == 1 and texts["decontamination"].count(row[1]) == 1
+    assert {r.shard for r in kept["shards"]} <= set(range(16))

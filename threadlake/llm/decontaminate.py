@@ -300,13 +300,15 @@ def build_index(spark: SparkSession, known: list[tuple], seen: dict[bytes, int],
             sizes.append(len(ids))
             cut.append(([*count], [c * float(weight[w]) for w, c in count.items()]))
             owner.append(i)
-    rows = spark.createDataFrame(cut, "ids array<int>, weights array<double>").repartition(8)
+    # Rows of length one: the factor is for cosines, and a short passage counts like a long one.
+    norms = np.array([np.linalg.norm(w) for _, w in cut])
+    rows = spark.createDataFrame([(ids, [x / float(n) for x in w]) for (ids, w), n in zip(cut, norms)],
+                                 "ids array<int>, weights array<double>").repartition(8)
     vectors = randomised_svd(rows, len(vocabulary), min(rank, len(cut)))
     other = np.log(1.0 + total) + 0.01
     # The factor has fewer columns than the block has passages and holds a share of each. Divided by
     # that share, a window with the whole passage in it scores as it would without the reduction.
     passages = np.stack([np.asarray(w) @ vectors[ids] for ids, w in cut])
-    norms = np.array([np.linalg.norm(w) for _, w in cut])
     held = np.maximum(HELD, (passages ** 2).sum(axis=1) / norms ** 2)
     norms *= held
     # Words of little weight decide nothing where every passage has heavier ones.

@@ -14,7 +14,8 @@ each language in hash order, whole texts, up to ``SAMPLE_CHARS`` characters per
 is scored whole.
 
 Cases. Null text or text without a letter: ``und``, score 0, not accepted. Null label or null id:
-never learned from. No labelled row at all: everything is ``und``. Repeated rows: each by itself.
+never learned from. No labelled row at all: everything is ``und``. Equal cross-entropies: the language
+whose name comes first. Repeated rows: each by itself.
 Empty table: no rows. Extra columns: kept by ``identify`` and ``keep_known``, whatever their names.
 """
 
