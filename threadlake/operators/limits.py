@@ -216,19 +216,20 @@ class Breaker:
 
     def __init__(self, threshold: int, window: int, cooldown: int):
         self.threshold, self.window, self.cooldown = threshold, window, cooldown
-        self.failures: list[int] = []
+        # the last ones are enough: the window holds ``threshold`` if it holds the first of these
+        self.failures: deque[int] = deque(maxlen=threshold)
         self.open_until = 0
 
     def success(self) -> None:
-        self.failures = []
+        self.failures.clear()
 
     def failure(self, now: int) -> bool:
         """True when this failure opens the breaker."""
-        self.failures = [t for t in self.failures if now - t < self.window]
         self.failures.append(now)
-        if len(self.failures) >= self.threshold and now >= self.open_until:
+        if (len(self.failures) == self.threshold and now - self.failures[0] < self.window
+                and now >= self.open_until):
             self.open_until = now + self.cooldown
-            self.failures = []
+            self.failures.clear()
             return True
         return False
 

@@ -9,7 +9,7 @@ from threadlake.functions import scalar
 from threadlake.operators import activity, delivery, limits, paging, presence, scope, validate
 from threadlake.operators.metrics import fanout_stats
 from threadlake.plans import bindings as b
-from threadlake.plans.registry import query
+from threadlake.plans.registry import PLAIN_SQL, query
 
 
 def _time(column: str) -> str:
@@ -545,6 +545,20 @@ def rate_limit(spark, sf):
     return limits.rate_limit(events, (3, 86_400, 21_600))
 
 
+@query("rate_limit_split", PLAIN_SQL["rate_limit"])
+def rate_limit_split(spark, sf):
+    """The same by the parallel form, as for a key of more rows than one task may walk."""
+    events = b.table(spark, sf, "events").select(
+        "user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"))
+    return limits.rate_limit(events, (3, 86_400, 21_600), max_walk_rows=20, max_group_rows=500)
+
+
+@query("unread_counts_split", PLAIN_SQL["unread_counts"])
+def unread_counts_split(spark, sf):
+    """Unread counts by ranges of a room's messages, as for a room of millions."""
+    return activity.unread_counts(b.memberships(spark, sf), b.messages(spark, sf), max_group_rows=500)
+
+
 @query("breaker_windows", f"""
     WITH RECURSIVE ev AS (
       SELECT stream_id, provider, epoch_us(created_at) AS t, ok,

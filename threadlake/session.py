@@ -104,9 +104,10 @@ def spread(df: DataFrame) -> DataFrame:
     """Use every core for work that costs far more than moving its rows.
 
     A few large files give a few scan tasks, which would then do all of it. Inputs that
-    already have a task per core are left alone, and so are streams.
+    already have a task per core are left alone, and so are streams and what comes out of a shuffle
+    (asking an adaptive plan for its partitions would run it).
     """
-    if df.isStreaming:
+    if df.isStreaming or df._jdf.queryExecution().executedPlan().nodeName() == "AdaptiveSparkPlan":
         return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

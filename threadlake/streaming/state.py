@@ -135,7 +135,8 @@ class BreakerProcessor(Expiring):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         batch = _in_order(rows, ["us", "stream_id"])
         machine = Breaker(*self.args)
-        machine.failures = [t[0] for t in self.failures.get()] if self.failures.exists() else []
+        if self.failures.exists():
+            machine.failures.extend(t[0] for t in self.failures.get())
         machine.open_until = self.until.get()[0] if self.until.exists() else 0
         opened = []
         for now, ok in zip(batch["us"], batch["ok"]):
