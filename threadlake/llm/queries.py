@@ -11,7 +11,7 @@ from threadlake.llm import (
     chat, chunkprint, decontaminate, langid, mixing, passages, pii, ranked, repair, secrets,
     sharding, simhash, toxicity,
 )
-from threadlake.llm.common import table
+from threadlake.llm.common import materialize, table
 from threadlake.session import use_utc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,11 +84,40 @@ def op2(spark, sf_dir):
 
 @query("op3_sharding")
 def op3(spark, sf_dir):
-    """Shard and slot of every document; equal texts stay together, sizes are near equal."""
+    """Shard and slot of every document; equal texts stay together, sizes are near equal.
+
+    Small groups enter the bins in bundles of up to 1/512 of a shard, larger ones by themselves, so the
+    packing task is bounded; an item that fits no bin's room goes to the emptiest one.
+    """
     return sharding.plan(table(spark, sf_dir, "documents")).withColumns({
         "law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
 
 
+@query("sharding_capacity", """
+    WITH sizes AS (
+      SELECT coalesce(strlen(text), 0) + 1 AS size, coalesce(text, chr(0) || 'null') AS same FROM documents),
+    groups AS (SELECT same, sum(size)::BIGINT AS size FROM sizes GROUP BY same)
+    SELECT count(*) AS groups, sum(size)::BIGINT AS bytes, true AS all_fit, true AS few_shards FROM groups""")
+def sharding_capacity(spark, sf_dir):
+    """The fewest shards of 256 KiB for all groups of equal texts: whether every shard holds to the
+    capacity (a larger group is alone), and whether they are at most 11/9 of the least possible
+    number, and one a zone."""
+    capacity = 1 << 18
+    groups = materialize(table(spark, sf_dir, "documents").select(
+        sharding.size_bytes(F.col("text")).alias("_size"),
+        sharding.group_key(F.col("text")).alias("_group")).groupBy("_group").agg(
+        F.sum("_size").alias("_size")), "groups")
+    shards = groups.join(sharding.pack(groups, capacity), "_group").groupBy("_shard").agg(
+        F.sum("_size").alias("held"), F.count(F.lit(1)).alias("n"), F.max("_size").alias("largest"))
+    # a group above the capacity fills the shards that its size would
+    least = F.ceil(F.sum("held") / capacity)
+    zones = F.ceil(F.sum("held") / (capacity * sharding.ZONE_SHARDS))
+    return shards.agg(
+        F.sum("n").alias("groups"), F.sum("held").cast("bigint").alias("bytes"),
+        F.every((F.col("held") <= capacity) | (F.col("n") == 1)).alias("all_fit"),
+        (F.count(F.lit(1)) <= 11 * least / 9 + zones).alias("few_shards"))
+
+
 @query("op4_secrets")
 def op4(spark, sf_dir):
     """Secrets in every document."""
