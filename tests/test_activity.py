@@ -426,22 +426,31 @@ def test_rate_limit_of_a_key_that_never_pauses(spark):
         assert pairs(got, "event_id", "allowed", "retry_after") == want
 
 
-def test_breaker_matches_one_machine(spark):
-    rng = random.Random(4)
+def plain_breaker(rows, threshold, window, cooldown):
+    """Openings by the rule itself: all failures of the window are kept."""
+    failures, until, out = {}, {}, []
+    for provider, i, ok, ts in rows:
+        now = int(ts.timestamp())
+        held = [] if ok else [t for t in failures.get(provider, []) if now - t < window] + [now]
+        if not ok and len(held) >= threshold and now >= until.get(provider, 0):
+            until[provider], held = now + cooldown, []
+            out.append((i,))
+        failures[provider] = held
+    return out
+
+
+@pytest.mark.parametrize("seed,threshold,share", [(4, 3, .3), (5, 1, .3), (6, 5, .02), (7, 2, 0)])
+def test_breaker_matches_one_machine(spark, seed, threshold, share):
+    rng = random.Random(seed)
     rows, now = [], 0
     for i in range(500):
-        now += rng.choice([1, 5, 10, 30])
-        rows.append(("p", i, rng.random() < .3, at(now)))
-    machine, want = limits.Breaker(3, 60_000_000, 30_000_000), []
-    for _, i, ok, ts in rows:
-        if ok:
-            machine.success()
-        elif machine.failure(int(ts.timestamp() * 1e6)):
-            want.append((i,))
+        now += rng.choice([0, 1, 1, 5, 10, 30])
+        rows.append((rng.choice("ppppq"), i, rng.random() < share, at(now)))
+    want = plain_breaker(rows, threshold, 60, 30)
     df = spark.createDataFrame(rows, "provider string, stream_id long, ok boolean, "
                                      "created_at timestamp")
-    for limit in (10_000, 50):
-        got = limits.breaker_windows(df, 3, 60, 30, max_group_rows=limit)
+    for how in ({}, {"max_group_rows": 50}, {"max_walk_rows": 7, "max_group_rows": 100}):
+        got = limits.breaker_windows(df, threshold, 60, 30, **how)
         assert want and pairs(got, "stream_id") == want
 
 

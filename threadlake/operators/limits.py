@@ -13,7 +13,7 @@ from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadlake.constants import (
@@ -71,26 +71,51 @@ def _refusals(ranked: DataFrame, key: str, limit: int, window: int, mute: int,
 
     Action j can start a mute when its ``limit`` predecessors lie inside the window and its
     phase began before all of them. The next phase begins at the first action after the mute,
-    so the following mute starts at the first such action ``limit`` places later: a link
-    j -> successor that depends on j alone. The mutes that really happen are the chain of
-    links from the key's first candidate. It is followed in parallel: every chunk of positions
-    reduces to a few steps (entry range -> exit), one pass over these steps finds each chunk's
-    entry, and the chunks mark their part of the chain.
+    so the following mute starts at the first such action ``limit`` places later.
     """
     earlier = ranked.select(key, (F.col("_pos") + limit).alias("_pos"),
                             F.col("_us").alias("_then"))
     full = materialize(ranked.join(earlier, [key, "_pos"]).where(
         F.col("_us") - F.col("_then") < window).select(key, "_pos", "_us"), "full")
+    return _chain(ranked, full, key, mute, F.col("_n") + 1 + limit, chunk_rows, **split)
 
+
+def _openings(ranked: DataFrame, key: str, threshold: int, window: int, cooldown: int,
+              chunk_rows: int, **split) -> DataFrame:
+    """(key, _pos): the failures that open a breaker, for outages too long to walk.
+
+    Failure j can open it when it and the ``threshold - 1`` before it are of one run and inside the
+    window. Then the failures start anew, so the next opening is the first such failure
+    ``threshold`` places later that comes after the cooldown.
+    """
+    earlier = ranked.select(key, (F.col("_pos") + threshold - 1).alias("_pos"),
+                            F.col("_us").alias("_then"), F.col("_run").alias("_then_run"))
+    full = materialize(ranked.join(earlier, [key, "_pos"]).where(
+        (F.col("_us") - F.col("_then") < window) & (F.col("_run") == F.col("_then_run"))).select(
+        key, "_pos", "_us"), "full")
+    return _chain(ranked, full, key, cooldown,
+                  F.greatest(F.col("_n") + 1, F.col("_tie") + threshold), chunk_rows, **split)
+
+
+def _chain(ranked: DataFrame, full: DataFrame, key: str, hold: int, least: Column,
+           chunk_rows: int, **split) -> DataFrame:
+    """(key, _pos): the candidates ``full(key, _pos, _us)`` that really happen.
+
+    After candidate ``_tie`` the next one is the first at position ``least`` or later, where ``_n``
+    is the number of rows before its hold is over: a link that depends on the candidate alone. What
+    happens is the chain of links from the key's first candidate. It is followed in parallel: every
+    chunk of positions reduces to a few steps (entry range -> exit), one pass over these steps finds
+    each chunk's entry, and the chunks mark their part of the chain.
+    """
     none = F.lit(None).cast("bigint")
-    ends = full.select(key, (F.col("_us") + mute).alias("_at"), F.lit(0).alias("_side"),
+    ends = full.select(key, (F.col("_us") + hold).alias("_at"), F.lit(0).alias("_side"),
                        F.col("_pos").alias("_tie"), F.lit(0).cast("bigint").alias("_one"))
     timeline = ends.unionByName(ranked.select(
         key, F.col("_us").alias("_at"), F.lit(1).alias("_side"), F.col("_pos").alias("_tie"),
         F.lit(1).cast("bigint").alias("_one")))
     passed = windowed(timeline, [key], ["_at", "_side", "_tie"], {"_n": ("sum", "_one")},
                       **split).where("_side = 0")
-    seek = passed.select(key, (F.col("_n") + 1 + limit).alias("_at"), F.lit(1).alias("_side"),
+    seek = passed.select(key, least.alias("_at"), F.lit(1).alias("_side"),
                          F.col("_tie").alias("_j"), none.alias("_found"))
     targets = full.select(key, F.col("_pos").alias("_at"), F.lit(0).alias("_side"),
                           F.col("_pos").alias("_j"), F.col("_pos").alias("_found"))
@@ -236,12 +261,14 @@ class Breaker:
 
 def breaker_windows(calls: DataFrame, threshold: int = BREAKER_THRESHOLD,
                     window_seconds: int = BREAKER_WINDOW_SECONDS,
-                    cooldown_seconds: int = BREAKER_COOLDOWN_SECONDS, **split) -> DataFrame:
+                    cooldown_seconds: int = BREAKER_COOLDOWN_SECONDS,
+                    max_walk_rows: int = MAX_WALK_ROWS, **split) -> DataFrame:
     """Open phases per provider.
 
     A success clears the failure list, so only unbroken runs of at least ``threshold``
     failures can open the breaker. Successes and shorter runs are dropped before anything is
-    walked; what is left is rare outside outages.
+    walked; what is left is rare outside outages. Outages of more than ``max_walk_rows`` failures
+    without a pause are solved in parallel.
     """
     window, cooldown = window_seconds * 1_000_000, cooldown_seconds * 1_000_000
     rows = calls.select("provider", "stream_id", "ok", F.unix_micros("created_at").alias("_us"),
@@ -254,6 +281,15 @@ def breaker_windows(calls: DataFrame, threshold: int = BREAKER_THRESHOLD,
     risky = materialize(failures.join(long_runs, ["provider", "_run"], "left_semi"), "risky")
     split["largest"] = largest_group(risky, ["provider"])
     pieces = _pieces(risky, ["provider"], ["_us", "stream_id"], max(window, cooldown), **split)
+    times = (F.timestamp_micros("_us").alias("opened_at"),
+             F.timestamp_micros(F.col("_us") + cooldown).alias("open_until"))
+    if (split["largest"] > max_walk_rows
+            and largest_group(pieces, ["provider", "_piece"]) > max_walk_rows):
+        rest = {k: v for k, v in split.items() if k != "largest"}
+        ranked = materialize(rank_within(risky, ["provider"], ["_us", "stream_id"], "_pos", **rest),
+                             "ranked")
+        opened = _openings(ranked, "provider", threshold, window, cooldown, max_walk_rows, **rest)
+        return ranked.join(opened, ["provider", "_pos"]).select("provider", "stream_id", *times)
     ordered = pieces.repartition("provider", "_piece").sortWithinPartitions(
         "provider", "_piece", "_us", "stream_id")
 
@@ -272,5 +308,4 @@ def breaker_windows(calls: DataFrame, threshold: int = BREAKER_THRESHOLD,
             yield batch.loc[opened, ["provider", "stream_id", "_us"]]
 
     return ordered.mapInPandas(walk, "provider string, stream_id bigint, _us bigint").select(
-        "provider", "stream_id", F.timestamp_micros("_us").alias("opened_at"),
-        F.timestamp_micros(F.col("_us") + cooldown).alias("open_until"))
+        "provider", "stream_id", *times)

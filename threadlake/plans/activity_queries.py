@@ -581,3 +581,10 @@ def unread_counts_split(spark, sf):
 def breaker_windows(spark, sf):
     """Three failures in an hour open for half an hour."""
     return limits.breaker_windows(b.ai_calls(spark, sf), 3, 3600, 1800)
+
+
+@query("breaker_windows_split", PLAIN_SQL["breaker_windows"])
+def breaker_windows_split(spark, sf):
+    """The same by the parallel form, as for an outage of more failures than one task may walk."""
+    return limits.breaker_windows(b.ai_calls(spark, sf), 3, 3600, 1800, max_walk_rows=5,
+                                  max_group_rows=500)
