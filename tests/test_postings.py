@@ -74,19 +74,19 @@ def test_the_scan_reads_the_tokens_and_their_buckets(spark, folder):
     wanted = spark.createDataFrame([("word3",), ("word9",)], "token string")
     out = io.StringIO()
     with contextlib.redirect_stdout(out):
-        index.postings(wanted).explain("formatted")
+        index.postings(index.wanted(wanted)).explain("formatted")
     text = out.getvalue()
     assert "In(token, [word3,word9])" in text and "bucket#" in text.split("PartitionFilters: ")[1].split("\n")[0]
-    assert {r.token for r in index.postings(wanted).collect()} == {"word3", "word9"}
+    assert {r.token for r in index.postings(index.wanted(wanted)).collect()} == {"word3", "word9"}
     many = spark.createDataFrame([(f"word{i}",) for i in range(600)], "token string")
-    assert index.postings(many).count() == index.table("postings").where("token LIKE 'word%'").count()
+    assert index.postings(index.wanted(many)).count() == index.table("postings").where("token LIKE 'word%'").count()
 
 
 def test_blocks_bound_their_postings(spark, folder):
     index = PostingTable(spark, f"{folder}/index")
     for n in range(3):
         index.add(frame(spark, corpus(n, 100, 100 * n)))
-    every = index.table("postings").select("token").distinct()
+    every = index.wanted(index.table("postings"))
     blocks = {(r.token, r.room_id, r.level): r for r in index.blocks(every).collect()}
     count = 0
     for r in index.postings(every).collect():

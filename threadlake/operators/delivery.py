@@ -9,8 +9,8 @@ from threadlake.operators.ordered import rank_within, top_within
 from threadlake.session import materialize
 
 
-# Members by one word of a bitmap, and words that are counted together.
-_WORD, _BLOCK = 64, 64
+# Members that one word of a bitmap stands for.
+_WORD = 64
 
 
 def delivery_audit(messages: DataFrame, members: DataFrame,
@@ -19,43 +19,34 @@ def delivery_audit(messages: DataFrame, members: DataFrame,
 
     A room's members have ordinals, and what reached them of a message is a bitmap: one 64-bit word
     for 64 members, made where there are receipts. Counts come first: a message whose bits are as many
-    as the members other than the sender is complete, and so is a block of words; only the words of
-    incomplete blocks are compared with the room's, and only bits not set become rows. So the work
-    follows the receipts and the result, also where one member of a large room is silent.
+    as the members other than the sender is complete and is looked at no further. Of the others the
+    words are compared with the room's, and only bits not set become rows. A message's words are a
+    64th of its receipts and missing members together, so the work follows the receipts and the
+    result, also where one member of a large room is silent.
     """
     members = members.select("room_id", "user_id").distinct()
     spots = materialize(rank_within(members, ["room_id"], ["user_id"], "_n").select(
-        "room_id", "user_id", ((F.col("_n") - 1) / _WORD).cast("bigint").alias("_word"),
+        "room_id", "user_id", F.expr(f"(_n - 1) DIV {_WORD}").alias("_word"),
         F.pmod(F.col("_n") - 1, F.lit(_WORD)).cast("int").alias("_bit")), "ordinals")
-    bit = F.expr("shiftleft(1L, _bit)")
-    words = spots.groupBy("room_id", "_word").agg(F.bit_or(bit).alias("_all")).withColumn(
-        "_block", (F.col("_word") / _BLOCK).cast("bigint"))
-    words = materialize(words, "words")
-    sent = messages.select("message_id", "room_id", "sender_id").join(
-        spots.select("room_id", F.col("user_id").alias("sender_id"), F.col("_word").alias("_own_word"),
-                     bit.alias("_own")), ["room_id", "sender_id"], "left")
-    sent = materialize(sent, "sent")
+    bit, none = F.expr("shiftleft(1L, _bit)"), F.lit(0).cast("bigint")
+    sent = messages.select("message_id", "room_id", "sender_id")
     got = materialize(
-        receipts.select("message_id", "user_id").join(
-            sent.select("message_id", "room_id", "sender_id"), "message_id")
+        receipts.select("message_id", "user_id").join(sent, "message_id")
         .where(F.col("user_id") != F.col("sender_id")).join(spots, ["room_id", "user_id"])
         .groupBy("message_id", "_word").agg(F.bit_or(bit).alias("_bits")), "got")
-    count = F.sum(F.bit_count("_bits"))
-    whole = sent.join(words.groupBy("room_id").agg(F.sum(F.bit_count("_all")).alias("_size")),
-                      "room_id").join(got.groupBy("message_id").agg(count.alias("_held")), "message_id", "left")
-    incomplete = whole.where(F.coalesce("_held", F.lit(0))
-                             < F.col("_size") - F.when(F.col("_own").isNotNull(), 1).otherwise(0)).select(
+    words = spots.groupBy("room_id", "_word").agg(F.bit_or(bit).alias("_all"))
+    size = spots.groupBy("room_id").agg(F.count(F.lit(1)).alias("_size"))
+    own = spots.select("room_id", F.col("user_id").alias("sender_id"),
+                       F.col("_word").alias("_own_word"), bit.alias("_own"))
+    held = got.groupBy("message_id").agg(F.sum(F.bit_count("_bits")).alias("_held"))
+    incomplete = sent.join(size, "room_id").join(own, ["room_id", "sender_id"], "left").join(
+        held, "message_id", "left").where(
+        F.coalesce("_held", F.lit(0)) < F.col("_size") - F.col("_own").isNotNull().cast("int")).select(
         "message_id", "room_id", "_own_word", "_own")
-    by_block = got.groupBy("message_id", (F.col("_word") / _BLOCK).cast("bigint").alias("_block")).agg(
-        count.alias("_held"))
-    sizes = words.groupBy("room_id", "_block").agg(F.sum(F.bit_count("_all")).alias("_size"))
-    in_block = F.when((F.col("_own_word") / _BLOCK).cast("bigint") == F.col("_block"), 1).otherwise(0)
-    blocks = incomplete.join(sizes, "room_id").join(by_block, ["message_id", "_block"], "left").where(
-        F.coalesce("_held", F.lit(0)) < F.col("_size") - in_block).drop("_held", "_size")
-    own = F.when(F.col("_own_word") == F.col("_word"), F.col("_own")).otherwise(F.lit(0).cast("bigint"))
-    missing = blocks.join(words, ["room_id", "_block"]).join(got, ["message_id", "_word"], "left").select(
+    mine = F.when(F.col("_own_word") == F.col("_word"), F.col("_own")).otherwise(none)
+    missing = incomplete.join(words, "room_id").join(got, ["message_id", "_word"], "left").select(
         "message_id", "room_id", "_word", F.col("_all").bitwiseAND(F.bitwise_not(
-            F.coalesce("_bits", F.lit(0).cast("bigint")).bitwiseOR(own))).alias("_miss"))
+            F.coalesce("_bits", none).bitwiseOR(mine))).alias("_miss"))
     bits = F.explode(F.expr(
         f"filter(sequence(0, {_WORD - 1}), i -> (shiftrightunsigned(_miss, i) & 1) = 1)"))
     return missing.where("_miss <> 0").select("message_id", "room_id", "_word", bits.alias("_bit")).join(

@@ -86,19 +86,19 @@ def indexed_leg(queries: DataFrame, index: PostingTable, scope: DataFrame, k: in
     ``queries(query_id, question)``; the index holds the corpus.
     """
     n, mean = index.statistics()
-    tokens = query_tokens(queries)
-    asked = tokens.join(scope, "query_id")
-    df = index.frequencies(tokens)
+    tokens = materialize(query_tokens(queries), "tokens")
+    asked, wanted = tokens.join(scope, "query_id"), index.wanted(tokens)
+    df = materialize(index.frequencies(wanted), "frequencies")
     idf = F.log(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     worth = df.select("token", "df", idf.alias("idf"))
-    postings = index.postings(tokens).join(worth, "token").select(
+    postings = index.postings(wanted).join(worth, "token").select(
         "token", "room_id", "level", "doc_id",
         (F.col("idf") * weight(F.col("tf"), F.col("length"), mean)).alias("weight"))
     volume = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("_q")).join(df, "token").agg(
         F.sum(F.col("_q") * F.col("df"))).first()[0] or 0
     if volume <= direct_pairs:
         return _total(asked.join(postings, ["token", "room_id"]), k)
-    blocks = index.blocks(tokens).join(worth, "token").select(
+    blocks = index.blocks(wanted).join(worth, "token").select(
         "token", "room_id", "level", "documents",
         (F.col("idf") * weight(F.col("tf"), F.col("length"), mean)).alias("bound"))
     return _bounded(asked, tokens, postings, materialize(blocks, "blocks"), k)

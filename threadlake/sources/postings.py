@@ -10,6 +10,8 @@ corpus statistics. A repeated batch replaces its own folders, so a replay change
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,6 +46,19 @@ def weight(tf: Column, length: Column, mean: float) -> Column:
     return tf * (BM25_K1 + 1) / (tf + norm)
 
 
+@dataclass(frozen=True)
+class Wanted:
+    """Tokens to look up: a table of them and, if they are few, the list and their buckets."""
+    tokens: DataFrame
+    listed: list[str] | None
+    buckets: list[int] | None
+
+    def of(self, rows: DataFrame) -> DataFrame:
+        if self.listed is not None:
+            return rows.where(F.col("token").isin(self.listed))
+        return rows.join(self.tokens, "token", "left_semi")
+
+
 class PostingTable:
     def __init__(self, spark: SparkSession, root: str, id_type: str = "string"):
         self.spark, self.root, self.id_type = spark, root.rstrip("/"), id_type
@@ -108,38 +123,39 @@ class PostingTable:
         n, tokens = self.table("totals").agg(F.sum("documents"), F.sum("tokens")).first()
         return n or 0, (tokens or 0) / n if n else 0.0
 
-    def _of(self, rows: DataFrame, wanted: DataFrame, bucketed: bool) -> DataFrame:
-        """Rows of the wanted tokens: as a list in the scan, or by a join beyond a number of them."""
-        some = [r["token"] for r in wanted.select("token").distinct().limit(LISTED_TOKENS + 1).collect()]
+    def wanted(self, tokens: DataFrame) -> Wanted:
+        """The distinct ``token`` of a table, as a list for the scan if they are few."""
+        distinct = tokens.select("token").distinct()
+        some = [r["token"] for r in distinct.limit(LISTED_TOKENS + 1).collect()]
         if len(some) <= LISTED_TOKENS:
-            rows = rows.where(F.col("token").isin(some))
-        else:
-            rows = rows.join(wanted.select("token").distinct(), "token", "left_semi")
-        if bucketed:  # at most BUCKETS numbers
-            used = [r["b"] for r in wanted.select(bucket(F.col("token")).alias("b")).distinct().collect()]
-            rows = rows.where(F.col("bucket").isin(used))
-        return rows
-
-    def postings(self, wanted: DataFrame) -> DataFrame:
+            return Wanted(distinct, some, sorted({r["b"] for r in distinct.select(
+                bucket(F.col("token")).alias("b")).distinct().collect()}))
+        return Wanted(distinct, None, None)  # so many have a token in nearly every bucket
+
+    def postings(self, wanted: Wanted) -> DataFrame:
         """``token, room_id, level, doc_id, tf, length`` of the wanted tokens in texts not replaced."""
-        rows = self._of(self.table("postings"), wanted, True)
-        gone = self.table("gone")
-        if not gone.isEmpty():
-            rows = rows.join(gone.select("doc_id", F.col("old").alias("batch")), ["doc_id", "batch"],
-                             "left_anti")
+        rows = wanted.of(self.table("postings"))
+        if wanted.buckets is not None:
+            rows = rows.where(F.col("bucket").isin(wanted.buckets))
+        if self.replaced():
+            rows = rows.join(self.table("gone").select("doc_id", F.col("old").alias("batch")),
+                             ["doc_id", "batch"], "left_anti")
         return rows.select("token", "room_id", "level", "doc_id", "tf", "length")
 
-    def blocks(self, wanted: DataFrame) -> DataFrame:
+    def replaced(self) -> bool:
+        return not self.table("gone").isEmpty()
+
+    def blocks(self, wanted: Wanted) -> DataFrame:
         """``token, room_id, level, documents, tf, length``: the wanted tokens' blocks over all batches.
 
         Replaced texts still count in ``documents`` and in the bounds, which stay bounds.
         """
-        return self._of(self.table("blocks"), wanted, False).groupBy("token", "room_id", "level").agg(
+        return wanted.of(self.table("blocks")).groupBy("token", "room_id", "level").agg(
             F.sum("documents").alias("documents"), F.max("tf").alias("tf"),
             F.min("length").alias("length"))
 
-    def frequencies(self, wanted: DataFrame) -> DataFrame:
+    def frequencies(self, wanted: Wanted) -> DataFrame:
         """``token, df``: texts that hold each wanted token."""
-        if self.table("gone").isEmpty():
+        if not self.replaced():
             return self.blocks(wanted).groupBy("token").agg(F.sum("documents").alias("df"))
         return self.postings(wanted).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
