@@ -13,7 +13,8 @@ BATCH = sorted(k for k in QUERIES if not k.startswith("stream_") and k != "dead_
 ARROW = {"hash_embed", "vector_knn", "vector_knn_bounded", "vector_knn_recall", "vector_leg",
          "rrf_fusion", "hybrid_search", "hybrid_search_documents", "rerank_overlap",
          "pack_to_budget", "build_context", "map_citations", "eval_retrieval", "eval_compare",
-         "text_contains", "text_contains_short", "anchor_join", "rate_limit", "breaker_windows"}
+         "text_contains", "text_contains_short", "anchor_join", "rate_limit", "rate_limit_split",
+         "breaker_windows", "breaker_windows_split"}
 
 
 def plan(df) -> str:
