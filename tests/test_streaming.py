@@ -299,3 +299,17 @@ def test_failing_rows_are_dead_once_after_their_last_attempt(own, folder):
     assert pairs(table.read("dead"), "id", "attempts") == [(2, 5), (6, 5)]
     documents = ingest.stream_with_retries(source.stream(), attempt, f"{folder}/docs", "document")
     assert pairs(documents.read("dead"), "id", "attempts") == [(2, 3), (3, 3), (6, 3)]
+
+
+@pytest.mark.parametrize("key", ["dead_letter", "stream_ingest", "stream_doc_ingest", "stream_dedup_send"])
+def test_streams_read_tables_of_several_files(spark, folder, key):
+    import os
+    from threadlake.plans.catalog import QUERIES
+    whole = "/root/testdata/sf0.001"
+    for name in os.listdir(whole):
+        if name.split(".")[0] in ("documents", "conversations", "events"):
+            spark.read.parquet(f"{whole}/{name}").repartition(3).write.parquet(f"{folder}/{name}")
+        else:
+            os.symlink(f"{whole}/{name}", f"{folder}/{name}")
+    got, want = (sorted(map(str, QUERIES[key](spark, sf).collect())) for sf in (folder, whole))
+    assert got == want and got

@@ -44,10 +44,12 @@ def rooms(spark, sf) -> DataFrame:
 
 
 def stream_table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    """The same Parquet file as a stream."""
+    """The same table as a stream, whether it is one file or a folder of files.
+
+    A pattern, as a stream takes a plain path for a folder.
+    """
     return (spark.readStream.schema(table(spark, sf, name).schema)
-            .option("pathGlobFilter", f"{name}.parquet")
-            .option("maxBytesPerTrigger", str(64 << 30)).parquet(sf))
+            .option("maxBytesPerTrigger", str(64 << 30)).parquet(f"{sf}/{name}[.]parquet"))
 
 
 def messages(spark, sf, events: DataFrame | None = None) -> DataFrame:
