@@ -387,3 +387,21 @@ def test_eval_measures(spark):
     assert pairs(per, "query_id", "recall_at_5", "reciprocal_rank") == [
         (1, 0.5, 0.5), (2, 0.0, 0.0), (3, 0.0, 0.0)]
     assert pairs(evaluation.misses(expected, ranked), "query_id", "key") == [(1, "a"), (2, "z")]
+
+
+def test_knn_by_cells_writes_no_tables_and_keeps_ties(spark):
+    import os
+    from threadlake.session import scratch_dir
+    rows = [(i, i % 2, [1.0, float(i % 3), float(i % 7 == 0)]) for i in range(300)]  # large groups of copies
+    p = spark.createDataFrame(rows, "point_id long, room_id int, vector array<float>")
+    q = spark.createDataFrame([(i, v) for i, _, v in rows[:30]], "query_id long, vector array<float>")
+    s = spark.createDataFrame([(i, r) for i in range(30) for r in range(2)], "query_id long, room_id int")
+    path = scratch_dir(spark).removeprefix("file://")
+    before = set(os.listdir(path)) if os.path.isdir(path) else set()
+    got = pairs(vector_knn(q, p, s, 6, 8, 40), "query_id", "rank", "point_id")
+    assert not {n for n in os.listdir(path) if n not in before} if os.path.isdir(path) else True
+    units = np.array([v for _, _, v in rows])
+    units /= np.linalg.norm(units, axis=1, keepdims=True)
+    scores = np.round(units[:30] @ units.T, 6)
+    assert got == [(i, n + 1, j) for i in range(30) for n, j in enumerate(
+        sorted(range(300), key=lambda j: (-scores[i, j], j))[:6])]
