@@ -106,3 +106,21 @@ def test_embedding_in_slices(monkeypatch):
     whole = embed_rows(lists, texts, 16)
     monkeypatch.setattr(embedding, "_TOKENS_AT_ONCE", 1)
     assert np.allclose(whole, embed_rows(lists, texts, 16))
+
+
+def test_embedding_keeps_little_of_a_batch_as_objects(monkeypatch):
+    import pyarrow as pa
+    from threadlake.functions import embedding
+    lists = [[f"w{i % 97}", f"v{i}", "x"] if i % 5 else [] for i in range(2000)]
+    texts = [None if i % 7 == 0 else " ".join(t) or "?" for i, t in enumerate(lists)]
+    lists = [None if t is None else x for t, x in zip(texts, lists)]
+    whole, seen = embed_rows(lists, texts, 8), []
+    rows = embedding.embed_rows
+    monkeypatch.setattr(embedding, "_TOKENS_AT_ONCE", 100)
+    monkeypatch.setattr(embedding, "embed_rows", lambda t, x, d: seen.append(
+        sum(map(len, t))) or rows(t, x, d))
+    got = embedding.embed_arrays(pa.array(lists).slice(1), pa.array(texts).slice(1), 8).to_pylist()
+    assert max(seen) <= 100 and len(got) == 1999
+    assert all((a is None) == (b is None) and (a is None or np.allclose(a, b))
+               for a, b in zip(got, whole[1:]))
+    assert embedding.embed_arrays(pa.array([], pa.list_(pa.string())), pa.array([], pa.string()), 8).to_pylist() == []

@@ -12,15 +12,16 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from threadlake.constants import EMBED_DIMS, EMBED_STEP
 from threadlake.functions.scalar import tokenize
 
-# Tokens embedded together; bounds a task's memory whatever the text lengths are.
-_TOKENS_AT_ONCE = 200_000
+# Tokens embedded together; bounds a task's memory whatever the text lengths and the batches are.
+_TOKENS_AT_ONCE = 32_768
 
 
 def token_vectors(tokens: list[str], dims: int) -> np.ndarray:
@@ -63,9 +64,25 @@ def embed_rows(token_lists: list, texts: list, dims: int) -> list:
     return out
 
 
+def embed_arrays(tokens: pa.Array, texts: pa.Array, dims: int) -> pa.Array:
+    """``embed_rows`` of Arrow columns; a slice of ``_TOKENS_AT_ONCE`` at a time becomes Python objects."""
+    kind = pa.list_(pa.float64())
+    sizes = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(sizes)
+    out, start = [pa.array([], kind)], 0
+    while start < len(texts):
+        before = ends[start - 1] if start else 0
+        size = max(1, int(np.searchsorted(ends, before + _TOKENS_AT_ONCE, "right")) - start)
+        words = tokens.slice(start, size).flatten().to_numpy(zero_copy_only=False)
+        lists = np.split(words, np.cumsum(sizes[start:start + size])[:-1])
+        out.append(pa.array(embed_rows(lists, texts.slice(start, size).to_pylist(), dims), kind))
+        start += size
+    return pa.concat_arrays(out)
+
+
 def embed(text: Column, dims: int = EMBED_DIMS) -> Column:
-    @F.pandas_udf("array<double>")
-    def run(tokens: pd.Series, texts: pd.Series) -> pd.Series:
-        return pd.Series(embed_rows(list(tokens), list(texts), dims))
+    @F.arrow_udf("array<double>")
+    def run(tokens: pa.Array, texts: pa.Array) -> pa.Array:
+        return embed_arrays(tokens, texts, dims)
 
     return run(tokenize(text), text)
