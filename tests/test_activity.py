@@ -162,6 +162,19 @@ def test_text_contains_matches_brute_force(spark):
     assert pairs(validate.name_contains(t, "text", "CAT"), "tid") == [(0,), (1,), (2,)]
 
 
+def test_hits_of_a_batch_are_handed_on_bit_by_bit():
+    import pyarrow as pa
+    from types import SimpleNamespace
+    shared = SimpleNamespace(value=(validate._Needles([("a", 0, None), ("", 1, None), ("b", 2, None)]), [7, 8, 9]))
+    texts = ["ab", None, "", "b"] * 50
+    batch = pa.RecordBatch.from_arrays([pa.array(range(200)), pa.array(texts)], names=["i", "t"])
+    got = list(validate._occurrences(shared, pa.int64(), False, 40)(iter([batch])))
+    assert max(b.num_rows for b in got) == 40
+    rows = sorted((r["text_id"], r["needle_id"]) for b in got for r in b.to_pylist())
+    assert rows == sorted((i, n) for i, t in enumerate(texts) if t is not None
+                          for needle, n in (("a", 7), ("", 8), ("b", 9)) if needle in t)
+
+
 def test_text_contains_within_groups_and_with_nulls(spark):
     t = spark.createDataFrame([((1, 0), "a cat", 1), ((2, 0), "a cat", 2), ((3, 0), None, 1),
                                ((4, 0), "", 1), ((5, 0), "cat", None)],

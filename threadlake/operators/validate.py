@@ -107,18 +107,36 @@ class _Needles:
                 yield from self.rows[i]
 
 
-def _occurrences(shared, needle_type: pa.DataType, grouped: bool):
+# Hits that a task holds before it hands them on.
+HELD_HITS = 1 << 16
+
+
+def _occurrences(shared, needle_type: pa.DataType, grouped: bool, held: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton, ids = shared.value
         ids = pa.array(ids, needle_type)
         for batch in batches:
-            groups = batch.column(2).to_pylist() if grouped else [None] * batch.num_rows
-            hits = [(row, place) for row, (text, group) in enumerate(zip(
-                batch.column(1).to_pylist(), groups)) if text is not None
-                for place, own in automaton.within(text) if not grouped or own == group]
-            rows, places = (pa.array([h[k] for h in hits], pa.int64()) for k in (0, 1))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), ids.take(places)],
-                                             names=["text_id", "needle_id"])
+            rows, places = [], []
+
+            def hits() -> pa.RecordBatch:
+                out = pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array(rows, pa.int64())),
+                     ids.take(pa.array(places, pa.int64()))], names=["text_id", "needle_id"])
+                rows.clear()
+                places.clear()
+                return out
+
+            for row, text in enumerate(batch.column(1)):  # one text at a time becomes a Python string
+                if not text.is_valid:
+                    continue
+                group = batch.column(2)[row].as_py() if grouped else None
+                for place, own in automaton.within(text.as_py()):
+                    if not grouped or own == group:
+                        rows.append(row)
+                        places.append(place)
+                        if len(rows) == held:
+                            yield hits()
+            yield hits()
 
     return run
 
@@ -151,6 +169,6 @@ def text_contains(texts: DataFrame, needles: DataFrame, text_id: str, text: str,
             _Needles([(r[needle], i, r[group] if group else None) for i, r in enumerate(part)]),
             [r[needle_id] for r in part]))
         some = read.mapInArrow(_occurrences(
-            shared, to_arrow_type(kinds["needle_id"]), bool(group)), schema)
+            shared, to_arrow_type(kinds["needle_id"]), bool(group), HELD_HITS), schema)
         found = some if found is None else found.unionByName(some)
     return found.select(F.col("text_id").alias(text_id), F.col("needle_id").alias(needle_id))
