@@ -405,3 +405,35 @@ def test_knn_by_cells_writes_no_tables_and_keeps_ties(spark):
     scores = np.round(units[:30] @ units.T, 6)
     assert got == [(i, n + 1, j) for i in range(30) for n, j in enumerate(
         sorted(range(300), key=lambda j: (-scores[i, j], j))[:6])]
+
+
+def test_copies_of_anchors_and_texts_are_searched_once(spark, monkeypatch):
+    """30 copies of a message were 900 pairs."""
+    rows = [(100 * c + i, c % 2, f"copied text number {i} of a room") for c in range(1, 31) for i in range(3)]
+    messages = spark.createDataFrame(rows, "message_id long, room_id long, body string")
+    anchors = messages.select(F.col("message_id").alias("query_id"), F.lit("a").alias("anchor_id"), "room_id",
+                              F.substring("body", 3, 18).alias("contains"), F.lit("message").alias("kind"))
+    chunks = spark.createDataFrame([], "doc_id long, chunk_index int, room_id long, text string")
+    real, pairs_seen = evaluation.text_contains, []
+
+    def counted(*args, **named):
+        found = real(*args, **named)
+        pairs_seen.append(found.count())
+        return found
+
+    monkeypatch.setattr(evaluation, "text_contains", counted)
+    got = evaluation.resolve_anchors(anchors, messages, chunks).collect()
+    assert {r.query_id: r.key for r in got} == {
+        m: f"message:{(200 if room == 0 else 100) + m % 100}" for m, room, _ in rows}
+    assert pairs_seen == [6, 0]
+
+
+def test_a_search_builds_only_the_tables_it_reads(spark, monkeypatch):
+    from threadlake.plans import stored
+    built = []
+    real = stored.materialize
+    monkeypatch.setattr(stored, "materialize", lambda df, label: built.append(label) or real(df, label))
+    held = stored.Corpus(spark, "/root/testdata/sf0.001")
+    assert held.chunks.count() == held.chunks.count() > 0 and built == ["chunks"]
+    assert held.index.statistics()[0] > 0 and built == ["chunks"]
+    assert held.chunk_points.count() > 0 and built == ["chunks", "chunk_points"]

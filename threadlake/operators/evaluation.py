@@ -7,6 +7,25 @@ from pyspark.sql import functions as F
 
 from threadlake.functions.scalar import doc_key, message_key
 from threadlake.operators.validate import text_contains
+from threadlake.session import materialize
+
+
+def _first_holders(anchors: DataFrame, cells: DataFrame) -> DataFrame:
+    """(query_id, anchor_id, cell): the least ``cell`` of the anchor's room whose text holds it.
+
+    Equal texts of a room are read once, by their least cell, and equal anchors looked for once: with m
+    copies of a text there are m anchors and m texts, not their pairs.
+    """
+    known = anchors.where(F.col("contains").isNotNull() & F.col("room_id").isNotNull())
+    texts = cells.where(F.col("text").isNotNull() & F.col("room_id").isNotNull()).groupBy(
+        "room_id", "text").agg(F.min("cell").alias("cell")).select(
+        F.struct("room_id", "cell").alias("_at"), "room_id", "text")
+    wanted = materialize(known.select("room_id", "contains").distinct(), "anchors").withColumn(
+        "_needle", F.col("contains"))
+    found = text_contains(texts, wanted, "_at", "text", "_needle", "contains", group="room_id")
+    first = found.groupBy(F.col("_at.room_id").alias("room_id"), F.col("_needle").alias("contains")).agg(
+        F.min("_at.cell").alias("cell"))
+    return known.join(first, ["room_id", "contains"]).select("query_id", "anchor_id", "cell")
 
 
 def resolve_anchors(anchors: DataFrame, messages: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -15,20 +34,14 @@ def resolve_anchors(anchors: DataFrame, messages: DataFrame, chunks: DataFrame)
 
     ``anchors(query_id, anchor_id, room_id, contains, kind)``.
     """
-    tagged = anchors.withColumn("_id", F.concat_ws(
-        "#", F.col("query_id").cast("string"), F.col("anchor_id").cast("string")))
-    said = tagged.where(F.coalesce("kind", F.lit("message")) != "doc")
-    written = tagged.where(F.col("kind") == "doc")
-    hits = text_contains(messages, said, "message_id", "body", "_id", "contains",
-                         group="room_id").join(
-        said.select("_id", "query_id", "anchor_id"), "_id")
-    by_message = hits.groupBy("query_id", "anchor_id").agg(
-        message_key(F.min("message_id")).alias("key"))
-    cells = chunks.withColumn("_chunk", F.struct("doc_id", "chunk_index"))
-    found = text_contains(cells, written, "_chunk", "text", "_id", "contains",
-                          group="room_id").join(
-        written.select("_id", "query_id", "anchor_id"), "_id")
-    by_doc = found.groupBy("query_id", "anchor_id").agg(F.min("_chunk").alias("_c")).select(
+    said = anchors.where(F.coalesce("kind", F.lit("message")) != "doc")
+    written = anchors.where(F.col("kind") == "doc")
+    by_message = _first_holders(said, messages.select(
+        "room_id", F.col("message_id").alias("cell"), F.col("body").alias("text"))).groupBy(
+        "query_id", "anchor_id").agg(message_key(F.min("cell")).alias("key"))
+    by_doc = _first_holders(written, chunks.select(
+        "room_id", F.struct("doc_id", "chunk_index").alias("cell"), "text")).groupBy(
+        "query_id", "anchor_id").agg(F.min("cell").alias("_c")).select(
         "query_id", "anchor_id",
         doc_key(F.col("_c.doc_id"), F.col("_c.chunk_index")).alias("key"))
     return by_message.unionByName(by_doc)

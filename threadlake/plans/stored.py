@@ -1,12 +1,12 @@
 """The searchable corpus as the ingestion leaves it: points, chunks and the inverted index.
 
-Searches read these tables. They are built once per application and data folder, in the shared folder,
-from the whole tables: the rows are those that the ingest streams keep.
+Searches read these tables. Each is built when a search first reads it, once per application and data
+folder, in the shared folder, from the whole tables: the rows are those that the ingest streams keep.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,12 +17,33 @@ from threadlake.session import materialize, scratch_path
 from threadlake.sources.postings import PostingTable
 
 
-@dataclass
 class Corpus:
-    message_points: DataFrame  # knowledge messages with vectors
-    chunks: DataFrame          # of all documents
-    chunk_points: DataFrame    # chunks of memory-enabled rooms with vectors
-    index: PostingTable        # of the knowledge messages
+    def __init__(self, spark: SparkSession, sf: str):
+        self.spark, self.sf = spark, sf
+
+    @cached_property
+    def message_points(self) -> DataFrame:
+        """Knowledge messages with vectors."""
+        return materialize(search.message_points(
+            b.texts(self.spark, self.sf), b.rooms(self.spark, self.sf)), "message_points")
+
+    @cached_property
+    def chunks(self) -> DataFrame:
+        """Chunks of all documents."""
+        return materialize(chunk_documents(b.docs(self.spark, self.sf)), "chunks")
+
+    @cached_property
+    def chunk_points(self) -> DataFrame:
+        """Chunks of memory-enabled rooms with vectors."""
+        return materialize(search.chunk_points(self.chunks, b.rooms(self.spark, self.sf)), "chunk_points")
+
+    @cached_property
+    def index(self) -> PostingTable:
+        """Index of the knowledge messages."""
+        index = PostingTable(self.spark, scratch_path(self.spark, "index"))
+        index.add(search.message_corpus(
+            b.texts(self.spark, self.sf), b.rooms(self.spark, self.sf)), 0)
+        return index
 
 
 _BUILT: dict[tuple[str, str], Corpus] = {}
@@ -31,11 +52,5 @@ _BUILT: dict[tuple[str, str], Corpus] = {}
 def corpus(spark: SparkSession, sf: str) -> Corpus:
     key = (spark.sparkContext.applicationId, sf)
     if key not in _BUILT:
-        rooms, messages = b.rooms(spark, sf), b.texts(spark, sf)
-        index = PostingTable(spark, scratch_path(spark, "index"))
-        index.add(search.message_corpus(messages, rooms), 0)
-        chunks = materialize(chunk_documents(b.docs(spark, sf)), "chunks")
-        _BUILT[key] = Corpus(
-            materialize(search.message_points(messages, rooms), "message_points"), chunks,
-            materialize(search.chunk_points(chunks, rooms), "chunk_points"), index)
+        _BUILT[key] = Corpus(spark, sf)
     return _BUILT[key]
