@@ -50,3 +50,11 @@ def test_search_reads_the_stored_index_and_embeds_no_corpus(spark):
     assert "postings" in text and "conversations.parquet" not in text
     text = plan(QUERIES["vector_leg"](spark, SF))
     assert "conversations.parquet" not in text and "documents.parquet" not in text
+
+
+def test_packing_searches_once_and_hits_pick_the_texts(spark):
+    """The list is stored before it is read twice; the fused list before the texts are joined."""
+    text = plan(QUERIES["pack_to_budget"](spark, SF))
+    assert "FlatMapCoGroups" not in text and "postings" not in text
+    text = plan(QUERIES["hybrid_search"](spark, SF))
+    assert "FlatMapCoGroups" not in text and "LeftSemi" in text

@@ -351,7 +351,8 @@ def rerank_overlap(spark, sf):
 
 def _packed(spark, sf):
     questions, found = _retrieved(spark, sf)
-    packed = fusion.pack_to_budget(found, ["query_id"], "final_rank", budget=400)
+    # packing reads the list twice
+    packed = fusion.pack_to_budget(materialize(found, "found"), ["query_id"], "final_rank", budget=400)
     return questions, packed.withColumn(
         "sender_name", F.concat(F.lit("user "), F.col("sender_id").cast("string")))
 

@@ -13,7 +13,7 @@ from threadlake.operators.fusion import rrf_fusion
 from threadlake.operators.knn import vector_knn
 from threadlake.operators.lexical import indexed_leg, lexical_leg
 from threadlake.operators.scope import knowledge_filter, memory_gate
-from threadlake.session import spread
+from threadlake.session import materialize, spread
 from threadlake.sources.postings import PostingTable
 
 SOURCE_COLUMNS = ("key", "kind", "room_id", "text", "sender_id", "filename", "page",
@@ -73,10 +73,13 @@ def hybrid_retrieve_sources(questions: DataFrame, points: DataFrame, sources: Da
                             index: PostingTable | None = None) -> DataFrame:
     """``hybrid_retrieve`` where ``sources`` lists further sources, with or without vectors; a
     source also in ``points`` is taken from there."""
-    fused = rrf_fusion(vector_leg(questions, points, scope),
-                       message_lexical_leg(questions, messages, rooms, scope, index=index))
-    held = points.select(*SOURCE_COLUMNS)
-    known = held.unionByName(sources.select(*SOURCE_COLUMNS).join(
+    # stored: its size tells whether the texts have to be moved to the hits or the hits to the texts
+    fused = materialize(rrf_fusion(
+        vector_leg(questions, points, scope),
+        message_lexical_leg(questions, messages, rooms, scope, index=index)), "fused")
+    hit = fused.select("key").distinct()
+    held = points.select(*SOURCE_COLUMNS).join(hit, "key", "left_semi")
+    known = held.unionByName(sources.select(*SOURCE_COLUMNS).join(hit, "key", "left_semi").join(
         held.select("key"), "key", "left_anti"))
     ranked = fused.join(known, "key").join(questions.select("query_id", "question"),
                                            "query_id")
