@@ -48,3 +48,13 @@ def test_nearest_rank(spark, values, limit):
     for p in (50, 95, 100):
         at = max(0, min(len(ordered) - 1, -(-p * len(ordered) // 100) - 1))
         assert got[f"p{p}"] == ordered[at]
+
+
+def test_the_ranges_do_not_grow_with_the_rows(spark, monkeypatch):
+    from threadlake.operators import ordered
+    df, staged, real = frame(spark), [], ordered.materialize
+    monkeypatch.setattr(ordered, "MAX_RANGES", 4)
+    monkeypatch.setattr(ordered, "materialize", lambda d, label: staged.append(real(d, label)) or staged[-1])
+    cut = windowed(df, ["k"], ["i"], SPECS, max_group_rows=10)
+    assert sorted(map(str, cut.collect())) == sorted(map(str, windowed(df, ["k"], ["i"], SPECS).collect()))
+    assert 1 < staged[0].select("_range").distinct().count() <= 4

@@ -22,6 +22,10 @@ from threadlake.session import materialize
 # Rows of one group that a single task may sort and scan.
 MAX_GROUP_ROWS = 4_000_000
 
+# Ranges at most. Each is a task in every step that follows and is sampled on the driver, so their number
+# must not grow with the rows; a larger range is sorted outside of memory.
+MAX_RANGES = 512
+
 # kind -> needs the frame that ends before the current row
 _KINDS = {
     "row_number": False,
@@ -80,7 +84,7 @@ def windowed(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
 
 
 def _split(df, keys, order, specs, max_group_rows):
-    ranges = max(2, -(-2 * df.count() // max_group_rows))
+    ranges = min(MAX_RANGES, max(2, -(-2 * df.count() // max_group_rows)))
     # The range number is written with the rows, so a recomputed task cannot change it.
     staged = materialize(
         df.repartitionByRange(ranges, *keys, *_columns(order))
