@@ -23,8 +23,9 @@ each by itself. Null ids: kept. Empty tables: no matches. Extra columns: kept by
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
@@ -51,6 +52,8 @@ LEAST_WORDS = 5
 BLOCK_ITEMS, PASS_BLOCKS = 256, 8
 # Windows whose sums a task holds at once, in strides.
 _SLAB = 1024
+# Strides of the texts that are searched together.
+_TOGETHER = 256
 _SEPARATORS = bytes(c for c in range(128) if not chr(c).isalnum())
 _BLANKED = bytes(32 if c in _SEPARATORS else c for c in range(256))
 
@@ -113,8 +116,21 @@ class Index:
     items: list[tuple]                # (id, number of words, places of words, words, answer)
     rows: list[int]                   # item -> row of the benchmark; a long text has several blocks
 
-    def _near(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(window, passage) numbers whose score is high enough.
+    def __post_init__(self) -> None:
+        # "other word" and, last, no word: the end of a text is filled up to a stride with it
+        self._known = np.append(self.squares[:-1], [0, 0]).astype(np.float32)
+        self._capped = np.pad(self.capped, ((0, 0), (0, 1)))
+        self._heavy = np.append(self.heavy, False)
+        lowest = np.full(len(self.capped), np.inf, np.float32)
+        np.minimum.at(lowest, self.level, self.least)
+        self._lowest = lowest[:, None] ** 2
+
+    def _near(self, ids: np.ndarray, goes_on: np.ndarray | None = None,
+              whole: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(stride, passage) numbers of the windows whose score is high enough.
+
+        ``ids`` are the words of strides; a window is a stride and the next one where the text
+        ``goes_on``, or alone where it is the ``whole`` text. Without these they are one text.
 
         The score is the cosine, but no word of the window counts in its norm with more than the
         weight of the passage's level, which is at most the mean weight of the passage's words. So
@@ -125,38 +141,60 @@ class Index:
         root of their squared weight over the squared norm (words repeated in it aside). Windows
         under that for every passage are not projected.
         """
-        starts, known = np.arange(0, len(ids), STRIDE), ids < len(self.factor)
-        shares = np.add.reduceat(np.where(known, self.squares[ids], 0), starts)
-        norms = np.add.reduceat(self.capped[:, ids], starts, axis=1)
-        last = len(starts) > 1
-        if last:
-            norms, shares = norms[:, :-1] + norms[:, 1:], shares[:-1] + shares[1:]
-        lowest = np.full(len(self.capped), np.inf, np.float32)
-        np.minimum.at(lowest, self.level, self.least)
-        live = np.flatnonzero((shares >= (lowest[:, None] ** 2 * norms).min(axis=0)) & (shares > 0))
+        starts = np.arange(0, len(ids), STRIDE)
+        if goes_on is None:
+            goes_on = starts < starts[-1]
+            whole = ~goes_on if len(starts) == 1 else np.zeros(len(starts), bool)
+        on = np.flatnonzero(goes_on)
+        shares = np.add.reduceat(self._known[ids], starts)
+        norms = np.add.reduceat(self._capped[:, ids], starts, axis=1)
+        shares[on] = shares[on] + shares[on + 1]
+        norms[:, on] = norms[:, on] + norms[:, on + 1]
+        live = np.flatnonzero((shares >= (self._lowest * norms).min(axis=0)) & (shares > 0) & (goes_on | whole))
+        two = goes_on[live]
         needed = np.zeros(len(starts), bool)
-        needed[live] = needed[live + last] = True
-        used = np.flatnonzero(self.heavy[ids] & np.repeat(needed, STRIDE)[:len(ids)])
+        needed[live] = needed[live[two] + 1] = True
+        used = np.flatnonzero(self._heavy[ids] & np.repeat(needed, STRIDE)[:len(ids)])
         if not len(used):
             return live[:0], live[:0]
         sums = np.zeros((len(starts), self.factor.shape[1]), np.float32)
         block = used // STRIDE
         first = np.flatnonzero(np.diff(block, prepend=-1))
         sums[block[first]] = np.add.reduceat(self.factor[ids[used]], first, axis=0)
-        windows = sums[live] + sums[live + 1] if last else sums[live]
+        windows = sums[live]
+        windows[two] += sums[live[two] + 1]
         rows, passages = np.nonzero(
             windows @ self.passages >= np.sqrt(norms[:, live]).T[:, self.level] * self.least)
         return live[rows], passages
 
     def matches(self, found: list[bytes]) -> list[tuple[int, object, float]]:
         """(row, item id, share of its words found in order) for every item in the words of a text."""
-        other, get = len(self.factor), self.vocabulary.get
-        ids = np.fromiter((get(w, other) for w in found), np.int64, len(found))
-        near: dict[int, set[int]] = {}
-        for at in range(0, len(ids), _SLAB * STRIDE):  # slabs share one window
-            windows, passages = self._near(ids[at:at + (_SLAB + 1) * STRIDE])
-            for window, item in zip(windows.tolist(), self.owner[passages].tolist()):
-                near.setdefault(item, set()).add(at + window * STRIDE)
+        return self.matches_of([found])[0]
+
+    def matches_of(self, texts: list[list[bytes]]) -> list[list[tuple[int, object, float]]]:
+        """``matches`` of each text; one product serves the windows of them all."""
+        sizes = np.array([-(-len(found) // STRIDE) for found in texts])
+        text = np.repeat(np.arange(len(texts)), sizes)
+        begun = np.cumsum(sizes) - sizes
+        ids = np.full(len(text) * STRIDE, len(self.factor) + 1, np.int64)
+        for found, at in zip(texts, (begun * STRIDE).tolist()):
+            ids[at:at + len(found)] = np.fromiter(
+                map(self.vocabulary.get, found, repeat(len(self.factor))), np.int64, len(found))
+        goes_on, whole = np.append(text[1:] == text[:-1], False), sizes[text] == 1
+        near: list[dict[int, set[int]]] = [{} for _ in texts]
+        for low in range(0, len(text), _SLAB):  # slabs share one stride
+            here = slice(low, low + _SLAB + 1)
+            on = goes_on[here].copy()
+            on[min(_SLAB, len(on) - 1)] = False  # the next slab has the window that begins here
+            windows, passages = self._near(ids[low * STRIDE:here.stop * STRIDE], on, whole[here])
+            windows += low
+            for no, start, item in zip(text[windows].tolist(), (windows - begun[text[windows]]).tolist(),
+                                       self.owner[passages].tolist()):
+                near[no].setdefault(item, set()).add(start * STRIDE)
+        return [self._checked(found, items) for found, items in zip(texts, near)]
+
+    def _checked(self, found: list[bytes], near: dict[int, set[int]]) -> list[tuple[int, object, float]]:
+        """What the words confirm of the items near the starts of windows."""
         out = []
         for item, starts in near.items():
             id_, size, places, wanted, answer = self.items[item]
@@ -177,12 +215,32 @@ class Index:
         return out
 
 
-def search(pass_: list[Index], text: str | None) -> list[tuple[object, float]]:
-    found, best = words(text), {}
-    for index in pass_ if found else []:
-        for row, id_, share in index.matches(found):
+def _found(pass_: list[Index], texts: list[list[bytes]]) -> list[list[tuple[object, float]]]:
+    found = [index.matches_of(texts) for index in pass_]
+    out = []
+    for matched in zip(*found):
+        best: dict = {}
+        for row, id_, share in chain.from_iterable(matched):
             best[row] = max(best.get(row, (id_, share)), (id_, share), key=lambda m: m[1])
-    return list(best.values())
+        out.append(list(best.values()))
+    return out
+
+
+def search_all(pass_: list[Index], texts: Iterable[str | None]) -> Iterator[list[tuple[object, float]]]:
+    """(item id, share) of the benchmark texts in each text; some short texts are searched together."""
+    held, size = [], 0
+    for text in texts:
+        held.append(words(text))
+        size += len(held[-1])
+        if size >= _TOGETHER * STRIDE or len(held) == _TOGETHER:
+            yield from _found(pass_, held)
+            held, size = [], 0
+    if held:
+        yield from _found(pass_, held)
+
+
+def search(pass_: list[Index], text: str | None) -> list[tuple[object, float]]:
+    return next(search_all(pass_, [text]))
 
 
 def _frequencies(vocabulary: frozenset):
@@ -366,8 +424,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", id_col: s
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index = shared.value
             for batch in batches:
-                rows = [(i.as_py(), item, share) for i, t in zip(*batch.columns)
-                        for item, share in search(index, t.as_py())]
+                found = search_all(index, (t.as_py() for t in batch.column(1)))
+                rows = [(i.as_py(), item, share) for i, of in zip(batch.column(0), found)
+                        for item, share in of]
                 if rows:
                     ids, items, shares = zip(*rows)
                     yield pa.RecordBatch.from_pydict({
@@ -394,7 +453,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, text: str = "text",
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index = shared.value
             for batch in batches:
-                clean = [not search(index, t.as_py()) for t in batch.column(at)]
+                clean = [not found for found in search_all(index, (t.as_py() for t in batch.column(at)))]
                 yield batch.filter(pa.array(clean, pa.bool_()))
         return run
 
