@@ -259,6 +259,24 @@ def test_one_silent_member_of_a_large_room(spark):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
+@pytest.mark.parametrize("sizes,stored", [((5, 64), ["rooms"]), ((5, 64, 65, 130), ["rooms", "ordinals", "got"])])
+def test_delivery_audit_of_small_and_large_rooms(spark, monkeypatch, sizes, stored):
+    """Rooms of at most a word of members need no ordinals; all went that way."""
+    labels, keep = [], delivery.materialize
+    monkeypatch.setattr(delivery, "materialize", lambda df, label: labels.append(label) or keep(df, label))
+    held = [(room, room * 1000 + u) for room, size in enumerate(sizes) for u in range(size)]
+    sent = [(room * 100 + n, room, [room * 1000, 999_999, None][n % 3]) for room in range(len(sizes)) for n in range(9)]
+    got = [(m, u) for m, room, _ in sent for r, u in held if r == room and (m * 7 + u) % 5]
+    frame = lambda rows, names: spark.createDataFrame(rows, ", ".join(f"{c} long" for c in names))
+    found = delivery.delivery_audit(
+        frame(sent, ["message_id", "room_id", "sender_id"]),
+        frame(held * 2 + [(0, None), (None, 7)], ["room_id", "user_id"]),
+        frame(got * 2 + [(0, 888_888), (0, None), (555, 3)], ["message_id", "user_id"])).collect()
+    assert labels == stored
+    assert sorted(map(tuple, found)) == sorted(
+        (m, room, u) for m, room, s in sent for r, u in held if r == room and u != s and (m, u) not in set(got))
+
+
 def test_paging(spark):
     rows = [(i, 0, 1, "user", "b", at(0 if i < 3 else i), "c") for i in range(1, 6)]
     df = spark.createDataFrame(rows, MESSAGE)

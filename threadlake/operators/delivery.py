@@ -17,22 +17,42 @@ def delivery_audit(messages: DataFrame, members: DataFrame,
                    receipts: DataFrame) -> DataFrame:
     """(message_id, user_id) pairs a member should hold and does not.
 
-    A room's members have ordinals, and what reached them of a message is a bitmap: one 64-bit word
-    for 64 members, made where there are receipts. Counts come first: a message whose bits are as many
-    as the members other than the sender is complete and is looked at no further. Of the others the
-    words are compared with the room's, and only bits not set become rows. A message's words are a
-    64th of its receipts and missing members together, so the work follows the receipts and the
-    result, also where one member of a large room is silent.
+    A message of a room of few members is paired with them, at most 64, and the receipts take pairs away. The
+    members of larger rooms have ordinals and a word for each 64 of them; where there is no such room, that
+    way is not gone.
+    """
+    members = members.where(F.col("user_id").isNotNull()).select("room_id", "user_id").distinct()
+    # a member more than a word has tells a larger room, however large
+    rooms = materialize(top_within(members, ["room_id"], ["user_id"], _WORD + 1, "_n").groupBy("room_id").agg(
+        F.collect_list("user_id").alias("_users")), "rooms")
+    larger = rooms.where(F.size("_users") > _WORD).select("room_id")
+    sent = messages.select("message_id", "room_id", "sender_id")
+    receipts = receipts.select("message_id", "user_id")
+    due = sent.join(rooms.where(F.size("_users") <= _WORD), "room_id").select("message_id", "room_id", F.explode(
+        F.expr("filter(_users, u -> NOT u <=> sender_id)")).alias("user_id"))
+    out = due.join(receipts, ["message_id", "user_id"], "left_anti").select("message_id", "room_id", "user_id")
+    if larger.isEmpty():
+        return out
+    return out.unionByName(_by_words(sent.join(larger, "room_id", "left_semi"),
+                                     members.join(larger, "room_id", "left_semi"), receipts))
+
+
+def _by_words(sent: DataFrame, members: DataFrame, receipts: DataFrame) -> DataFrame:
+    """``delivery_audit`` by bitmaps of 64 members a word.
+
+    What reached a room's members of a message is a bitmap, made where there are receipts. Counts come
+    first: a message whose bits are as many as the members other than the sender is complete and is
+    looked at no further. Of the others the words are compared with the room's, and only bits not set
+    become rows. A message's words are a 64th of its receipts and missing members together, so the work
+    follows the receipts and the result, also where one member of a large room is silent.
     """
-    members = members.select("room_id", "user_id").distinct()
     spots = materialize(rank_within(members, ["room_id"], ["user_id"], "_n").select(
         "room_id", "user_id", F.expr(f"(_n - 1) DIV {_WORD}").alias("_word"),
         F.pmod(F.col("_n") - 1, F.lit(_WORD)).cast("int").alias("_bit")), "ordinals")
     bit, none = F.expr("shiftleft(1L, _bit)"), F.lit(0).cast("bigint")
-    sent = messages.select("message_id", "room_id", "sender_id")
     got = materialize(
-        receipts.select("message_id", "user_id").join(sent, "message_id")
-        .where(F.col("user_id") != F.col("sender_id")).join(spots, ["room_id", "user_id"])
+        receipts.join(sent, "message_id")
+        .where(~F.col("user_id").eqNullSafe(F.col("sender_id"))).join(spots, ["room_id", "user_id"])
         .groupBy("message_id", "_word").agg(F.bit_or(bit).alias("_bits")), "got")
     words = spots.groupBy("room_id", "_word").agg(F.bit_or(bit).alias("_all"))
     size = spots.groupBy("room_id").agg(F.count(F.lit(1)).alias("_size"))
