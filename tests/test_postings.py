@@ -6,6 +6,7 @@ import random
 
 import pytest
 
+from threadlake.operators import lexical
 from threadlake.operators.lexical import indexed_leg, lexical_leg
 from threadlake.sources.postings import PostingTable
 from threadlake.streaming import ingest
@@ -138,3 +139,16 @@ def test_the_stream_keeps_the_index_over_restarts(spark, asked, folder):
         shutil.move(f"{folder}/ckpt/commits/.{last}.crc", f"{folder}/moved.crc")
     run("ckpt")
     assert same() and index.next_batch() == 3
+
+
+def test_a_common_word_of_a_room_is_cut_into_parts(spark, asked, folder, monkeypatch):
+    """All postings of a word in a room were joined in one task."""
+    queries, scope = asked
+    index = PostingTable(spark, f"{folder}/index")
+    index.add(frame(spark, corpus(7, 200)))
+    want, seen, total = hits(indexed_leg(queries, index, scope)), [], lexical._total
+    monkeypatch.setattr(lexical, "PART_PAIRS", 500)
+    monkeypatch.setattr(lexical, "_total", lambda pairs, k: seen.append(pairs) or total(pairs, k))
+    assert hits(indexed_leg(queries, index, scope)) == want
+    sizes = [r["count"] for r in seen[0].where("token = 'the' AND room_id = 0").groupBy("_part").count().collect()]
+    assert len(sizes) > 3 and max(sizes) < 0.5 * sum(sizes)

@@ -26,6 +26,8 @@ from threadlake.sources.postings import PostingTable, weight
 
 # (query, text) postings joined directly before the bounds are worth their extra passes.
 DIRECT_PAIRS = 50_000_000
+# Postings of the direct join for each part that a very common word is cut into.
+PART_PAIRS = 2_000_000
 _SLACK = 2e-6
 
 
@@ -97,7 +99,12 @@ def indexed_leg(queries: DataFrame, index: PostingTable, scope: DataFrame, k: in
     volume = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("_q")).join(df, "token").agg(
         F.sum(F.col("_q") * F.col("df"))).first()[0] or 0
     if volume <= direct_pairs:
-        return _total(asked.join(postings, ["token", "room_id"]), k)
+        # a word that a third of all texts have would otherwise be joined in one task for a room; the
+        # few questions go to every part, each posting to one
+        parts = int(-(-volume // PART_PAIRS)) or 1
+        return _total(asked.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).join(
+            postings.withColumn("_part", F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int")),
+            ["token", "room_id", "_part"]), k)
     blocks = index.blocks(wanted).join(worth, "token").select(
         "token", "room_id", "level", "documents",
         (F.col("idf") * weight(F.col("tf"), F.col("length"), mean)).alias("bound"))
