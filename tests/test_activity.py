@@ -187,6 +187,32 @@ def test_text_contains_within_groups_and_with_nulls(spark):
     assert validate.text_contains(t, n.limit(0), "tid", "text", "nid", "needle").collect() == []
 
 
+def test_many_needles_are_looked_for_in_one_reading(spark, monkeypatch):
+    """Each 8 MB of needles took a reading of all texts; the limit is 12 bytes."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abé𝄞") for _ in range(rng.randint(1, 4)))
+    texts = [" ".join(word() for _ in range(rng.choice([0, 3, 40]))) for _ in range(60)] + [None, "", "a" * 50, "a" * 700]
+    t = spark.createDataFrame([(i, i % 3 if i % 7 else None, x) for i, x in enumerate(texts)],
+                              "tid int, room long, text string")
+    needles = [x[at:at + size] for x in texts if x for at in (0, 2) for size in (7, 7, 9)] + [
+        "not there", "aaaaaaaaa", "aaaaaaa", "aaaaaaa", None]
+    n = spark.createDataFrame([(f"n{i}", i % 4 if i % 9 else None, x) for i, x in enumerate(needles)],
+                              "nid string, room int, needle string")
+    monkeypatch.setattr(validate, "BLOCK", 64)  # long texts are cut
+    readings, real = [], validate._occurrences
+    monkeypatch.setattr(validate, "_occurrences", lambda *a: readings.append(a) or real(*a))
+    for group, same in ((None, lambda i, j: True), ("room", lambda i, j: i % 7 and j % 9 and i % 3 == j % 4)):
+        want = sorted((i, f"n{j}") for i, x in enumerate(texts) for j, y in enumerate(needles)
+                      if x is not None and y is not None and y in x and same(i, j))
+        assert len(want) > 20
+        got = validate.text_contains(t, n, "tid", "text", "nid", "needle", group=group, needle_bytes=12)
+        assert pairs(got, "tid", "nid") == want
+        got = validate.text_contains(t, n.withColumn("room", F.col("room").cast("long")), "tid", "text", "nid",
+                                     "needle", group=group, needle_bytes=12)
+        assert pairs(got, "tid", "nid") == want
+    assert not readings
+
+
 def test_resends(spark):
     rows = [(1, 0, 7, "user", "a", at(0), "c1"), (2, 0, 7, "user", "a", at(1), "c1"),
             (3, 0, 8, "user", "a", at(2), "c1")]
